@@ -1,0 +1 @@
+"""operators of the pixel and feature analytics engine."""

@@ -1,0 +1 @@
+"""plans of the pixel and feature analytics engine."""

@@ -1,0 +1 @@
+"""sources of the pixel and feature analytics engine."""

@@ -1,0 +1 @@
+"""streaming of the pixel and feature analytics engine."""
