@@ -94,7 +94,7 @@ class BundleWriter:
     def add(self, id_, record: bytes) -> None:
         if self.out is None:
             name = f"{uuid.uuid4().hex}.warc.zst"
-            self.name, self.out, self.table, self.written = f"{self.folder}/{name}", self.fs.open_output_stream(f"{self.root}/{name}"), [], 0
+            self.name, self.out, self.table, self.written = f"{self.folder}/{name}", self.fs.open_output_stream(f"{self.root}/{name}", compression=None), [], 0
             self.frame, self.filled = [], 0
         self.rows.append((id_, self.name, len(self.table), self.filled, len(record)))
         self.frame.append(record)
