@@ -17,6 +17,10 @@ from pixelloom.operators.joins import nearest_centroid
 
 def kmeans(rows: DataFrame, k: int, f: str = "f", seed: int = 9, max_iter: int = 20):
     """(rows with `cluster`, centres, cost) by the built-in parallel k-means."""
+    if k == 1:
+        size = len(rows.select(f).first()[0])
+        mean, deviation = mean_and_deviation(rows, size, f)
+        return rows.withColumn("cluster", F.lit(0)), [mean.tolist()], float((deviation**2).sum()) * rows.count()
     data = rows.withColumn("_v", array_to_vector(f))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(data)
     return model.transform(data).drop("_v"), [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost
@@ -123,7 +127,7 @@ def grow(rows: DataFrame, size: int, leaves: int, cost: str | Callable[[dict], f
         out = {}
         for r in per.collect():
             p = float(r["p"] or 0.0)
-            out[r["node"]] = {"node": r["node"], "n": r["n"], "sse": float(r["spread"]) * r["n"], "purity": max(p, 1 - p), "variance": float(r["variance"] or 0.0), "entropy": -sum(q * np.log(max(q, 1e-12)) for q in (p, 1 - p)), "centroid": list(r["c"])}
+            out[r["node"]] = {"node": r["node"], "n": r["n"], "sse": float(r["spread"]) * r["n"], "purity": max(p, 1 - p), "variance": float(r["variance"] or 0.0), "entropy": float(-sum(q * np.log(max(q, 1e-12)) for q in (p, 1 - p))), "centroid": list(r["c"])}
         return out
 
     nodes |= statistics(now)
