@@ -33,6 +33,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Keep Arrow batches of whole texts small: at most so many rows in one, from now on in this session."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back, so lost executors lose no work."""
     path = scratch_path(df.sparkSession, name)
@@ -58,6 +66,16 @@ def small_keys(keys: DataFrame, bound: int = MAX_BROADCAST_KEYS) -> np.ndarray |
     return np.sort(np.asarray(t.column(0).to_numpy(), dtype=np.int64))
 
 
+def small_counts(table: DataFrame, bound: int = MAX_BROADCAST_KEYS) -> tuple[np.ndarray, np.ndarray] | None:
+    """(sorted keys, their counts) of a materialized table of two long columns of at most `bound` rows, else None."""
+    if table.count() > bound:
+        return None
+    t = table.toArrow()
+    keys, counts = (t.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Mask of int64 values that are in the sorted array keys."""
     if not len(keys):

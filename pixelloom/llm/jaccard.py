@@ -1,11 +1,16 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's tokens (hashes of its word n-grams) are ordered by hash. A prefix long enough that two similar texts must
-share part of it is indexed: rare tokens singly, frequent ones in pairs within classes by a second hash, the prefix
-being extended by one token for every class in it. A class with i tokens loses one, so a prefix of
-p + (number of classes) tokens always suffices, where p = size - least overlap + 1. Texts that share an index entry
-are first compared with one representative of the entry; then, where an entry's texts are still in different
-components, with each other. Every link is verified on whole sets.
+A text's tokens (hashes of its word n-grams) are ordered rare ones first, then by hash. A prefix long enough that two similar
+texts must share part of it is indexed: rare tokens singly; where a text hasn't enough of them, its prefix is extended by
+frequent tokens, indexed in pairs within classes by a second hash. A class with i tokens loses one, so rare tokens plus
+frequent ones less the number of their classes must reach p = size - least overlap + 1.
+
+Only the tokens of lowest hash are kept at first; texts that need more of them are read again in full. Texts that share an index entry
+are first compared with the entry's representative, the text whose tokens are shared most; then, where an entry's texts are
+still in different components, in blocks inside tasks if the entry is large, else in random slots of a few texts for some
+rounds, and at last every pair that is still in different components and wasn't compared yet. So a large group of near
+copies costs about as many comparisons as it has texts, no pair of it becomes a row, and no link between components is
+lost. Every link is verified on whole sets.
 
 Defined cases: a null text is empty; texts without words link with nothing; texts of fewer words than n are one token;
 equal sets are one class and link; repeated rows and repeated or null ids are allowed, a component's id is its smallest
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, materialize, member, mix, row_key, shingle_sets, small_keys, text_bytes
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, materialize, member, mix, row_key, shingle_sets, small_batches, small_counts, small_keys, text_bytes
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
@@ -28,6 +33,12 @@ RARE = 32
 MAX_FREQUENT = 1_000_000
 #: Frequent tokens that a class has in a prefix, about.
 CLASS_TOKENS = 7
+#: Texts of a random slot, and rounds of slots before all pairs that are left.
+SLOT = 8
+ROUNDS = 2
+#: Texts of an entry beyond which its pairs are compared inside tasks, BLOCK x BLOCK texts at a time, and only links leave them.
+HOT = 256
+BLOCK = 1024
 SETS = "doc_id long, key long, n long, cls long, toks array<long>"
 
 
@@ -47,36 +58,36 @@ def schemes(n: int, num: int, den: int) -> list[int]:
 
 
 def signatures(toks: np.ndarray, n: int, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index entries of a set of size n, given its lowest tokens in order."""
+    """Index entries of a set of size n from its lowest tokens: enough to hold p rare ones, or all of them."""
     p = prefix_length(n, num, den)
     often = member(toks, frequent)
-    if not often[:p].any():
-        return toks[:p]
-    out: set[int] = set()
+    rare = toks[~often][:p]
+    if len(rare) >= p:
+        return rare
+    out: set[int] = set(rare.tolist())
+    toks = toks[often]
     for scheme in schemes(n, num, den):
-        m = classes(scheme, num, den)
-        own = (mix(toks.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(m)
-        groups: dict[int, list[int]] = {}
-        gain = at = 0
-        while gain < p and at < len(toks):
-            if often[at]:
-                g = groups.setdefault(int(own[at]), [])
-                gain += bool(g)
-                g.append(at)
-            else:
-                out.add(int(toks[at]))
-                gain += 1
-            at += 1
-        for g in groups.values():
-            if len(g) > 1:
-                t = toks[g].view(np.uint64)
-                i, j = np.triu_indices(len(g), 1)
-                out.update(mix(t[i] * np.uint64(MULTIPLIER) + mix(t[j]) + np.uint64(scheme + 1)).view(np.int64).tolist())
+        m = np.uint64(classes(scheme, num, den))
+        own = ((mix(toks.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % m).astype(np.int64)
+        gain = len(rare)
+        for c in np.unique(own):  # class by class
+            if gain >= p:
+                break
+            t = toks[own == c][: p - gain + 1].view(np.uint64)
+            gain += len(t) - 1
+            i, j = np.triu_indices(len(t), 1)
+            out.update(mix(t[i] * np.uint64(MULTIPLIER) + mix(t[j]) + np.uint64(scheme + 1)).view(np.int64).tolist())
     return np.fromiter(out, np.int64, len(out))
 
 
-def token_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Per row (doc_id, key, n, cls, toks): set size, identity of the set, and its lowest tokens."""
+def kept(n: int, num: int, den: int) -> int:
+    """Tokens of a set that are kept at first: the prefix and room for some frequent ones."""
+    p = prefix_length(n, num, den)
+    return p + p // 4 + 6
+
+
+def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = False) -> DataFrame:
+    """Per row (doc_id, key, n, cls, toks): set size, identity of the set, and its lowest tokens or all of them."""
 
     def run(batches):
         for b in batches:
@@ -88,8 +99,7 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     s = np.sort(s.view(np.int64))
                     ns.append(n)
                     cls.append(int(mix(np.array([mix(s.view(np.uint64)).sum() + np.uint64(n)], np.uint64)).view(np.int64)[0]))
-                    keep = prefix_length(n, num, den) + max(classes(x, num, den) for x in schemes(n, num, den)) if n else 0
-                    toks.append(s[:keep])
+                    toks.append(s if whole or not n else s[: kept(n, num, den)])
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -100,10 +110,10 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
-def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: np.ndarray | None, num: int, den: int) -> DataFrame:
-    """Rows (sig, key, n). wanted: tokens that two sets have at least, if they are few enough to be sent out."""
-    sc = sets.sparkSession.sparkContext
-    sent = sc.broadcast((frequent, wanted))
+def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: tuple[np.ndarray, np.ndarray] | None, num: int, den: int) -> DataFrame:
+    """Rows (sig, key, n, score). wanted: tokens that two sets have at least and their counts, if they are few enough to be sent
+    out. score: how much the tokens of a set's prefix are shared."""
+    sent = sets.sparkSession.sparkContext.broadcast((frequent, wanted))
 
     def run(batches):
         frequent, wanted = sent.value
@@ -111,19 +121,70 @@ def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: np.ndarray |
             values, ends = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
             ends = ends - ends[0]
             ns = b.column(1).to_numpy()
+            if wanted is not None:
+                at = np.searchsorted(wanted[0], values)
+                at[at == len(wanted[0])] = 0
+                shared = (wanted[0][at] == values) if len(wanted[0]) else np.zeros(len(values), bool)
+                weight = np.where(shared, np.log2(wanted[1][at]) if len(wanted[0]) else 0.0, 0.0)
+            else:
+                shared, weight = np.ones(len(values), bool), member(values, frequent).astype(float)
+            weight = np.append(0.0, np.cumsum(weight))
             sigs, counts = [], []
             for i, n in enumerate(ns.tolist()):
                 t = values[ends[i] : ends[i + 1]]
                 s = signatures(t, n, frequent, num, den)
                 if wanted is not None:
                     # entries that are single tokens of one set only lead nowhere
-                    s = s[~member(s, np.sort(t)) | member(s, wanted)]
+                    alone = np.sort(t[~shared[ends[i] : ends[i + 1]]])
+                    s = s[~member(s, alone)]
                 sigs.append(s)
                 counts.append(len(s))
+            score = (weight[ends[1:]] - weight[ends[:-1]]) / np.maximum(np.diff(ends), 1)
             sig = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(b.column(0).to_numpy(), counts)), pa.array(np.repeat(ns, counts))], ["sig", "key", "n"])
+            rep = lambda x: pa.array(np.repeat(x, counts))
+            yield pa.RecordBatch.from_arrays([pa.array(sig), rep(b.column(0).to_numpy()), rep(ns), rep(score)], ["sig", "key", "n", "score"])
+
+    return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long, score double")
 
-    return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long")
+
+def _short(sets: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
+    """Keys of sets that are known in part only and hold too few rare tokens."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        frequent = sent.value
+        for b in batches:
+            values, ends = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
+            ends = ends - ends[0]
+            often = np.append(0, np.cumsum(member(values, frequent)))
+            ns, sizes = b.column(1).to_numpy(), np.diff(ends)
+            rare = sizes - (often[ends[1:]] - often[ends[:-1]])
+            need = np.array([prefix_length(n, num, den) for n in ns.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array((sizes < ns) & (rare < need)))], ["key"])
+
+    return sets.select("key", "n", "toks").mapInArrow(run, "key long")
+
+
+def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None]:
+    """(sets, frequent tokens, tokens that were added): until every set has enough rare tokens or is known in full. Tokens that
+    many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike."""
+    added = None
+    while True:
+        short = materialize(_short(sets, frequent, num, den), "jaccard-short")
+        n = short.count()
+        if not n:
+            return sets, frequent, added
+        ids = F.broadcast(short) if n <= MAX_FREQUENT else short
+        rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).join(ids, "key", "left_semi")
+        full = materialize(token_sets(rows, size, num, den, whole=True).dropDuplicates(["key"]).select("key", "n", "toks"), "jaccard-full")
+        sets = materialize(sets.join(ids, "key", "left_anti").unionByName(full), "jaccard-sets")
+        own = full.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c"))
+        own = materialize(own, "jaccard-added")
+        added = own if added is None else added.unionByName(own)
+        rare = RARE
+        while (more := small_keys(own.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
+            rare *= 2
+        frequent = np.union1d(frequent, more)
 
 
 def _may(a: str, b: str, num: int, den: int):
@@ -177,6 +238,7 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     component) for nodes that link with others. Texts of equal sets share a node."""
     if not den < 2 * num <= 2 * den:
         raise ValueError("the threshold must lie above one half")
+    docs = small_batches(docs)
     every = materialize(token_sets(docs, size, num, den), "jaccard-sets")
     node = materialize(every.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key")), "jaccard-nodes")
     sets = materialize(every.where("n > 0").join(node.select("key"), "key", "left_semi").select("key", "n", "toks").dropDuplicates(["key"]), "jaccard-sets")
@@ -185,33 +247,133 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     rare = RARE
     while (often := small_keys(counts.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
         rare *= 2
-    again = small_keys(counts.select("tok"), **({} if max_broadcast is None else {"bound": max_broadcast}))
-    rows = _signature_rows(sets, often, again, num, den)
-    rows = materialize(rows, "jaccard-index")
+    sets, often, added = _complete(docs, sets, often, size, num, den)
+    again = counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c"))
+    again = small_counts(materialize(again, "jaccard-wanted"), **({} if max_broadcast is None else {"bound": max_broadcast}))
+    rows = materialize(_signature_rows(sets, often, again, num, den), "jaccard-index")
     drop_scratch(counts)
-    rep = rows.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("r"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("r.key").alias("rk"), F.col("r.n").alias("rn"))
-    star = rows.join(rep, "sig").where((F.col("key") != F.col("rk")) & _may("n", "rn", num, den))
-    star = materialize(star.select(F.col("key").alias("a"), F.col("rk").alias("b"), F.col("n").alias("na"), F.col("rn").alias("nb")).distinct(), "jaccard-pairs")
-    links = _verified(docs, sets, star, size, num, den)
-    comps = components(links)
-    # where texts of an entry are still apart: those that were not compared yet
-    named = rows.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    apart = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    named = materialize(named.join(apart, "sig", "left_semi"), "jaccard-apart")
-    x = named.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = named.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "sig").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _may("na", "nb", num, den))
-    rest = rest.select("a", "b", "na", "nb").distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialize(rest, "jaccard-pairs")
-    if rest.limit(1).count():
-        more = _verified(docs, sets, rest, size, num, den)
-        if more.limit(1).count():
-            comps = components(links.unionByName(more))
-    drop_scratch(rows, star, rest, named, sets)
+    rep = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "n")).alias("r"), F.count("*").alias("c")).where("c > 1")
+    rep = rep.select("sig", F.col("r.key").alias("rk"), F.col("r.n").alias("rn"), "c")
+    rows = entries = materialize(rows.join(rep, "sig").select("sig", "key", "n", "rk", "rn", "c"), "jaccard-entries")
+    pairs = rows.where((F.col("key") != F.col("rk")) & _may("n", "rn", num, den))
+    pairs = pairs.select(F.greatest("key", "rk").alias("a"), F.least("key", "rk").alias("b"), F.when(F.col("key") > F.col("rk"), F.col("n")).otherwise(F.col("rn")).alias("na"), F.when(F.col("key") > F.col("rk"), F.col("rn")).otherwise(F.col("n")).alias("nb"))
+    tested = materialize(pairs.distinct(), "jaccard-pairs")
+    comps = components(_verified(docs, sets, tested, size, num, den))
+    hot = max(HOT, 8 * rare)  # entries of rare tokens never get there, and the others hold whole sets
+    large = materialize(_apart(rows.where(F.col("c") > hot), comps), "jaccard-large")
+    if large.limit(1).count():
+        comps = _joined(comps, _block_links(large, sets, num, den))
+    rows = rows.where(F.col("c") <= hot)
+    for r in range(ROUNDS + 1):
+        slots = F.ceil(F.col("c") / SLOT) if r < ROUNDS else F.lit(1)
+        named = materialize(_apart(rows, comps).withColumn("slot", F.pmod(F.xxhash64("key", F.lit(r)), slots)), "jaccard-apart")
+        most = named.agg(F.max("c")).first()[0]
+        if most is None:
+            break
+        x = named.select("sig", "slot", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        y = named.select("sig", "slot", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        rest = x.join(y, ["sig", "slot"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _may("na", "nb", num, den))
+        rest = materialize(rest.select("a", "b", "na", "nb").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        drop_scratch(named)
+        if rest.limit(1).count():
+            more = _verified(docs, sets, rest, size, num, den)
+            comps = _joined(comps, more)
+            tested = tested.unionByName(rest)
+        if most <= SLOT:  # that was every pair
+            break
+    drop_scratch(entries, sets)
     out = every.select("doc_id", "key", "n", "cls").join(node.select("cls", "n", F.col("key").alias("node")), ["cls", "n"], "left")
     return out.select("doc_id", "key", "n", "node"), comps
 
 
+def _apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of entries whose texts are in different components, with those."""
+    named = rows.select("sig", "key", "n", "c").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    apart = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    return named.join(apart, "sig", "left_semi")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked inside the blocks of large entries. rows: (sig, key, c, component)."""
+    blocks = F.ceil(F.col("c") / BLOCK)
+    cut = rows.withColumn("k", blocks).withColumn("m", F.pmod(F.xxhash64("key", "sig"), F.col("k")))
+    cut = cut.withColumn("o", F.explode(F.expr("sequence(cast(0 as bigint), k - 1)")))
+    cut = cut.select("sig", "key", "component", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"))
+    full = cut.join(sets.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "side", "n", "toks")
+    full = full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, comp, side, n = (t.column(c).to_numpy() for c in ("key", "component", "side", "n"))
+        lists = t.column("toks").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        if (sizes < n).any():
+            raise ValueError("a large entry holds a set that is known in part only")
+        toks, back, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(key)), sizes)
+        used = times[back] > 1
+        place = np.cumsum(times > 1) - 1
+        row, col = row[used], place[back[used]]
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        both = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for at in range(0, int((times > 1).sum()), 2048):
+            a, b = np.searchsorted(col, [at, at + 2048])
+            part = np.zeros((len(key), 2048), np.float32)
+            part[row[a:b], col[a:b] - at] = 1
+            both += part[left] @ part[right].T
+        hit = (den * both >= num * (n[left][:, None] + n[right][None] - both)) & (comp[left][:, None] != comp[right][None])
+        i, j = np.nonzero(hit)
+        i, j = left[i], right[j]
+        label = np.arange(len(key))
+        while len(i):
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, label[i])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        moved = np.flatnonzero(label != np.arange(len(key)))
+        return key[moved], key[label[moved]]
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def done(t: pa.Table):
+            keys = [t.column(c).to_numpy() for c in ("sig", "x", "y")]
+            cuts = np.append(np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))), t.num_rows)
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                a, b = compare(t.slice(s, e - s))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                first, last = ([t.column(c)[i].as_py() for c in ("sig", "x", "y")] for i in (0, t.num_rows - 1))
+                if held and (first != last or [held[-1].column(c)[0].as_py() for c in ("sig", "x", "y")] != first):
+                    same = np.all([t.column(c).to_numpy() == v for c, v in zip(("sig", "x", "y"), last)], axis=0)
+                    cut = int(same.argmax())
+                    yield from done(pa.concat_tables([*held, t.slice(0, cut)]))
+                    held, t = [], t.slice(cut)
+                held.append(t)
+        if held:
+            yield from done(pa.concat_tables(held))
+
+    return materialize(full.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps after further links between its components."""
+    one = links.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    one = one.join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    up = components(one.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    up = up.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = comps.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = up.join(comps.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return materialize(old.unionByName(new), "jaccard-comps")
+
+
 def groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **settings) -> DataFrame:
     """Rows (doc_id, key, n_shingles, component_id): component_id is the smallest doc_id reachable by links."""
     rows, comps = link(docs, size, num, den, **settings)
@@ -227,11 +389,11 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **se
     rows, comps = link(docs, size, num, den, **settings)
     rows = rows.where("node is not null").join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("f")
-    best = materialize(rows.groupBy("group").agg(first).select(F.col("f.key").alias("_key")).distinct(), "jaccard-kept")
-    own = docs.withColumn("_key", row_key("doc_id", "text"))
+    best = materialize(rows.groupBy("group").agg(first).select(F.col("f.key").alias("__row_key")).distinct(), "jaccard-kept")
+    own = docs.withColumn("__row_key", row_key("doc_id", "text"))
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = own.where(~empty).join(best, "_key", "left_semi")
-    copies = materialize(kept.groupBy("_key").count().where("count > 1").select("_key"), "jaccard-copies")
+    kept = own.where(~empty).join(best, "__row_key", "left_semi")
+    copies = materialize(kept.groupBy("__row_key").count().where("count > 1").select("__row_key"), "jaccard-copies")
     if copies.limit(1).count():
-        kept = kept.join(copies, "_key", "left_anti").unionByName(kept.join(copies, "_key", "left_semi").dropDuplicates(["_key"]))
+        kept = kept.join(copies, "__row_key", "left_anti").unionByName(kept.join(copies, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
     return kept.unionByName(own.where(empty)).select(*docs.columns)
