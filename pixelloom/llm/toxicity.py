@@ -2,7 +2,7 @@
 
 Categories are predicted one after the other; each model sees word features and the probabilities of the categories
 before it, which in training come from models that did not see the row (folds). Models are fitted on a bounded sample:
-the `sample` labelled rows whose keys hash lowest. Everything else covers all rows: every whole text is scored.
+of the `sample` labels whose ids hash lowest. Everything else covers all rows: every whole text is scored.
 
 Defined cases: a null text is empty and gets the prior; null labels are not used; without labelled rows of both values
 of a category its probability is the prior (0 without rows) and nothing is rejected; repeated rows are scored each;
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, row_key, text_bytes, word_spans
+from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, row_key, small_batches, text_bytes, word_spans
 
 BITS = 20
-SAMPLE = 12_000
+SAMPLE = 6_000
 FOLDS = 5
 #: Least z-score between the classes of a word that a model uses.
 SCREEN = 5.0
@@ -116,15 +116,18 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
     """categories: names with SQL conditions over the columns of labels, in the chain's order; the last is the verdict."""
+    docs = small_batches(docs)
     marks = labels.select("doc_id", *[F.expr(c).cast("int").alias(k) for k, c in categories.items()]).dropna()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks.dropDuplicates(["doc_id"]), "doc_id")
-    rows = rows.select("text", *categories, F.xxhash64("doc_id", F.lit("toxicity")).alias("h")).orderBy("h").limit(sample)
-    picked = _feature_rows(rows, list(categories)).toArrow()
+    order = F.xxhash64("doc_id", F.lit("toxicity"))
+    marks = marks.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories]).withColumn("h", order).orderBy("h").limit(sample)
+    # at most `sample` rows of a few numbers go to the texts, not the texts to them
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
+    picked = _feature_rows(rows, [*categories, "h"]).orderBy("h").limit(sample).toArrow()
     n = picked.num_rows
     y = np.column_stack([picked.column(k).to_numpy() for k in categories]) if n else np.zeros((0, len(categories)), int)
     sets = picked.column("feats").combine_chunks() if n else None
-    feats = sets.flatten().to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(n), sets.value_lengths().to_numpy()) if n else np.zeros(0, np.int64)
+    feats = sets.flatten().to_numpy() if n else np.zeros(0, np.int32)
+    at = np.repeat(np.arange(n, dtype=np.int32), sets.value_lengths().to_numpy()) if n else np.zeros(0, np.int64)
     fold = np.arange(n) % folds
     outside, models = np.zeros((n, 0)), []
     for j in range(len(categories)):
@@ -159,7 +162,7 @@ def _feature_rows(rows: DataFrame, names: list[str]) -> DataFrame:
                 sets += [pairs[ends[k] : ends[k + 1]].astype(np.int32) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([*[b.column(1 + k) for k in range(len(names))], pa.array(sets, pa.list_(pa.int32()))], [*names, "feats"])
 
-    return rows.select("text", *names).mapInArrow(run, ", ".join(f"{k} int" for k in names) + ", feats array<int>")
+    return rows.select("text", *names).mapInArrow(run, ", ".join(f"{k} {'long' if k == 'h' else 'int'}" for k in names) + ", feats array<int>")
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
