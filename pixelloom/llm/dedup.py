@@ -31,11 +31,15 @@ def _halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(words[:, 1]), mix(words[:, 2])
 
 
+def _place(b: np.ndarray, move: np.ndarray, n: int) -> np.ndarray:
+    return (mix(b + mix(move.astype(np.uint64) + np.uint64(1))) % np.uint64(n)).astype(np.int64)
+
+
 def build_hash(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(moves, slot of each key) for distinct 32-byte digests (n x 32 bytes)."""
     n = len(digests)
     a, b = _halves(digests)
-    groups = n // 4 + 1
+    groups = n // 2 + 1
     g = (a % np.uint64(groups)).astype(np.int64)
     order = np.argsort(g, kind="stable")
     ends = np.searchsorted(g[order], np.arange(groups + 1))
@@ -46,12 +50,16 @@ def build_hash(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(keys) < 2:
             break
         d = 0
-        while True:
-            at = ((b[keys] + mix(np.array([d], np.uint64))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) % np.uint64(n)
-            at = at.astype(np.int64)
-            if not taken[at].any() and len(np.unique(at)) == len(at):
+        while True:  # 32 moves at a time
+            at = _place(b[keys][None], np.arange(d, d + 32)[:, None], n)
+            free = ~taken[at].any(axis=1)
+            if len(keys) > 1:
+                free &= (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1)
+            if free.any():
+                d += int(free.argmax())
+                at = at[free.argmax()]
                 break
-            d += 1
+            d += 32
         moves[k], slots[keys], taken[at] = d, at, True
     single = np.flatnonzero(sizes == 1)
     free = np.flatnonzero(~taken)
@@ -65,8 +73,7 @@ def find(digests: np.ndarray, moves: np.ndarray, n: int) -> np.ndarray:
     """The only slot where each digest can be."""
     a, b = _halves(digests)
     d = moves[(a % np.uint64(len(moves))).astype(np.int64)]
-    at = ((b + mix(np.maximum(d, 0).astype(np.uint64))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)) % np.uint64(max(1, n))
-    return np.where(d < 0, -1 - d, at.astype(np.int64))
+    return np.where(d < 0, -1 - d, _place(b, np.maximum(d, 0), max(1, n)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -162,9 +169,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that decide() drops."""
     rows = digest_rows(docs)
     best = deduplicate(rows).select(F.col("rid").alias("rid"))
-    keys = materialize(rows.join(best, "rid", "left_semi").select(F.col("key").alias("_key")), "dedup-kept")
-    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(keys, "_key", "left_semi")
-    copies = materialize(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")), "dedup-copies")
+    keys = materialize(rows.join(best, "rid", "left_semi").select(F.col("key").alias("__row_key")), "dedup-kept")
+    kept = docs.withColumn("__row_key", row_key("doc_id", "text")).join(keys, "__row_key", "left_semi")
+    copies = materialize(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("__row_key")), "dedup-copies")
     if copies.limit(1).count():  # rows that are equal in id and text
-        kept = kept.join(copies, "_key", "left_anti").unionByName(kept.join(copies, "_key", "left_semi").dropDuplicates(["_key"]))
+        kept = kept.join(copies, "__row_key", "left_anti").unionByName(kept.join(copies, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
     return kept.select(*docs.columns)
