@@ -316,11 +316,11 @@ def _with_anchors(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
                 ends = _seen(off, i, j, lo, hi)
                 h, _, p, _, _ = anchors(buf[lo:hi], ends, length)
                 row = np.minimum(i + np.searchsorted(ends, p, "right") - 1, j - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(h)], ["_key", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(h)], ["__row_key", "h"])
 
-    rows = docs.select(row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, "_key long, h long")
-    own = rows.join(counts.select("h"), "h", "left_semi").groupBy("_key").agg(F.collect_set("h").alias("only"))
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(own, "_key", "left").drop("_key")
+    rows = docs.select(row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, "__row_key long, h long")
+    own = rows.join(counts.select("h"), "h", "left_semi").groupBy("__row_key").agg(F.collect_set("h").alias("only"))
+    return docs.withColumn("__row_key", row_key("doc_id", "text")).join(own, "__row_key", "left").drop("__row_key")
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, **settings) -> DataFrame:

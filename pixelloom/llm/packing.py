@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import chunks, mix, powers, prefix_sums, text_bytes
+from pixelloom.llm.common import chunks, mix, powers, prefix_sums, small_batches, text_bytes
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -176,12 +176,12 @@ class WordTokenizer:
 
 
 class Packer:
-    """Turns a task's texts into pieces. windows: windows of a group; spare: tokens that its
-    windows leave free on average."""
+    """Turns a task's texts into pieces. windows: windows of a group; piece: most tokens
+    of an item."""
 
-    def __init__(self, first: int, capacity: int = CAPACITY, windows: int = 256, piece: int = 512, spare: int = 2):
-        self.capacity, self.windows, self.piece, self.spare, self.next = capacity, windows, piece, spare, first
-        self.room = windows * (capacity - spare)
+    def __init__(self, first: int, capacity: int = CAPACITY, windows: int = 256, piece: int = 512):
+        self.capacity, self.windows, self.piece, self.next = capacity, windows, piece, first
+        self.room = windows * capacity
         self.items: list[tuple[int, int, int]] = []  # (text, start, length)
         self.held = 0
         self.out: list[tuple[int, int, int, int, int]] = []  # (text, start, length, sequence, offset)
@@ -197,7 +197,8 @@ class Packer:
             self.held += take
             at += take
             if self.held == self.room:
-                self._group()
+                self.items = self._group(self.windows)
+                self.held = sum(x[2] for x in self.items)
 
     def _window(self, items: list[tuple[int, int, int]]) -> None:
         offset = 0
@@ -206,27 +207,40 @@ class Packer:
             offset += length
         self.next += 1
 
-    def _group(self) -> None:
-        for part in pack([x[2] for x in self.items], self.capacity):
-            self._window([self.items[i] for i in part])
-        self.items, self.held = [], 0
+    def _group(self, k: int) -> list[tuple[int, int, int]]:
+        """Deal the items out to k windows. What exceeds a window's capacity is cut off and returned: it goes to further windows,
+        so that the count rises by what the excess needs and not by a window of padding for every group."""
+        items, self.items, self.held = self.items, [], 0
+        over: list[tuple[int, int, int]] = []
+        for part in differencing([x[2] for x in items], k):
+            own = [items[i] for i in part]
+            excess = sum(x[2] for x in own) - self.capacity
+            while excess > 0:
+                text, start, length = own.pop()
+                keep = max(0, length - excess)
+                over.append((text, start + keep, length - keep))
+                if keep:
+                    own.append((text, start, keep))
+                excess -= length - keep
+            if own:
+                self._window(own)
+        return over
 
     def finish(self) -> None:
         """Full windows of what is left by differencing, then windows of powers of two."""
         full = self.held // self.capacity
-        room, self.room = self.room, full * (self.capacity - self.spare)
         items, self.items, self.held = self.items, [], 0
         size = 0
         tail: list[tuple[int, int, int]] = []
         for text, start, length in items:
-            take = min(length, self.room - size)
+            take = min(length, full * self.capacity - size)
             if take:
                 self.items.append((text, start, take))
                 size += take
             if take < length:
                 tail.append((text, start + take, length - take))
         if self.items:
-            self._group()
+            tail += self._group(full)
         left = sum(x[2] for x in tail)
         while left:
             want = min(self.capacity, 1 << (left.bit_length() - 1))
@@ -240,7 +254,6 @@ class Packer:
                 if take < length:
                     tail.insert(0, (text, start + take, length - take))
             self._window(own)
-        self.room = room
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -274,7 +287,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
         if packer.out:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 _made: dict[str, WordTokenizer] = {}

@@ -47,19 +47,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
         F.count("*").alias("n"), F.collect_set("_path").alias("paths"), F.max(F.size(F.split("_host", r"\."))).alias("labels")
     ).first()  # the distinct path lengths of rules, not the rules
     lengths, labels = sorted(row["paths"] or [0]), row["labels"] or 1
-    out = pages.drop("host", "path", "rule", "verdict").withColumn("_url", F.coalesce(F.col(url_col), F.lit("")))
-    h, p = split_url(F.col("_url"))
-    urls = out.select("_url").distinct().withColumns({"host": h, "path": p})
+    out = pages.drop("host", "path", "rule", "verdict").withColumn("__url", F.coalesce(F.col(url_col), F.lit("")))
+    h, p = split_url(F.col("__url"))
+    urls = out.select("__url").distinct().withColumns({"host": h, "path": p})
     # host suffixes of as many labels as any rule has, path prefixes of every length that any rule has
     hosts = f"transform(sequence(1, least({labels}, size(split(host, '[.]')))), i -> substring_index(host, '.', -i))"
     paths = f"transform(filter(array({', '.join(map(str, lengths))}), n -> n <= length(path)), n -> left(path, n))"
-    tried = urls.where("host <> ''").select("_url", F.explode(F.expr(f"flatten(transform({hosts}, x -> transform({paths}, y -> concat(x, y))))")).alias("_tried"))
+    tried = urls.where("host <> ''").select("__url", F.explode(F.expr(f"flatten(transform({hosts}, x -> transform({paths}, y -> concat(x, y))))")).alias("_tried"))
     full, short = _digest(F.col("_tried"))
-    tried = tried.select("_url", full.alias("_want"), short.alias("_short"))
+    tried = tried.select("__url", full.alias("_want"), short.alias("_short"))
     side = known.select("_short", "_full", "rule", "_verdict", "_host")
     side = F.broadcast(side) if row["n"] <= MAX_BROADCAST_RULES else side
     hit = tried.join(side, "_short").where("_want = _full")
     best = F.max(F.struct(F.length("rule"), F.length("_host"), F.col("_verdict") == "block", F.col("rule").alias("rule"), F.col("_verdict").alias("verdict"))).alias("b")
-    hit = hit.groupBy("_url").agg(best).select("_url", "b.rule", "b.verdict")
-    found = urls.join(hit, "_url", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    return out.join(found, "_url").drop("_url")
+    hit = hit.groupBy("__url").agg(best).select("__url", "b.rule", "b.verdict")
+    found = urls.join(hit, "__url", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return out.join(found, "__url").drop("__url")
