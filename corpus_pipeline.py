@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import dedup, jaccard, packing, pii, toxicity
-from pixelloom.llm.common import materialize
+from pixelloom.llm.common import drop_scratch, materialize
 from pixelloom.llm.queries import CATEGORIES, WORD_BPE
 
 
@@ -44,6 +44,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        made = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            drop_scratch(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
