@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import worker_cache
+
 #: Most pieces whose ids a worker keeps, and most token pairs whose validity it keeps.
 CACHE = 600_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -148,7 +150,7 @@ class Encoder:
         with open(path, "rb") as f:
             self.v = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
         self.split = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = worker_cache()
         top = max(self.v.token) + 1
         self.token = [self.v.token.get(i, b"") for i in range(top)]
 

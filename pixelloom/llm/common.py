@@ -90,6 +90,22 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+# ---- what workers keep between tasks --------------------------------------------------------------
+
+_kept: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary that a worker keeps from task to task until an operator needs the room."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def release_caches() -> None:
+    for d in _kept:
+        d.clear()
+
+
 # ---- text buffers -------------------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, materialize, member, mix, row_key, shingle_sets, small_batches, small_counts, small_keys, text_bytes
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, materialize, member, mix, release_caches, row_key, shingle_sets, small_batches, small_counts, small_keys, text_bytes
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
@@ -90,6 +90,7 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = Fal
     """Per row (doc_id, key, n, cls, toks): set size, identity of the set, and its lowest tokens or all of them."""
 
     def run(batches):
+        release_caches()
         for b in batches:
             buf, off = text_bytes(b.column(2))
             ns, cls, toks = [], [], []
@@ -116,6 +117,7 @@ def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: tuple[np.ndar
     sent = sets.sparkSession.sparkContext.broadcast((frequent, wanted))
 
     def run(batches):
+        release_caches()
         frequent, wanted = sent.value
         for b in batches:
             values, ends = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
@@ -125,7 +127,7 @@ def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: tuple[np.ndar
                 at = np.searchsorted(wanted[0], values)
                 at[at == len(wanted[0])] = 0
                 shared = (wanted[0][at] == values) if len(wanted[0]) else np.zeros(len(values), bool)
-                weight = np.where(shared, np.log2(wanted[1][at]) if len(wanted[0]) else 0.0, 0.0)
+                weight = np.where(shared, wanted[1][at] if len(wanted[0]) else 0.0, 0.0)
             else:
                 shared, weight = np.ones(len(values), bool), member(values, frequent).astype(float)
             weight = np.append(0.0, np.cumsum(weight))
@@ -207,6 +209,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num
     texts = materialize(texts, "jaccard-texts")
 
     def run(batches):
+        release_caches()
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -250,6 +253,8 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     sets, often, added = _complete(docs, sets, often, size, num, den)
     again = counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c"))
     again = small_counts(materialize(again, "jaccard-wanted"), **({} if max_broadcast is None else {"bound": max_broadcast}))
+    if again is not None:
+        again = again[0], np.log2(again[1]).astype(np.float32)
     rows = materialize(_signature_rows(sets, often, again, num, den), "jaccard-index")
     drop_scratch(counts)
     rep = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "n")).alias("r"), F.count("*").alias("c")).where("c > 1")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import chunks, mix, powers, prefix_sums, small_batches, text_bytes
+from pixelloom.llm.common import chunks, mix, powers, prefix_sums, small_batches, text_bytes, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,7 +126,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = worker_cache()
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.asarray(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, row_key, small_batches, text_bytes, word_spans
+from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, release_caches, row_key, small_batches, text_bytes, word_spans
 
 BITS = 20
 SAMPLE = 6_000
@@ -171,6 +171,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{k}" for k in chain.categories]
 
     def run(batches):
+        release_caches()
         c = sent.value
         for b in batches:
             buf, off = text_bytes(b.column(2))
@@ -191,6 +192,7 @@ def reject(docs: DataFrame, chain: Chain) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        release_caches()
         c = sent.value
         for b in batches:
             buf, off = text_bytes(b.column(at).cast(pa.string()))
