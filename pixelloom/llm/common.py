@@ -33,7 +33,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 150) -> DataFrame:
     """Keep Arrow batches of whole texts small: at most so many rows in one, from now on in this session."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= rows:

@@ -287,7 +287,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
         if packer.out:
             yield emit()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return small_batches(docs, 1000).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 _made: dict[str, WordTokenizer] = {}
