@@ -72,6 +72,8 @@ def small_counts(table: DataFrame, bound: int = MAX_BROADCAST_KEYS) -> tuple[np.
         return None
     t = table.toArrow()
     keys, counts = (t.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    del t
+    trim()
     order = np.argsort(keys)
     return keys[order], counts[order]
 
@@ -106,6 +108,19 @@ def release_caches() -> None:
         d.clear()
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system, where that is possible."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # ---- text buffers -------------------------------------------------------------------------------
 
 

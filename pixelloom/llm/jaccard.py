@@ -111,10 +111,9 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = Fal
     return docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
-def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: tuple[np.ndarray, np.ndarray] | None, num: int, den: int) -> DataFrame:
-    """Rows (sig, key, n, score). wanted: tokens that two sets have at least and their counts, if they are few enough to be sent
-    out. score: how much the tokens of a set's prefix are shared."""
-    sent = sets.sparkSession.sparkContext.broadcast((frequent, wanted))
+def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
+    """Rows (sig, key, n, score). sent: a broadcast of the frequent tokens, and of the tokens that two sets have at least with the
+    logarithms of their counts (None if they are too many). score: how much the tokens of a set's prefix are shared."""
 
     def run(batches):
         release_caches()
@@ -149,9 +148,8 @@ def _signature_rows(sets: DataFrame, frequent: np.ndarray, wanted: tuple[np.ndar
     return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long, score double")
 
 
-def _short(sets: DataFrame, frequent: np.ndarray, num: int, den: int) -> DataFrame:
-    """Keys of sets that are known in part only and hold too few rare tokens."""
-    sent = sets.sparkSession.sparkContext.broadcast(frequent)
+def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
+    """Keys of sets that are known in part only and hold too few rare tokens. sent: the frequent tokens, broadcast."""
 
     def run(batches):
         frequent = sent.value
@@ -172,7 +170,9 @@ def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int,
     many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike."""
     added = None
     while True:
-        short = materialize(_short(sets, frequent, num, den), "jaccard-short")
+        sent = sets.sparkSession.sparkContext.broadcast(frequent)
+        short = materialize(_short(sets, sent, num, den), "jaccard-short")
+        sent.destroy()
         n = short.count()
         if not n:
             return sets, frequent, added
@@ -255,7 +255,10 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     again = small_counts(materialize(again, "jaccard-wanted"), **({} if max_broadcast is None else {"bound": max_broadcast}))
     if again is not None:
         again = again[0], np.log2(again[1]).astype(np.float32)
-    rows = materialize(_signature_rows(sets, often, again, num, den), "jaccard-index")
+    sent = docs.sparkSession.sparkContext.broadcast((often, again))
+    rows = materialize(_signature_rows(sets, sent, num, den), "jaccard-index")
+    sent.destroy()
+    del again
     drop_scratch(counts)
     rep = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "n")).alias("r"), F.count("*").alias("c")).where("c > 1")
     rep = rep.select("sig", F.col("r.key").alias("rk"), F.col("r.n").alias("rn"), "c")

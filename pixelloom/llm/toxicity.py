@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, release_caches, row_key, small_batches, text_bytes, word_spans
+from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, release_caches, row_key, small_batches, text_bytes, trim, word_spans
 
 BITS = 20
 SAMPLE = 6_000
@@ -146,7 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample:
             own[held] = m.scores(where[at[used]], feats[used], len(held), outside[held])
         models.append(fit_linear(at, feats, y[:, j], outside))
         outside = np.column_stack([outside, own])
-    return Chain(list(categories), models, best_threshold(outside[:, -1], y[:, -1]))
+    chain = Chain(list(categories), models, best_threshold(outside[:, -1], y[:, -1]))
+    del picked, sets, feats, at, outside, y
+    trim()
+    return chain
 
 
 def _feature_rows(rows: DataFrame, names: list[str]) -> DataFrame:
