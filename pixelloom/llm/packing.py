@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import chunks, mix, powers, prefix_sums, small_batches, text_bytes, worker_cache
+from pixelloom.llm.common import chunks, mix, powers, prefix_sums, text_bytes, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -287,7 +287,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
         if packer.out:
             yield emit()
 
-    return small_batches(docs, 1000).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 _made: dict[str, WordTokenizer] = {}
