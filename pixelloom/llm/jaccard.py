@@ -165,17 +165,17 @@ def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
     return sets.select("key", "n", "toks").mapInArrow(run, "key long")
 
 
-def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None]:
-    """(sets, frequent tokens, tokens that were added): until every set has enough rare tokens or is known in full. Tokens that
+def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None, int]:
+    """(sets, frequent tokens, tokens that were added, sum of the bounds used): until every set has enough rare tokens or is known in full. Tokens that
     many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike."""
-    added = None
+    added, bound = None, 0
     while True:
         sent = sets.sparkSession.sparkContext.broadcast(frequent)
         short = materialize(_short(sets, sent, num, den), "jaccard-short")
         sent.destroy()
         n = short.count()
         if not n:
-            return sets, frequent, added
+            return sets, frequent, added, bound
         ids = F.broadcast(short) if n <= MAX_FREQUENT else short
         rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).join(ids, "key", "left_semi")
         full = materialize(token_sets(rows, size, num, den, whole=True).dropDuplicates(["key"]).select("key", "n", "toks"), "jaccard-full")
@@ -186,6 +186,7 @@ def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int,
         rare = RARE
         while (more := small_keys(own.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
             rare *= 2
+        bound += rare
         frequent = np.union1d(frequent, more)
 
 
@@ -250,7 +251,7 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     rare = RARE
     while (often := small_keys(counts.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
         rare *= 2
-    sets, often, added = _complete(docs, sets, often, size, num, den)
+    sets, often, added, bound = _complete(docs, sets, often, size, num, den)
     again = counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c"))
     again = small_counts(materialize(again, "jaccard-wanted"), **({} if max_broadcast is None else {"bound": max_broadcast}))
     if again is not None:
@@ -267,7 +268,9 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     pairs = pairs.select(F.greatest("key", "rk").alias("a"), F.least("key", "rk").alias("b"), F.when(F.col("key") > F.col("rk"), F.col("n")).otherwise(F.col("rn")).alias("na"), F.when(F.col("key") > F.col("rk"), F.col("rn")).otherwise(F.col("n")).alias("nb"))
     tested = materialize(pairs.distinct(), "jaccard-pairs")
     comps = components(_verified(docs, sets, tested, size, num, den))
-    hot = max(HOT, 8 * rare)  # entries of rare tokens never get there, and the others hold whole sets
+    # a rare token is in so many prefixes, and in so many of the sets that each round read again, at most: its entry never
+    # gets beyond hot, and the others hold whole sets
+    hot = max(HOT, rare + bound)
     large = materialize(_apart(rows.where(F.col("c") > hot), comps), "jaccard-large")
     if large.limit(1).count():
         comps = _joined(comps, _block_links(large, sets, num, den))

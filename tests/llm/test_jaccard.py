@@ -61,6 +61,23 @@ def test_tokens_that_are_not_sent_out(spark):
     assert result(docs, 3, 90, max_broadcast=0) == brute(rows, 3, 90)
 
 
+def test_large_entries_of_tokens_that_are_rare_in_full_sets_only(spark, monkeypatch):
+    """Near copies read again have too many tokens in common for the bound of the prefixes, and short texts known in part share them."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(602)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(600)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(base[at : at + 12])) for i, at in enumerate(range(0, 590, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "RARE", 4)
+    monkeypatch.setattr(jaccard, "MAX_FREQUENT", 120)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    assert result(docs, 3, 90) == brute(rows, 3, 90)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got, want = result(odd_docs, 3, 90), brute(rows, 3, 90)
