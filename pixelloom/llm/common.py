@@ -5,6 +5,9 @@ Null texts count as empty everywhere. Every helper works on whole texts.
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,24 +24,34 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine does on a
+    local master (tests); on a cluster that would lose data, so it is an error there."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        d = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="pixelloom-"))
     return d.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(df: DataFrame, rows: int = 150) -> DataFrame:
-    """Keep Arrow batches of whole texts small: at most so many rows in one, from now on in this session."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= rows:
-        conf.set(name, str(rows))
-    return df
+@contextlib.contextmanager
+def few_rows(spark: SparkSession, rows: int = 150) -> Iterator[None]:
+    """While it lasts, Arrow batches have at most so many rows; then the session's setting holds again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -203,36 +216,58 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE)
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def blocks_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one little-endian number. padded: bytes with 8 more at their end."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at]
+
+
+#: Masks of the lowest 0 to 8 bytes.
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span beyond which it is digested by itself.
+LONG_SPAN = 512
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a chain of finalised 8-byte blocks, so spans that differ in one block never collide; spans
+    of more than LONG_SPAN bytes by a cryptographic digest."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    sizes = ends - starts
+    h = mix(sizes.astype(np.uint64) + np.uint64(MULTIPLIER))
+    todo, at = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN)), 0
+    while len(todo):
+        left = sizes[todo] - at
+        h[todo] = mix(h[todo] * np.uint64(MULTIPLIER) ^ (blocks_at(padded, starts[todo] + at) & LOW_BYTES[np.minimum(left, 8)]))
+        todo, at = todo[left > 8], at + 8
+    for k in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs without white space, A-Z lower-cased) of the texts, and their number per text."""
-    n = len(buf)
-    if not n:
+    if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     buf = _LOWER[buf]
     starts, ends = word_spans(buf, offsets)
-    s = prefix_sums(buf)
-    h = (s[ends] - s[starts]) * powers(n)[1][starts]
-    per = np.searchsorted(starts, offsets)
-    return mix(h + (ends - starts).astype(np.uint64)), np.diff(per)
+    return hash_spans(buf, starts, ends), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its word n-grams; a text with fewer words is one n-gram, without words none."""
     w, counts = words(buf, offsets)
     ends = np.cumsum(counts)
-    grams = np.zeros(max(0, len(w) - size + 1), np.uint64)
+    grams = np.full(max(0, len(w) - size + 1), size, np.uint64)
     for j in range(size):
-        grams += w[j : j + len(grams)] * np.uint64(pow(MULTIPLIER, j + 1, 1 << 64))
-    grams = mix(grams)
+        grams = mix(grams * np.uint64(MULTIPLIER) ^ w[j : j + len(grams)])
     out = []
     for c, e in zip(counts.tolist(), ends.tolist(), strict=True):
         if c >= size:
             out.append(np.unique(grams[e - c : e - size + 1]))
         elif c:
-            whole = np.uint64(c)
-            part = w[e - c : e]
-            odd = np.array([pow(MULTIPLIER, j + 1, 1 << 64) for j in range(c)], np.uint64)
-            out.append(mix(np.array([(part * odd).sum() + whole], np.uint64)))
+            whole = np.full(1, c, np.uint64)
+            for x in w[e - c : e]:
+                whole = mix(whole * np.uint64(MULTIPLIER) ^ x)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out

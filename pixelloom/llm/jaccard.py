@@ -3,18 +3,21 @@
 A text's tokens (hashes of its word n-grams) are ordered rare ones first, then by hash. A prefix long enough that two similar
 texts must share part of it is indexed: rare tokens singly; where a text hasn't enough of them, its prefix is extended by
 frequent tokens, indexed in pairs within classes by a second hash. A class with i tokens loses one, so rare tokens plus
-frequent ones less the number of their classes must reach p = size - least overlap + 1.
+frequent ones less the number of their classes must reach p = size - least overlap + 1. An entry carries the largest size that
+a partner found there first can have (its reach), so two texts are compared only where both lie within the other's reach.
 
 Only the tokens of lowest hash are kept at first; texts that need more of them are read again in full. Texts that share an index entry
 are first compared with the entry's representative, the text whose tokens are shared most; then, where an entry's texts are
-still in different components, in blocks inside tasks if the entry is large, else in random slots of a few texts for some
-rounds, and at last every pair that is still in different components and wasn't compared yet. So a large group of near
-copies costs about as many comparisons as it has texts, no pair of it becomes a row, and no link between components is
-lost. Every link is verified on whole sets.
+still in different components, those outside its largest component are compared with the others: in blocks inside tasks if
+the entry is large, else in random slots of a few texts, and at last every such pair that wasn't compared yet. So a large group
+of near copies costs about as many comparisons as it has texts, no pair of it becomes a row, and no link between components is
+lost. A comparison takes place at its hub, the text that many others are compared with: a hub's texts are dealt into buckets of
+HUB, and the hub's own text goes to each bucket once. Links are verified word by word on whole texts, but for those inside
+blocks, which compare 64-bit hashes of all tokens.
 
 Defined cases: a null text is empty; texts without words link with nothing; texts of fewer words than n are one token;
-equal sets are one class and link; repeated rows and repeated or null ids are allowed, a component's id is its smallest
-non-null id; empty tables give no rows; extra columns are ignored. Thresholds lie above one half.
+equal sets are one class (128-bit identity) and link; repeated rows and repeated or null ids are allowed, a component's id is
+its smallest non-null id; empty tables give no rows; extra columns are ignored. Thresholds lie above one half.
 """
 
 from __future__ import annotations
@@ -24,22 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, materialize, member, mix, release_caches, row_key, shingle_sets, small_batches, small_counts, small_keys, text_bytes
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, materialize, member, mix, release_caches, row_key, shingle_sets, small_counts, small_keys, text_bytes
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
 RARE = 32
-#: Most frequent tokens; beyond it the bound above is doubled, which changes no result.
+#: Most frequent tokens; beyond it the bound above is doubled, which changes no result. Also the most keys that are broadcast.
 MAX_FREQUENT = 1_000_000
-#: Frequent tokens that a class has in a prefix, about.
-CLASS_TOKENS = 7
 #: Texts of a random slot, and rounds of slots before all pairs that are left.
 SLOT = 8
-ROUNDS = 2
-#: Texts of an entry beyond which its pairs are compared inside tasks, BLOCK x BLOCK texts at a time, and only links leave them.
+ROUNDS = 1
+#: Texts of an entry beyond which its pairs are compared inside tasks, at most BLOCK texts and about BLOCK_TOKENS tokens a side.
 HOT = 256
 BLOCK = 1024
-SETS = "doc_id long, key long, n long, cls long, toks array<long>"
+BLOCK_TOKENS = 1_000_000
+#: Texts that are compared with a hub in one place.
+HUB = 256
+SETS = "rid long, doc_id long, key long, n long, cls long, cls2 long, toks array<long>"
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -48,7 +52,8 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def classes(scheme: int, num: int, den: int) -> int:
-    return -(-prefix_length(1 << scheme, num, den) // CLASS_TOKENS)
+    """Classes of frequent tokens: fewer than the least overlap of sets of this scheme, so that two such sets share two tokens of a class."""
+    return max(1, min((1 << scheme) // 2, -(-(num << scheme) // den) - 1))
 
 
 def schemes(n: int, num: int, den: int) -> list[int]:
@@ -57,27 +62,37 @@ def schemes(n: int, num: int, den: int) -> list[int]:
     return [b, b + 1] if n * den >= num << (b + 1) else [b]
 
 
-def signatures(toks: np.ndarray, n: int, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index entries of a set of size n from its lowest tokens: enough to hold p rare ones, or all of them."""
+def signatures(toks: np.ndarray, n: int, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set of size n from its lowest tokens, and their places in the prefix: what must be missing before an entry
+    for it to be the first that is shared."""
     p = prefix_length(n, num, den)
     often = member(toks, frequent)
     rare = toks[~often][:p]
-    if len(rare) >= p:
-        return rare
-    out: set[int] = set(rare.tolist())
-    toks = toks[often]
-    for scheme in schemes(n, num, den):
-        m = np.uint64(classes(scheme, num, den))
-        own = ((mix(toks.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % m).astype(np.int64)
-        gain = len(rare)
-        for c in np.unique(own):  # class by class
-            if gain >= p:
-                break
-            t = toks[own == c][: p - gain + 1].view(np.uint64)
-            gain += len(t) - 1
-            i, j = np.triu_indices(len(t), 1)
-            out.update(mix(t[i] * np.uint64(MULTIPLIER) + mix(t[j]) + np.uint64(scheme + 1)).view(np.int64).tolist())
-    return np.fromiter(out, np.int64, len(out))
+    sigs, places = [rare], [np.arange(len(rare))]
+    if len(rare) < p:
+        toks = toks[often]
+        kind = mix(toks.view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+        for scheme in schemes(n, num, den):
+            own = (kind % np.uint64(classes(scheme, num, den))).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(own[order]) > 0)), len(order)) if len(order) else np.zeros(1, np.int64)
+            gain = len(rare)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # class by class
+                if gain >= p:
+                    break
+                if y - x < 2:
+                    continue
+                t = toks[order[x:y]][: p - gain + 1].view(np.uint64)
+                i, j = np.triu_indices(len(t), 1)
+                sigs.append(mix(t[i] * np.uint64(MULTIPLIER) + mix(t[j]) + np.uint64(scheme + 1)).view(np.int64))
+                places.append(gain + j - 1)
+                gain += len(t) - 1
+    return np.concatenate(sigs), np.concatenate(places)
+
+
+def reach(n: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Largest partner of a set of size n whose first shared entry has this place: num (n + m) <= (n - place) (num + den)."""
+    return (n - place) * (num + den) // num - n
 
 
 def kept(n: int, num: int, den: int) -> int:
@@ -87,33 +102,37 @@ def kept(n: int, num: int, den: int) -> int:
 
 
 def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """Per row (doc_id, key, n, cls, toks): set size, identity of the set, and its lowest tokens or all of them."""
+    """Per row (rid, doc_id, key, n, cls, cls2, toks): a unique number, the row's key, set size, identity of the set, and its lowest
+    tokens or all of them. docs may carry a column __rid."""
 
     def run(batches):
         release_caches()
         for b in batches:
-            buf, off = text_bytes(b.column(2))
+            buf, off = text_bytes(b.column(3))
             ns, cls, toks = [], [], []
             for i, j in chunks(off):
                 for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size):
                     n = len(s)
-                    s = np.sort(s.view(np.int64))
                     ns.append(n)
-                    cls.append(int(mix(np.array([mix(s.view(np.uint64)).sum() + np.uint64(n)], np.uint64)).view(np.int64)[0]))
+                    both = np.array([mix(s).sum(), mix(s ^ np.uint64(0xA24BAED4963EE407)).sum()], np.uint64)
+                    cls.append(mix(both + np.uint64(n)).view(np.int64))
+                    s = np.sort(s.view(np.int64))
                     toks.append(s if whole or not n else s[: kept(n, num, den)])
             ends = np.cumsum([0, *map(len, toks)]).astype(np.int32)
             flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
+            one, two = np.array(cls, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "key", "n", "cls", "toks"],
+                [b.column(0), b.column(1), b.column(2), pa.array(ns, pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [c.split()[0] for c in SETS.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, SETS)
+    rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(rid, F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, SETS)
 
 
 def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
-    """Rows (sig, key, n, score). sent: a broadcast of the frequent tokens, and of the tokens that two sets have at least with the
-    logarithms of their counts (None if they are too many). score: how much the tokens of a set's prefix are shared."""
+    """Rows (sig, key, n, reach, single, score). sent: a broadcast of the frequent tokens, and of the tokens that two sets have at least
+    with the logarithms of their counts (None if they are too many). score: how much the tokens of a set's prefix are shared."""
 
     def run(batches):
         release_caches()
@@ -130,22 +149,25 @@ def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
             else:
                 shared, weight = np.ones(len(values), bool), member(values, frequent).astype(float)
             weight = np.append(0.0, np.cumsum(weight))
-            sigs, counts = [], []
+            sigs, places, counts, single = [], [], [], []
             for i, n in enumerate(ns.tolist()):
                 t = values[ends[i] : ends[i + 1]]
-                s = signatures(t, n, frequent, num, den)
+                s, at = signatures(t, n, frequent, num, den)
                 if wanted is not None:
                     # entries that are single tokens of one set only lead nowhere
-                    alone = np.sort(t[~shared[ends[i] : ends[i + 1]]])
-                    s = s[~member(s, alone)]
+                    use = ~member(s, t[~shared[ends[i] : ends[i + 1]]])
+                    s, at = s[use], at[use]
                 sigs.append(s)
+                places.append(at)
                 counts.append(len(s))
+                single.append(member(s, t))
             score = (weight[ends[1:]] - weight[ends[:-1]]) / np.maximum(np.diff(ends), 1)
-            sig = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            rep = lambda x: pa.array(np.repeat(x, counts))
-            yield pa.RecordBatch.from_arrays([pa.array(sig), rep(b.column(0).to_numpy()), rep(ns), rep(score)], ["sig", "key", "n", "score"])
+            rep = lambda x: np.repeat(x, counts)
+            cat = lambda x, kind=np.int64: np.concatenate([np.zeros(0, kind), *x])
+            far = reach(rep(ns), cat(places), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cat(sigs), rep(b.column(0).to_numpy()), rep(ns), far, cat(single, bool), rep(score))], ["sig", "key", "n", "reach", "single", "score"])
 
-    return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long, score double")
+    return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long, reach long, single boolean, score double")
 
 
 def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
@@ -165,7 +187,20 @@ def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
     return sets.select("key", "n", "toks").mapInArrow(run, "key long")
 
 
-def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None, int]:
+def _texts(docs: DataFrame, rows: DataFrame, keys: DataFrame, name: str | None) -> DataFrame:
+    """Rows (__rid, doc_id, text) of the sets with these keys, materialized if a name is given. rows: (rid, doc_id, key) of all."""
+    where = materialize(rows.select("rid", F.col("doc_id").alias("__id"), F.col("key").alias("__key")).join(keys.select(F.col("key").alias("rid")), "rid", "left_semi"), "jaccard-where")
+    small = F.broadcast(where) if where.count() <= MAX_FREQUENT else where
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key("doc_id", "text").alias("__own"))
+    found = own.join(small, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.col("rid").alias("__rid"), "doc_id", "text")
+    if name is None:
+        return found
+    found = materialize(found.select("__rid", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), name)
+    drop_scratch(where)
+    return found
+
+
+def _complete(docs: DataFrame, rows: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None, int]:
     """(sets, frequent tokens, tokens that were added, sum of the bounds used): until every set has enough rare tokens or is known in full. Tokens that
     many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike."""
     added, bound = None, 0
@@ -175,14 +210,16 @@ def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int,
         sent.destroy()
         n = short.count()
         if not n:
+            drop_scratch(short)
             return sets, frequent, added, bound
         ids = F.broadcast(short) if n <= MAX_FREQUENT else short
-        rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).join(ids, "key", "left_semi")
-        full = materialize(token_sets(rows, size, num, den, whole=True).dropDuplicates(["key"]).select("key", "n", "toks"), "jaccard-full")
-        sets = materialize(sets.join(ids, "key", "left_anti").unionByName(full), "jaccard-sets")
+        full = token_sets(_texts(docs, rows, short, None), size, num, den, whole=True)
+        full = materialize(full.select(F.col("rid").alias("key"), "n", "toks").dropDuplicates(["key"]), "jaccard-full")
+        now = materialize(sets.join(ids, "key", "left_anti").unionByName(full), "jaccard-sets")
         own = full.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c"))
         own = materialize(own, "jaccard-added")
-        added = own if added is None else added.unionByName(own)
+        drop_scratch(sets, full, short)
+        sets, added = now, own if added is None else added.unionByName(own)
         rare = RARE
         while (more := small_keys(own.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
             rare *= 2
@@ -190,51 +227,92 @@ def _complete(docs: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int,
         frequent = np.union1d(frequent, more)
 
 
-def _may(a: str, b: str, num: int, den: int):
-    return F.least(a, b) * den >= F.greatest(a, b) * num
-
-
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) among pairs (a, b, na, nb)."""
-    least = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / (num + den))
-    toks = sets.select("key", "toks")
-    both = pairs.join(toks.select(F.col("key").alias("a"), F.col("toks").alias("ta")), "a").join(toks.select(F.col("key").alias("b"), F.col("toks").alias("tb")), "b")
-    # below the lower of the two last known tokens both sets are known; beyond it they share no more than the rest
-    both = both.withColumn("h", F.least(F.element_at("ta", -1), F.element_at("tb", -1)))
-    low = both.selectExpr("a", "b", "na", "nb", "filter(ta, x -> x <= h) AS ta", "filter(tb, x -> x <= h) AS tb")
-    most = F.size(F.array_intersect("ta", "tb")) + F.least(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
-    likely = materialize(low.where(most >= least).select("a", "b").distinct(), "jaccard-likely")
-    ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-ids")
-    wanted = F.broadcast(ids) if ids.count() <= MAX_FREQUENT else ids
-    texts = docs.select(row_key("doc_id", "text").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "key", "left_semi")
-    texts = materialize(texts, "jaccard-texts")
+def _at_hubs(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFrame:
+    """Rows (hub, mem, nh, nm) of pairs that judge() accepts. payload: (key, n, <column>), maybe with repeats. judge(hub's n, payload,
+    memory of the hub) gives a function of a partner's n and payload."""
+    kind = payload.schema[column].dataType.simpleString()
+    deg = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB).alias("salts"))
+    dealt = materialize(pairs.join(deg, "hub").withColumn("salt", F.pmod(F.xxhash64("mem"), F.col("salts"))).select("hub", "mem", "salt", "nh", "nm"), "jaccard-dealt")
+    mem = dealt.join(payload.withColumnRenamed("key", "mem"), "mem").select("hub", "salt", "mem", "nh", "nm", column)
+    hub = dealt.select("hub", "salt", "nh").distinct().join(payload.withColumnRenamed("key", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("mem"), "nh", F.lit(None).cast("long").alias("nm"), column)
+    rows = hub.unionByName(mem).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("mem").asc_nulls_first())
 
     def run(batches):
         release_caches()
-        seen: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for side, ids in ((2, a), (3, b)):
-                new = {k: i for i, k in enumerate(ids.tolist()) if k not in seen}
-                buf, off = text_bytes(batch.column(side).take(pa.array(list(new.values()), pa.int64())))
-                keys = list(new)
-                for i, j in chunks(off):
-                    for k, s in zip(keys[i:j], shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size), strict=True):
-                        seen[k] = s
-            good = []
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                s, t = seen[x], seen[y]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(both * den >= num * (len(s) + len(t) - both))
-            good = np.array(good, bool)
-            last = b[-1] if len(b) else None
-            seen = {last: seen[last]} if last is not None else {}
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
-
-    full = likely.join(texts.select(F.col("key").alias("a"), F.col("text").alias("xa")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("xb")), "b")
-    links = materialize(full.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+        now = check = None
+        for b in batches:
+            out = []
+            whole = b.column(5)
+            for i, (h, salt, m, nh, nm) in enumerate(zip(*(b.column(k).to_pylist() for k in range(5)))):
+                if m is None:
+                    if now != (h, salt):
+                        now, check = (h, salt), judge(nh, whole[i])
+                elif now == (h, salt) and check(nm, whole[i]):
+                    out.append((h, m, nh, nm))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["hub", "mem", "nh", "nm"])
+
+    assert kind in ("string", "array<bigint>")
+    found = materialize(rows.mapInArrow(run, "hub long, mem long, nh long, nm long"), f"jaccard-{column}-passed")
+    drop_scratch(dealt)
+    return found
+
+
+def _sketch_judge(num: int, den: int):
+    """Whether two sets may be similar by the tokens that are known of both: below the lower of their bounds all are known, beyond
+    it they share no more than the rest."""
+
+    def judge(n, toks):
+        mine = toks.values.to_numpy()
+        last = mine[-1] if len(mine) < n else np.int64(2**63 - 1)
+
+        def check(m, other):
+            theirs = other.values.to_numpy()
+            end = min(last, theirs[-1] if len(theirs) < m else last)
+            a, b = mine[: np.searchsorted(mine, end, "right")], theirs[: np.searchsorted(theirs, end, "right")]
+            most = len(np.intersect1d(a, b, assume_unique=True)) + min(n - len(a), m - len(b))
+            return most * (num + den) >= num * (n + m)
+
+        return check
+
+    return judge
+
+
+def _text_judge(size: int, num: int, den: int):
+    """Whether two texts are similar, word by word: words become numbers, and so do the n-grams, joined one word at a time."""
+
+    def judge(_, text):
+        known: dict[bytes, int] = {}
+        numbers = lambda t: np.fromiter((known.setdefault(w, len(known)) for w in t.as_buffer().to_pybytes().lower().split()), np.int64)
+        mine = numbers(text)
+
+        def check(_, other):
+            theirs = numbers(other)
+            if min(len(mine), len(theirs)) < size:
+                return len(mine) == len(theirs) and bool((mine == theirs).all())
+            a, b = mine, theirs
+            for j in range(1, size):
+                x, y = a[:-1] * len(known) + mine[j:], b[:-1] * len(known) + theirs[j:]
+                codes = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+                a, b = codes[: len(x)], codes[len(x) :]
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both * den >= num * (len(a) + len(b) - both)
+
+        return check
+
+    return judge
+
+
+def _verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among pairs (hub, mem, nh, nm)."""
+    likely = _at_hubs(pairs, sets.select("key", "toks"), "toks", _sketch_judge(num, den))
+    if not likely.limit(1).count():
+        return likely.select(F.col("hub").alias("a"), F.col("mem").alias("b"))
+    ids = materialize(likely.select(F.explode(F.array("hub", "mem")).alias("key")).distinct(), "jaccard-ids")
+    texts = _texts(docs, rows, ids, "jaccard-texts").select(F.col("__rid").alias("key"), "text")
+    links = _at_hubs(likely, texts, "text", _text_judge(size, num, den))
     drop_scratch(texts, ids, likely)
-    return links
+    return links.select(F.col("hub").alias("a"), F.col("mem").alias("b"))
 
 
 def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -242,101 +320,142 @@ def link(docs: DataFrame, size: int, num: int, den: int = 100, max_broadcast: in
     component) for nodes that link with others. Texts of equal sets share a node."""
     if not den < 2 * num <= 2 * den:
         raise ValueError("the threshold must lie above one half")
-    docs = small_batches(docs)
-    every = materialize(token_sets(docs, size, num, den), "jaccard-sets")
-    node = materialize(every.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key")), "jaccard-nodes")
-    sets = materialize(every.where("n > 0").join(node.select("key"), "key", "left_semi").select("key", "n", "toks").dropDuplicates(["key"]), "jaccard-sets")
+    with few_rows(docs.sparkSession):
+        return _link(docs, size, num, den, max_broadcast)
+
+
+def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | None) -> tuple[DataFrame, DataFrame]:
+    every = materialize(token_sets(docs, size, num, den), "jaccard-every")
+    node = materialize(every.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("rid").alias("node")), "jaccard-nodes")
+    rows = every.select("rid", "doc_id", "key", "n", "cls", "cls2").join(node, ["cls", "cls2", "n"], "left").select("rid", "doc_id", "key", "n", "node")
+    rows = materialize(rows, "jaccard-rows")
+    sets = materialize(every.select(F.col("rid").alias("key"), "n", "toks").join(node.select(F.col("node").alias("key")), "key", "left_semi"), "jaccard-sets")
+    drop_scratch(every, node)
     counts = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     counts = materialize(counts, "jaccard-counts")
     rare = RARE
     while (often := small_keys(counts.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
         rare *= 2
-    sets, often, added, bound = _complete(docs, sets, often, size, num, den)
-    again = counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c"))
-    again = small_counts(materialize(again, "jaccard-wanted"), **({} if max_broadcast is None else {"bound": max_broadcast}))
-    if again is not None:
-        again = again[0], np.log2(again[1]).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((often, again))
-    rows = materialize(_signature_rows(sets, sent, num, den), "jaccard-index")
+    sets, often, added, bound = _complete(docs, rows, sets, often, size, num, den)
+    again = materialize(counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c")), "jaccard-wanted")
+    wanted = small_counts(again, **({} if max_broadcast is None else {"bound": max_broadcast}))
+    if wanted is not None:
+        wanted = wanted[0], np.log2(wanted[1]).astype(np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast((often, wanted))
+    index = _signature_rows(sets, sent, num, den)
+    if wanted is None:  # too many to send out: the entries go to the tokens
+        index = index.join(again.select(F.col("tok").alias("sig"), "c").where("c > 1"), "sig", "left").where("not single or c is not null").drop("c")
+    index = materialize(index.drop("single"), "jaccard-index")
     sent.destroy()
-    del again
-    drop_scratch(counts)
-    rep = rows.groupBy("sig").agg(F.max(F.struct("score", "key", "n")).alias("r"), F.count("*").alias("c")).where("c > 1")
-    rep = rep.select("sig", F.col("r.key").alias("rk"), F.col("r.n").alias("rn"), "c")
-    rows = entries = materialize(rows.join(rep, "sig").select("sig", "key", "n", "rk", "rn", "c"), "jaccard-entries")
-    pairs = rows.where((F.col("key") != F.col("rk")) & _may("n", "rn", num, den))
-    pairs = pairs.select(F.greatest("key", "rk").alias("a"), F.least("key", "rk").alias("b"), F.when(F.col("key") > F.col("rk"), F.col("n")).otherwise(F.col("rn")).alias("na"), F.when(F.col("key") > F.col("rk"), F.col("rn")).otherwise(F.col("n")).alias("nb"))
-    tested = materialize(pairs.distinct(), "jaccard-pairs")
-    comps = components(_verified(docs, sets, tested, size, num, den))
+    del wanted
+    drop_scratch(counts, again, *([] if added is None else [added]))
+    rep = index.groupBy("sig").agg(F.max(F.struct("score", "key", "n", "reach")).alias("r"), F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1")
+    rep = rep.select("sig", F.col("r.key").alias("hub"), F.col("r.n").alias("nh"), F.col("r.reach").alias("rh"), "c", "least")
+    entries = materialize(index.join(rep, "sig").where("reach >= least").select("sig", "key", "n", "reach", "c", "hub", "nh", "rh"), "jaccard-entries")
+    drop_scratch(index)
+    star = entries.where("key <> hub and n <= rh and nh <= reach").select("hub", F.col("key").alias("mem"), "nh", F.col("n").alias("nm"))
+    tested = materialize(star.distinct(), "jaccard-pairs")
+    comps = components(_verified(docs, rows, sets, tested, size, num, den))
+    tested = [tested]
     # a rare token is in so many prefixes, and in so many of the sets that each round read again, at most: its entry never
     # gets beyond hot, and the others hold whole sets
     hot = max(HOT, rare + bound)
-    large = materialize(_apart(rows.where(F.col("c") > hot), comps), "jaccard-large")
+    apart = _apart(entries, comps)
+    drop_scratch(entries)
+    large, fresh = apart.where(F.col("c") > hot), False
     if large.limit(1).count():
-        comps = _joined(comps, _block_links(large, sets, num, den))
-    rows = rows.where(F.col("c") <= hot)
+        sure, maybe = _block_links(large, sets, num, den)
+        if maybe.limit(1).count():
+            sure = sure.unionByName(_verified(docs, rows, sets, maybe, size, num, den))
+        if sure.limit(1).count():
+            comps, fresh = _joined(comps, sure), True
+    apart = apart.where(F.col("c") <= hot)
     for r in range(ROUNDS + 1):
+        if fresh:
+            now = _apart(apart, comps)
+            drop_scratch(apart)
+            apart, fresh = now, False
         slots = F.ceil(F.col("c") / SLOT) if r < ROUNDS else F.lit(1)
-        named = materialize(_apart(rows, comps).withColumn("slot", F.pmod(F.xxhash64("key", F.lit(r)), slots)), "jaccard-apart")
+        named = apart.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(r)), slots))
         most = named.agg(F.max("c")).first()[0]
         if most is None:
             break
-        x = named.select("sig", "slot", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = named.select("sig", "slot", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        rest = x.join(y, ["sig", "slot"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _may("na", "nb", num, den))
-        rest = materialize(rest.select("a", "b", "na", "nb").distinct().join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        drop_scratch(named)
+        x = named.where("component <> main").select("sig", "slot", F.col("key").alias("hub"), F.col("n").alias("nh"), F.col("reach").alias("rh"), F.col("component").alias("ch"))
+        y = named.select("sig", "slot", F.col("key").alias("mem"), F.col("n").alias("nm"), F.col("reach").alias("rm"), F.col("component").alias("cm"))
+        rest = x.join(y, ["sig", "slot"]).where("ch <> cm and nh <= rm and nm <= rh")
+        rest = rest.select(F.greatest("hub", "mem").alias("a"), F.least("hub", "mem").alias("b"), F.when(F.col("hub") > F.col("mem"), F.col("nh")).otherwise(F.col("nm")).alias("na"), F.when(F.col("hub") > F.col("mem"), F.col("nm")).otherwise(F.col("nh")).alias("nb")).distinct()
+        for t in tested:
+            rest = rest.join(t.select(F.greatest("hub", "mem").alias("a"), F.least("hub", "mem").alias("b")), ["a", "b"], "left_anti")
+        rest = materialize(rest.select(F.col("a").alias("hub"), F.col("b").alias("mem"), F.col("na").alias("nh"), F.col("nb").alias("nm")), "jaccard-pairs")
         if rest.limit(1).count():
-            more = _verified(docs, sets, rest, size, num, den)
-            comps = _joined(comps, more)
-            tested = tested.unionByName(rest)
+            more = _verified(docs, rows, sets, rest, size, num, den)
+            if more.limit(1).count():
+                comps, fresh = _joined(comps, more), True
+        tested.append(rest)
         if most <= SLOT:  # that was every pair
             break
-    drop_scratch(entries, sets)
-    out = every.select("doc_id", "key", "n", "cls").join(node.select("cls", "n", F.col("key").alias("node")), ["cls", "n"], "left")
-    return out.select("doc_id", "key", "n", "node"), comps
+    drop_scratch(apart, sets, *tested)
+    return rows.select("doc_id", "key", "n", "node"), comps
 
 
 def _apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of entries whose texts are in different components, with those."""
-    named = rows.select("sig", "key", "n", "c").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    apart = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    return named.join(apart, "sig", "left_semi")
-
-
-def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked inside the blocks of large entries. rows: (sig, key, c, component)."""
-    blocks = F.ceil(F.col("c") / BLOCK)
-    cut = rows.withColumn("k", blocks).withColumn("m", F.pmod(F.xxhash64("key", "sig"), F.col("k")))
-    cut = cut.withColumn("o", F.explode(F.expr("sequence(cast(0 as bigint), k - 1)")))
-    cut = cut.select("sig", "key", "component", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.when(F.col("m") == F.col("o"), 0).when(F.col("m") < F.col("o"), 1).otherwise(2).alias("side"))
-    full = cut.join(sets.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "side", "n", "toks")
+    """Rows (sig, key, n, reach, c, component, main) of entries whose texts are in different components; main is the largest of those."""
+    named = rows.select("sig", "key", "n", "reach", "c").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = materialize(named, "jaccard-named")
+    parts = named.groupBy("sig", "component").agg(F.count("*").alias("k")).groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("m"))
+    out = materialize(named.join(parts.where("parts > 1").select("sig", F.col("m.component").alias("main")), "sig"), "jaccard-apart")
+    drop_scratch(named)
+    return out
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), pairs to verify (hub, mem, nh, nm)) of large entries: the texts outside an entry's main component, in blocks, against
+    all its texts, in blocks. rows: those of _apart()."""
+    sums = rows.groupBy("sig").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("few"), F.avg("n").alias("mean"))
+    side = F.greatest(F.lit(16.0), F.least(F.lit(float(BLOCK)), F.lit(float(BLOCK_TOKENS)) / F.col("mean")))
+    sums = sums.select("sig", F.ceil(F.col("few") / side).alias("kx"), F.ceil(F.col("all") / side).alias("ky"))
+    cut = rows.join(sums, "sig").withColumn("h", F.xxhash64("key", "sig"))
+    base = ["sig", "key", "component", "reach"]
+    left = cut.where("component <> main").select(*base, F.pmod("h", "kx").alias("x"), F.explode(F.expr("sequence(cast(0 as bigint), ky - 1)")).alias("y"), F.lit(True).alias("left"))
+    right = cut.select(*base, F.explode(F.expr("sequence(cast(0 as bigint), kx - 1)")).alias("x"), F.pmod("h", "ky").alias("y"), F.lit(False).alias("left"))
+    full = left.unionByName(right).join(sets.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "left", "reach", "n", "toks")
     full = full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, comp, side, n = (t.column(c).to_numpy() for c in ("key", "component", "side", "n"))
+    def compare(t: pa.Table) -> tuple[np.ndarray, ...]:
+        key, comp, side, far, n = (t.column(c).to_numpy() for c in ("key", "component", "left", "reach", "n"))
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(left) or not len(right):
+            return (np.zeros(0, np.int64),) * 5
         lists = t.column("toks").combine_chunks()
-        sizes = lists.value_lengths().to_numpy()
-        if (sizes < n).any():
-            raise ValueError("a large entry holds a set that is known in part only")
-        toks, back, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
         row = np.repeat(np.arange(len(key)), sizes)
-        used = times[back] > 1
-        place = np.cumsum(times > 1) - 1
+        part = sizes < n
+        if part.any():  # what lies below the least last token that is known
+            end = min(flat[np.cumsum(sizes)[part] - 1])
+            row, flat = row[flat <= end], flat[flat <= end]
+            sizes = np.bincount(row, minlength=len(key))
+        toks, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+        used, place = times[back] > 1, np.cumsum(times > 1) - 1
         row, col = row[used], place[back[used]]
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         both = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         for at in range(0, int((times > 1).sum()), 2048):
             a, b = np.searchsorted(col, [at, at + 2048])
-            part = np.zeros((len(key), 2048), np.float32)
-            part[row[a:b], col[a:b] - at] = 1
-            both += part[left] @ part[right].T
-        hit = (den * both >= num * (n[left][:, None] + n[right][None] - both)) & (comp[left][:, None] != comp[right][None])
+            part_ = np.zeros((len(key), 2048), np.float32)
+            part_[row[a:b], col[a:b] - at] = 1
+            both += part_[left] @ part_[right].T
+        rest = n - sizes
+        most = both + np.minimum(rest[left][:, None], rest[right][None])
+        hit = ((num + den) * most >= num * (n[left][:, None] + n[right][None])) & (comp[left][:, None] != comp[right][None])
+        hit &= (n[left][:, None] <= far[right][None]) & (n[right][None] <= far[left][:, None])
         i, j = np.nonzero(hit)
         i, j = left[i], right[j]
-        label = np.arange(len(key))
+        if part.any():
+            return key[i], key[j], n[i], n[j], np.zeros(len(i), np.int64)
+        ids, back = np.unique(key, return_inverse=True)  # a text may stand on both sides
+        i, j = back[i], back[j]
+        label = np.arange(len(ids))
         while len(i):
             low = label.copy()
             np.minimum.at(low, i, label[j])
@@ -345,8 +464,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
             if (low == label).all():
                 break
             label = low
-        moved = np.flatnonzero(label != np.arange(len(key)))
-        return key[moved], key[label[moved]]
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[moved], ids[label[moved]], np.zeros(len(moved), np.int64), np.zeros(len(moved), np.int64), np.ones(len(moved), np.int64)
 
     def run(batches):
         held: list[pa.Table] = []
@@ -355,8 +474,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
             keys = [t.column(c).to_numpy() for c in ("sig", "x", "y")]
             cuts = np.append(np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))), t.num_rows)
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                a, b = compare(t.slice(s, e - s))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(t.slice(s, e - s))], ["hub", "mem", "nh", "nm", "sure"])
 
         for batch in batches:
             if batch.num_rows:
@@ -371,7 +489,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
         if held:
             yield from done(pa.concat_tables(held))
 
-    return materialize(full.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+    found = materialize(full.mapInArrow(run, "hub long, mem long, nh long, nm long, sure long").distinct(), "jaccard-links")
+    return found.where("sure = 1").select(F.col("hub").alias("a"), F.col("mem").alias("b")), found.where("sure = 0").drop("sure")
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -385,26 +504,38 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "jaccard-comps")
 
 
+def _lowest(rows: DataFrame, comps: DataFrame, low) -> DataFrame:
+    """Per node the least value of its component: first per node, then per component, so no row of a large group moves twice."""
+    own = materialize(rows.where("node is not null").groupBy("node").agg(F.min(low).alias("low")).join(comps, "node", "left"), "jaccard-own")
+    top = own.where("component is not null").groupBy("component").agg(F.min("low").alias("top"))
+    return materialize(own.join(top, "component", "left").select("node", F.coalesce("top", "low").alias("low")), "jaccard-low")
+
+
 def groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **settings) -> DataFrame:
     """Rows (doc_id, key, n_shingles, component_id): component_id is the smallest doc_id reachable by links."""
     rows, comps = link(docs, size, num, den, **settings)
-    rows = rows.join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    rows = materialize(rows.select("doc_id", "key", "n", "group"), "jaccard-rows")
-    low = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
-    return rows.join(low, "group", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    low = _lowest(rows, comps, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).select("node", F.col("low.id").alias("low"))
+    return rows.join(low, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **settings) -> DataFrame:
     """docs with one row of each group left: that of the smallest id (of equal ids that of the smaller row key; of rows
-    that are equal in id and text one). Texts without words all stay."""
+    that are equal in id and text one). Texts without words all stay, as do null texts; extra columns stay whatever their names."""
     rows, comps = link(docs, size, num, den, **settings)
-    rows = rows.where("node is not null").join(comps, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("f")
-    best = materialize(rows.groupBy("group").agg(first).select(F.col("f.key").alias("__row_key")).distinct(), "jaccard-kept")
-    own = docs.withColumn("__row_key", row_key("doc_id", "text"))
-    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = own.where(~empty).join(best, "__row_key", "left_semi")
-    copies = materialize(kept.groupBy("__row_key").count().where("count > 1").select("__row_key"), "jaccard-copies")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    low = _lowest(rows, comps, order)
+    ours = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    gone = rows.join(low, "node").where(ours != F.col("low")).select(F.col("doc_id").alias("__row_id"), F.col("key").alias("__row_key")).distinct()
+    gone = materialize(gone, "jaccard-gone")
+    copies = materialize(rows.where("node is not null").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("__row_id"), F.col("key").alias("__row_key")), "jaccard-copies")
+    small = lambda t: F.broadcast(t) if t.count() <= MAX_FREQUENT else t
+    names = [f"__row_{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)  # so that no column of docs has a name that is used here
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    key = F.xxhash64(id_, text)
+    same = (key == F.col("__row_key")) & id_.cast("long").eqNullSafe(F.col("__row_id"))
+    kept = own.join(small(gone), same, "left_anti")
     if copies.limit(1).count():
-        kept = kept.join(copies, "__row_key", "left_anti").unionByName(kept.join(copies, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
-    return kept.unionByName(own.where(empty)).select(*docs.columns)
+        one = kept.join(small(copies), same, "left_semi").withColumn("__row_key", key).dropDuplicates(["__row_key", names[docs.columns.index("doc_id")]]).drop("__row_key")
+        kept = kept.join(small(copies), same, "left_anti").unionByName(one)
+    return kept.toDF(*docs.columns)

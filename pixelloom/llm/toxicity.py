@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import _LOWER, chunks, mix, powers, prefix_sums, release_caches, row_key, small_batches, text_bytes, trim, word_spans
+from pixelloom.llm.common import _LOWER, chunks, few_rows, hash_spans, release_caches, row_key, text_bytes, trim, word_spans
 
 BITS = 20
 SAMPLE = 6_000
@@ -35,11 +35,10 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     buf = _LOWER[buf]
     starts, ends = word_spans(buf, offsets, _BREAK)
-    s, inverse = prefix_sums(buf), powers(len(buf))[1]
     row = np.searchsorted(offsets, starts, "right") - 1
-    whole = mix((s[ends] - s[starts]) * inverse[starts])
+    whole = hash_spans(buf, starts, ends)
     long = np.flatnonzero(ends - starts > STEM)
-    stem = mix((s[starts[long] + STEM] - s[starts[long]]) * inverse[starts[long]] + np.uint64(1))
+    stem = ~hash_spans(buf, starts[long], starts[long] + STEM)
     shift = np.uint64(64 - BITS)
     return np.concatenate([row, row[long]]), np.concatenate([whole >> shift, stem >> shift]).astype(np.int64)
 
@@ -116,13 +115,13 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE, folds: int = FOLDS) -> Chain:
     """categories: names with SQL conditions over the columns of labels, in the chain's order; the last is the verdict."""
-    docs = small_batches(docs)
     marks = labels.select("doc_id", *[F.expr(c).cast("int").alias(k) for k, c in categories.items()]).dropna()
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     marks = marks.groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories]).withColumn("h", order).orderBy("h").limit(sample)
     # at most `sample` rows of a few numbers go to the texts, not the texts to them
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    picked = _feature_rows(rows, [*categories, "h"]).orderBy("h").limit(sample).toArrow()
+    with few_rows(docs.sparkSession):
+        picked = _feature_rows(rows, [*categories, "h"]).orderBy("h").limit(sample).toArrow()
     n = picked.num_rows
     y = np.column_stack([picked.column(k).to_numpy() for k in categories]) if n else np.zeros((0, len(categories)), int)
     sets = picked.column("feats").combine_chunks() if n else None

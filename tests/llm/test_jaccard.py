@@ -3,9 +3,12 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pixelloom.llm import jaccard
+from pixelloom.llm.common import text_bytes, words
 
 
 def brute(rows, size, num):
@@ -49,7 +52,7 @@ def noisy(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("size,num", [(3, 90), (2, 60)])
+@pytest.mark.parametrize("size,num", [(3, 90), (2, 60), (5, 80)])
 def test_brute_force(spark, monkeypatch, size, num):
     rows, docs = noisy(spark)
     monkeypatch.setattr(jaccard, "RARE", 4)
@@ -82,22 +85,57 @@ def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got, want = result(odd_docs, 3, 90), brute(rows, 3, 90)
     assert got == want and jaccard.groups(no_docs).count() == 0
-    out = jaccard.keep_one(odd_docs, 3, 90)
-    assert out.columns == odd_docs.columns
+    clash = odd_docs.withColumnsRenamed({"key": "__row_key", "lang": "__row_id"})
+    out = jaccard.keep_one(clash, 3, 90)
+    assert out.columns == clash.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 3, 4, 5, None, None, 7, 8, 10], key=repr)
     with pytest.raises(ValueError):
         jaccard.link(odd_docs, 3, 50)
 
 
-def test_enough_tokens_for_any_frequencies():
-    """A prefix of rare tokens and classes of frequent ones always exists in full sets of more than one token."""
-    import numpy as np
-
+def test_entries_meet_within_reach():
+    """Any two sets of enough similarity share an entry where each lies within the other's reach, whatever the frequencies."""
+    rng = np.random.default_rng(3)
     for num in (51, 80, 90, 100):
-        for n in [*range(2, 60), 300]:
-            t = np.sort(np.random.default_rng(n).integers(-(2**62), 2**62, n))
-            p = jaccard.prefix_length(n, num, 100)
+        for n in [*range(1, 40), 70, 300]:
             for share in (0.0, 0.5, 1.0):
-                often = t[: int(n * share)]
-                made = jaccard.signatures(t, n, often, num, 100)
-                assert len(made) >= min(p, 1)
+                every = np.sort(rng.choice(2**40, 2 * n, replace=False).astype(np.int64))
+                often = np.sort(rng.permutation(every)[: int(2 * n * share)])
+                x = np.sort(rng.choice(every, n, replace=False))
+                drop = int(rng.integers(0, n - -(-num * n // 100) + 1))
+                y = np.sort(rng.permutation(x)[drop:])
+                if 100 * len(y) < num * n or len(y) == n:
+                    continue
+                (s, i), (t, j) = jaccard.signatures(x, n, often, num, 100), jaccard.signatures(y, len(y), often, num, 100)
+                fx, fy = dict(zip(s.tolist(), jaccard.reach(n, i, num, 100).tolist())), dict(zip(t.tolist(), jaccard.reach(len(y), j, num, 100).tolist()))
+                assert any(fx[k] >= len(y) and fy[k] >= n for k in fx.keys() & fy.keys()), (num, n, share)
+
+
+def thue_morse(n):
+    """Two words of n bytes that polynomial hashes modulo powers of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_opposite_bits(n):
+    x, y = thue_morse(n)
+    buf, off = text_bytes(pa.array([x, y]))
+    assert len(set(words(buf, off)[0].tolist())) == 2
+
+
+def test_links_are_held_against_the_words(spark):
+    x, y = thue_morse(2048)
+    rows = [(1, f"p q {x}"), (2, f"p q {y}"), (3, f"P q\t{x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(docs, 3, 90) == brute(rows, 3, 90)
+    judge = jaccard._text_judge(3, 90, 100)
+    assert not judge(1, pa.scalar(rows[0][1]))(1, pa.scalar(rows[1][1])) and judge(1, pa.scalar(rows[0][1]))(1, pa.scalar(rows[2][1]))
+
+
+def test_hubs_and_blocks(spark, monkeypatch):
+    """A hub of many copies in several buckets, and an entry compared in several blocks."""
+    rows, docs = noisy(spark)
+    for name, value in (("RARE", 4), ("HUB", 3), ("HOT", 4), ("BLOCK", 16), ("MAX_FREQUENT", 40)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert result(docs, 3, 90) == brute(rows, 3, 90)
