@@ -1,8 +1,10 @@
 """Packing of token streams into fixed windows by Karmarkar-Karp multiway differencing.
 
 Every task packs its own rows; nothing is shuffled. A text's tokens are cut into full windows and a rest; rests are
-cut into pieces of at most `piece` tokens, gathered into groups of `windows` windows and dealt out by differencing.
-What remains at a task's end is cut into windows whose lengths are powers of two, which need no padding.
+cut into pieces of at most `piece` tokens, gathered into groups of `windows` windows less SLACK tokens each, and dealt out by
+differencing; whenever a window exceeds the capacity, the group's count of windows rises by one and it is dealt out again.
+What remains at a task's end is dealt out likewise, but its surplus rises into windows whose lengths are powers of two, which
+need no padding.
 
 Defined cases: a null text is empty and gives its end token only; repeated rows, null or repeated ids are separate
 texts; an empty table gives no pieces; extra columns are ignored; texts of any length are packed whole.
@@ -20,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import chunks, mix, powers, prefix_sums, text_bytes, worker_cache
+from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, hash_spans, text_bytes, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Most space-separated parts whose ids a worker keeps.
-CACHE = 1_000_000
+#: Tokens by which a group's windows fall short of their capacity on average, so that differencing rarely exceeds it.
+SLACK = 4
+#: Bytes, about, of the space-separated parts and their ids that a worker keeps.
+CACHE_BYTES = 160 << 20
 #: Bytes of text that are tokenized together.
 BATCH_BYTES = 1 << 22
 
@@ -117,6 +121,30 @@ def part_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+def part_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of parts: for up to 7 bytes the bytes and their number themselves, else 56 bits of a hash."""
+    padded, sizes = np.append(buf, np.zeros(8, np.uint8)), ends - starts
+    codes = blocks_at(padded, starts) & LOW_BYTES[np.minimum(sizes, 8)] | sizes.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(sizes > 7)
+    codes[long] = hash_spans(buf, starts[long], ends[long]) >> np.uint64(8) | np.uint64(0xFF << 56)
+    return codes
+
+
+def unequal_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Parts that differ in a byte from the part that stands for them; lead: which one does."""
+    padded, sizes = np.append(buf, np.zeros(8, np.uint8)), ends - starts
+    todo, at, bad = np.flatnonzero((lead != np.arange(len(lead))) & (sizes > 7)), 0, []
+    bad.append(todo[sizes[todo] != sizes[lead[todo]]])
+    todo = todo[sizes[todo] == sizes[lead[todo]]]
+    while len(todo):
+        mask = LOW_BYTES[np.minimum(sizes[todo] - at, 8)]
+        other = (blocks_at(padded, starts[todo] + at) ^ blocks_at(padded, starts[lead[todo]] + at)) & mask != 0
+        bad.append(todo[other])
+        at += 8
+        todo = todo[~other & (sizes[todo] > at)]
+    return np.concatenate(bad)
+
+
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them; the ids of parts that were seen are kept."""
 
@@ -124,43 +152,38 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.known: dict[bytes, bytes] = worker_cache()
+        self.size = 0
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.asarray(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text. The library never joins what white space parts, so a plain text's ids are those of
-        its parts, and equal parts are looked up once."""
+        its parts, and equal parts are looked up once; a part that shares its code with another one sends its text to the library."""
         odd = np.unique(np.searchsorted(off, odd_bytes(buf), "right") - 1) if len(buf) else np.zeros(0, np.int64)
         data, buf = buf.tobytes(), _LOWER[buf]  # the vocabulary is of lower case
-        starts, ends, codes = [], [], []
-        for i, j in chunks(off):
-            part = buf[off[i] : off[j]]
-            if len(part):
-                s, e = part_spans(part, off[i : j + 1] - off[i])
-                sums, inverse = prefix_sums(part), powers(len(part))[1]
-                codes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)))
-                starts.append(s + off[i])
-                ends.append(e + off[i])
-        if not starts:
+        if not len(buf):
             return [np.zeros(0, np.uint32)] * (len(off) - 1)
-        starts, ends, codes = np.concatenate(starts), np.concatenate(ends), np.concatenate(codes)
+        starts, ends = part_spans(buf, off)
         row = np.searchsorted(off, starts, "right") - 1
         if len(odd):
             plain = ~np.isin(row, odd)
-            starts, ends, codes, row = starts[plain], ends[plain], codes[plain], row[plain]
-        _, first, back = np.unique(codes, return_index=True, return_inverse=True)
+            starts, ends, row = starts[plain], ends[plain], row[plain]
+        _, first, back = np.unique(part_codes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(bad := unequal_parts(buf, starts, ends, first[back])):
+            odd = np.union1d(odd, row[bad])
         low = buf.tobytes()
         parts = [low[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) > CACHE:
-            self.known.clear()
         known = self.known
+        if self.size > CACHE_BYTES or not known:
+            known.clear()
+            self.size = 0
         new = [p for p in parts if p not in known]
-        for p, e in zip(new, self.library.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
+        for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
             known[p] = np.asarray(e.ids, "<u4").tobytes()
+            self.size += len(p) + len(known[p]) + 150
         ids = [known[p] for p in parts]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -179,9 +202,9 @@ class Packer:
     """Turns a task's texts into pieces. windows: windows of a group; piece: most tokens
     of an item."""
 
-    def __init__(self, first: int, capacity: int = CAPACITY, windows: int = 256, piece: int = 512):
+    def __init__(self, first: int, capacity: int = CAPACITY, windows: int = 256, piece: int = 256):
         self.capacity, self.windows, self.piece, self.next = capacity, windows, piece, first
-        self.room = windows * capacity
+        self.room = windows * max(1, capacity - SLACK)
         self.items: list[tuple[int, int, int]] = []  # (text, start, length)
         self.held = 0
         self.out: list[tuple[int, int, int, int, int]] = []  # (text, start, length, sequence, offset)
@@ -197,8 +220,7 @@ class Packer:
             self.held += take
             at += take
             if self.held == self.room:
-                self.items = self._group(self.windows)
-                self.held = sum(x[2] for x in self.items)
+                self._group(self.windows)
 
     def _window(self, items: list[tuple[int, int, int]]) -> None:
         offset = 0
@@ -207,13 +229,17 @@ class Packer:
             offset += length
         self.next += 1
 
-    def _group(self, k: int) -> list[tuple[int, int, int]]:
-        """Deal the items out to k windows. What exceeds a window's capacity is cut off and returned: it goes to further windows,
-        so that the count rises by what the excess needs and not by a window of padding for every group."""
+    def _group(self, k: int, surplus: bool = False) -> list[tuple[int, int, int]]:
+        """Deal the items out to k windows, or to more as long as one exceeds the capacity. With `surplus`, what exceeds it is cut off
+        instead and returned, for further windows of its own."""
         items, self.items, self.held = self.items, [], 0
         over: list[tuple[int, int, int]] = []
-        for part in differencing([x[2] for x in items], k):
-            own = [items[i] for i in part]
+        while True:
+            parts = [[items[i] for i in part] for part in differencing([x[2] for x in items], k)]
+            if surplus or all(sum(x[2] for x in own) <= self.capacity for own in parts):
+                break
+            k += 1
+        for own in parts:
             excess = sum(x[2] for x in own) - self.capacity
             while excess > 0:
                 text, start, length = own.pop()
@@ -240,7 +266,7 @@ class Packer:
             if take < length:
                 tail.append((text, start + take, length - take))
         if self.items:
-            tail += self._group(full)
+            tail += self._group(full, surplus=True)
         left = sum(x[2] for x in tail)
         while left:
             want = min(self.capacity, 1 << (left.bit_length() - 1))
