@@ -12,6 +12,7 @@ gives no bundles. Extra columns are ignored. Repeated rows are separate records.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import struct
 import uuid
@@ -32,23 +33,25 @@ BUNDLE_BYTES = 1 << 27
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "id long, bundle string, frame int, start long, length long"
 READ = "id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
+#: Date of records whose table has none.
+DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def _urn(id_) -> bytes:
-    return b"<urn:page:%s>" % (b"null" if id_ is None else str(id_).encode())
+def _urn(id_, number: str = "0") -> bytes:
+    return b"<urn:page:%s:%s>" % (b"null" if id_ is None else str(id_).encode(), number.encode())
 
 
 def _id(urn: str) -> int | None:
-    tail = urn.rstrip(">").rpartition(":")[2]
-    return None if tail == "null" else int(tail)
+    page = urn.rstrip(">").split(":")[2]
+    return None if page == "null" else int(page)
 
 
-def record_bytes(id_, url, refers_to, digest: str, payload: bytes | None) -> bytes:
-    """One WARC/1.1 record; a payload of None makes a revisit of refers_to."""
+def record_bytes(id_, url, refers_to, digest: str, payload: bytes | None, date: str = DATE, number: str = "0") -> bytes:
+    """One WARC/1.1 record; a payload of None makes a revisit of refers_to. number tells apart the records of repeated ids."""
     kind = b"revisit" if payload is None else b"response"
     block = HTTP + (payload or b"")
-    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + _urn(id_), b"WARC-Payload-Digest: sha1:" + digest.encode()]
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + _urn(id_, number), b"WARC-Date: " + date.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode()]
     if url is not None:
         safe = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
         head.append(b"WARC-Target-URI: " + safe.encode())
@@ -167,16 +170,20 @@ def decide(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id"
     )
 
 
-def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write rows of decide() to bundles in a shared folder; the index of what the finished tasks wrote."""
+def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None) -> DataFrame:
+    """Write rows of decide() to bundles in a shared folder; the index of what the finished tasks wrote. date: WARC-Date of the
+    records, by default the time of the call."""
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         w = BundleWriter(folder, frame_bytes, bundle_bytes)
+        run, count = uuid.uuid4().hex, 0  # no two records of any attempts share an identifier
         for batch in batches:
             cols = [batch.column(i) for i in range(5)]
             for i in range(batch.num_rows):
                 id_, url, refers, digest, payload = (c[i].as_py() for c in cols)
-                w.add(id_, record_bytes(id_, url, refers, base64.b32encode(bytes.fromhex(digest)).decode(), payload))
+                w.add(id_, record_bytes(id_, url, refers, base64.b32encode(bytes.fromhex(digest)).decode(), payload, date, f"{run}-{count}"))
+                count += 1
         w.close()
         rows = w.take()
         if rows:
@@ -205,9 +212,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    bundles = index.select("bundle").distinct()
+    # a bundle's number in the order of names deals the bundles out evenly, one to a task as far as there are tasks
+    bundles = materialize(index.groupBy("bundle").agg(F.max("frame").alias("frames")), "warc-bundles")
     tasks = max(1, min(10_000, bundles.count()))
-    return bundles.repartition(tasks, "bundle").mapInArrow(read, READ)
+    return bundles.select("bundle").repartitionByRange(tasks, "bundle").mapInArrow(read, READ)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:

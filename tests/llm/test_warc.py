@@ -40,3 +40,19 @@ def test_seek_reads_one_frame(spark, tmp_path):
 def test_no_pages(spark):
     index, records = warc.archive(pages(spark).where("false"))
     assert index.count() == 0 and warc.resolve(records).count() == 0
+
+
+def test_records_have_a_date_and_identifiers_of_their_own(spark, tmp_path):
+    index = warc.write_bundles(warc.decide(pages(spark)), f"file://{tmp_path}", date="2024-05-06T07:08:09Z")
+    heads = []
+    for r in index.collect():
+        data = warc.BundleReader(r.bundle).frame(r.frame)[r.start : r.start + r.length]
+        heads.append(dict(x.split(b": ", 1) for x in data[: data.index(b"\r\n\r\n")].split(b"\r\n")[1:]))
+    assert all(h[b"WARC-Date"] == b"2024-05-06T07:08:09Z" for h in heads) and len({h[b"WARC-Record-ID"] for h in heads}) == len(PAGES)
+    assert all({b"WARC-Type", b"Content-Length"} <= h.keys() for h in heads)
+
+
+def test_each_bundle_is_read_by_one_task(spark, tmp_path):
+    index = warc.write_bundles(warc.decide(pages(spark)), f"file://{tmp_path}", frame_bytes=100, bundle_bytes=100)
+    read = warc.read_bundles(index)
+    assert read.rdd.getNumPartitions() == index.select("bundle").distinct().count()
