@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import materialize, mix, row_key
+from pixelloom.llm.common import drop_scratch, materialize, mix, row_key
 
 SHARD_KEYS = 20_000
+#: Most keys of rows (16 bytes each) that are broadcast; more are joined by shuffle.
+MAX_SENT = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
 SLOTS = "shard long, n long, moves binary, digests binary, ids array<long>, rids array<long>, sizes array<long>, lengths array<long>"
 GROUPS = "digest binary, doc_id long, rid long, length long, size long, member boolean"
@@ -166,12 +168,21 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that decide() drops."""
+    """docs without the rows that decide() drops; null texts count as empty, all columns stay whatever their names."""
     rows = digest_rows(docs)
-    best = deduplicate(rows).select(F.col("rid").alias("rid"))
-    keys = materialize(rows.join(best, "rid", "left_semi").select(F.col("key").alias("__row_key")), "dedup-kept")
-    kept = docs.withColumn("__row_key", row_key("doc_id", "text")).join(keys, "__row_key", "left_semi")
-    copies = materialize(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("__row_key")), "dedup-copies")
-    if copies.limit(1).count():  # rows that are equal in id and text
-        kept = kept.join(copies, "__row_key", "left_anti").unionByName(kept.join(copies, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
-    return kept.select(*docs.columns)
+    best = deduplicate(rows).select("rid", F.lit(True).alias("best"))
+    name = lambda t: t.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    gone = materialize(name(rows.join(best, "rid", "left").where("best is null")).distinct(), "dedup-gone")
+    # rows that are equal in id and text: one of them may stay
+    copies = materialize(name(rows.join(best, "rid", "left").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.count("best").alias("stay")).where("n > 1 and stay > 0")), "dedup-copies")
+    drop_scratch(rows)
+    small = lambda t: F.broadcast(t) if t.count() <= MAX_SENT else t
+    own = docs.toDF(*(f"__row_{i}" for i in range(len(docs.columns))))
+    id_, text = (F.col(f"__row_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    key = F.xxhash64(id_, text)
+    same = (key == F.col("__key")) & id_.cast("long").eqNullSafe(F.col("__id"))
+    kept = own.join(small(gone), same, "left_anti")
+    if copies.limit(1).count():
+        one = own.join(small(copies), same, "left_semi").withColumn("__key", key).dropDuplicates(["__key", f"__row_{docs.columns.index('doc_id')}"]).drop("__key")
+        kept = kept.unionByName(one)
+    return kept.toDF(*docs.columns)
