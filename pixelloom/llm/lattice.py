@@ -3,8 +3,8 @@
 Unit vectors are projected by random Gaussian maps to 8 dimensions and decoded to the nearest point of the E8 lattice, in
 several tables. A vector stands in its own cell and probes the cells whose minimal vectors point its way; members of a
 cell are compared by exact cosine in double precision. The projection's scale follows the number of vectors, so that
-cells keep a like number of unrelated ones, and the number of tables follows from the chance, found by simulation at the
-threshold itself, that a pair meets in one table.
+cells hold few unrelated ones, and the number of tables follows from the chance, found by simulation at the threshold itself,
+that a pair meets in one table: as many as give MEET, without a cap. Of all scales the one with the least work is taken.
 
 Vectors that are equal are one node with a multiplicity; cells with many members are compared in blocks of BLOCK x BLOCK,
 each block pair a task row group of its own. A pair that meets in several cells counts in the first one only.
@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, materialize, mix
+from pixelloom.llm.common import MULTIPLIER, drop_scratch, materialize, mix
 from pixelloom.llm.graph import components
 
 PROBES = 6
 BLOCK = 512
-#: Unrelated vectors that an average cell may hold, and the least chance that a pair at the threshold meets.
-CELL = 16
+#: The least chance that a pair at the threshold meets, the work of a row of a cell in comparisons, and the least tables.
 MEET = 0.97
-MAX_TABLES = 32
+ROW = 64
+LEAST_TABLES = 4
 
 
 def e8(x: np.ndarray) -> np.ndarray:
@@ -86,17 +86,33 @@ def cells(unit: np.ndarray, maps: np.ndarray, probes: int = PROBES) -> np.ndarra
     return out
 
 
-def plan(n: int, cosine: float, probes: int = PROBES, trials: int = 3000) -> tuple[float, int]:
-    """(scale, tables) for n vectors: a projection of unit vectors spreads over about (2 pi e scale^2)^4 cells."""
-    scale = float(np.sqrt(max(4.0, n / CELL) ** 0.25 / (2 * np.pi * np.e)))
+def chance(scale: float, cosine: float, probes: int = PROBES, trials: int = 8_000) -> float:
+    """Simulated chance that a pair at the threshold meets in one table."""
     rng = np.random.default_rng(7)
     x = rng.normal(size=(trials, 8)) * scale
     y = x + rng.normal(size=(trials, 8)) * scale * np.sqrt(2 - 2 * cosine)
     unit = np.eye(8)[None]
     a, b = cells(x, unit, probes)[:, 0], cells(y, unit, probes)[:, 0]
-    met = ((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)).mean()
-    tables = int(np.ceil(np.log(1 - MEET) / np.log(max(1e-6, 1 - met)))) if met < 1 else 1
-    return scale, min(MAX_TABLES, max(2, tables))
+    return float(((a[:, :1] == b).any(axis=1) | (b[:, :1] == a).any(axis=1)).mean())
+
+
+def plan(n: int, cosine: float, probes: int = PROBES) -> tuple[float, int]:
+    """(scale, tables) for n vectors: a projection of unit vectors spreads over about (2 pi e scale^2)^4 cells, so a cell holds n over
+    that many unrelated ones; the scale of least work, rows and comparisons, is taken."""
+    best = None
+    for step in range(40):
+        scale = 0.3 * 1.12**step
+        spread = max(1.0, (2 * np.pi * np.e * scale**2) ** 4)
+        met = chance(scale, cosine, probes)
+        if met <= 5e-4:  # too few of the trials for a chance to be told
+            break
+        tables = max(LEAST_TABLES, int(np.ceil(np.log(1 - MEET) / np.log(1 - met)))) if met < 1 else LEAST_TABLES
+        work = tables * (1 + probes) * (ROW + n / spread)
+        if best is None or work < best[0]:
+            best = work, scale, tables
+        elif work > 4 * best[0]:
+            break
+    return best[1], best[2]
 
 
 def _maps(dim: int, scale: float, tables: int) -> np.ndarray:
@@ -178,11 +194,11 @@ def _compare(rows: pa.Table, cosine: float, scale: float, tables: int):
 
 
 def links(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, counts, comps) over rows (vec_id, v): nodes (node, v, mult), counts (node, n) of weighted links, comps (node, component)."""
-    nodes = vectors.groupBy("v").agg(F.count("*").alias("mult")).select(F.xxhash64("v").alias("node"), "v", "mult")
-    nodes = materialize(nodes, "lattice-nodes")
+    """(nodes, counts, comps) over rows (rid, v): nodes (node, v, mult), counts (node, n) of weighted links, comps (node, component).
+    A node is the least rid of equal vectors."""
+    nodes = materialize(vectors.groupBy("v").agg(F.count("*").alias("mult"), F.min("rid").alias("node")).select("node", "v", "mult"), "lattice-nodes")
     scale, tables = plan(nodes.count(), cosine)
-    rows = materialize(_cell_rows(nodes, scale, tables), "lattice-cells")
+    rows = cells_ = materialize(_cell_rows(nodes, scale, tables), "lattice-cells")
     full = rows.groupBy("cell").agg(F.count("*").alias("c"), F.sum(F.col("own").cast("int")).alias("o")).where("c > 1 and o > 0")
     rows = rows.join(full.select("cell", F.ceil(F.col("c") / block).alias("k")), "cell")
     mine = F.pmod(F.xxhash64("node", "cell"), F.col("k"))
@@ -220,6 +236,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> tuple
             yield done(pa.concat_tables(held))
 
     found = materialize(rows.mapInArrow(run, "node long, n long, root long").groupBy("node", "root").agg(F.sum("n").alias("n")), "lattice-links")
+    drop_scratch(cells_)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return nodes, counts, comps
@@ -227,10 +244,13 @@ def links(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> tuple
 
 def near_duplicates(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Per row vec_id, n_links, component_id, kept."""
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = table.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # single precision moves as it is; cosines are of double precision
+    rows = table.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     good = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    rows = materialize(rows.withColumn("node", F.when(good, F.xxhash64("v"))), "lattice-rows")
-    nodes, counts, comps = links(rows.where("node is not null").select("vec_id", "v"), cosine, block)
+    rows = materialize(rows.withColumn("v", F.when(good, F.col("v"))), "lattice-rows")
+    nodes, counts, comps = links(rows.where("v is not null"), cosine, block)
+    rows = materialize(rows.join(nodes.select("v", "node"), "v", "left").select("vec_id", "node"), "lattice-own")
     named = nodes.select("node", "mult").join(counts, "node", "left").join(comps, "node", "left").select(
         "node", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
     )

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelloom.llm import lattice
@@ -75,3 +76,26 @@ def test_no_vectors(spark):
     assert result(spark, rows_of()[:3] * 0 + [(1, [1.0, 2.0])]) == [(1, 0, 1, True)]
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert lattice.near_duplicates(table).count() == 0
+
+
+def test_tables_follow_from_the_recall_asked_for():
+    """No cap: the simulated chance of a pair at the threshold is at least 0.9 whatever the number of vectors."""
+    for n in (10**3, 10**6, 10**9, 10**10, 10**11):
+        scale, tables = lattice.plan(n, 0.95)
+        met = lattice.chance(scale, 0.95, trials=30_000)
+        assert 1 - (1 - met) ** tables >= 0.9
+
+
+def test_recall_among_many_vectors(spark):
+    """100,000 vectors, with 2,000 planted pairs little above the threshold."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(98_000, 32)).astype(np.float32)
+    a = x[:2000] / np.linalg.norm(x[:2000], axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = 0.951 + 0.01 * rng.random((2000, 1))
+    every = np.concatenate([x, (c * a + np.sqrt(1 - c * c) * side).astype(np.float32)])
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(len(every)), "embedding": pa.array(list(every), pa.list_(pa.float32()))})).repartition(8)
+    found = {r.vec_id: r.component_id for r in lattice.near_duplicates(table).where("n_links > 0").collect()}
+    assert sum(found.get(98_000 + i) == i for i in range(2000)) >= 0.95 * 2000
