@@ -117,8 +117,24 @@ def worker_cache() -> dict:
 
 
 def release_caches() -> None:
-    for d in _kept:
-        d.clear()
+    """Free what operators of earlier stages have kept in this worker."""
+    if any(_kept):
+        for d in _kept:
+            d.clear()
+        trim()
+
+
+def tidy(run):
+    """run for mapInArrow, with caches of other operators freed before a task and its own memory given back after it."""
+
+    def wrapped(batches):
+        release_caches()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
 
 
 def trim() -> None:
@@ -243,6 +259,21 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
+def unequal_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Spans that differ in a byte from the span that stands for them; lead: which one does."""
+    padded, sizes = np.append(buf, np.zeros(8, np.uint8)), ends - starts
+    todo, at, bad = np.flatnonzero((lead != np.arange(len(lead)))), 0, []
+    bad.append(todo[sizes[todo] != sizes[lead[todo]]])
+    todo = todo[sizes[todo] == sizes[lead[todo]]]
+    while len(todo):
+        mask = LOW_BYTES[np.minimum(sizes[todo] - at, 8)]
+        other = (blocks_at(padded, starts[todo] + at) ^ blocks_at(padded, starts[lead[todo]] + at)) & mask != 0
+        bad.append(todo[other])
+        at += 8
+        todo = todo[~other & (sizes[todo] > at)]
+    return np.concatenate(bad)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs without white space, A-Z lower-cased) of the texts, and their number per text."""
     if not len(buf):

@@ -5,8 +5,9 @@ start). Every such window belongs to one anchor: the k-gram of the lowest hash i
 and offset and can be compared anchor by anchor. Anchors that occur twice or more are kept with the text around them;
 per anchor the windows are put in suffix order, and a window has an earlier copy if, inside its run of common prefixes of
 at least `length`, a smaller position stands before it (previous smaller value) or after it (next smaller value).
-Equal surroundings are folded inside every task before anything is shuffled, and anchors that are very common are split
-by longer surroundings.
+Equal surroundings (byte by byte) are folded inside every task before anything is shuffled. An anchor that is common is split: its
+windows are dealt into classes by where they start, and keyed by the bytes that all windows of the class share, which are nearly
+the whole window where the anchor is very common.
 
 Defined cases: a null text is empty; texts shorter than `length` stay whole; null ids come last; documents of equal id are
 ordered by row key, and rows that are equal in id and text are one document and share their result; an empty table
@@ -20,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import chunks, drop_scratch, materialize, member, mix, powers, prefix_sums, row_key, small_keys, text_bytes
+from pixelloom.llm.common import chunks, drop_scratch, materialize, member, mix, powers, prefix_sums, row_key, small_keys, text_bytes, tidy, unequal_spans
 
 LENGTH = 100
 GRAM = 24
-#: Occurrences beyond which an anchor is split by longer surroundings.
+#: Occurrences beyond which an anchor is split, and starts of windows in a class; likewise for very common anchors.
 HOT = 1000
+WIDTH = 16
+VERY_HOT = 32
+NARROW = 4
+#: Bits of a position inside a segment: fixed, so that equal windows pick equal anchors wherever they stand.
+PLACE_BITS = 22
 #: Rows that are put in suffix order together, unless one anchor has more.
 ROWS = 4096
 SEGMENT = 1 << 22
@@ -80,7 +86,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         return z, z, z, z, sums
     inverse = powers(n)[1]
     v = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)
     key = (v >> bits << bits) | np.arange(len(v), dtype=np.uint64)
     w, size, low = length - gram + 1, 1, key
     while size * 2 <= w:
@@ -143,15 +149,15 @@ def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
             h, c = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], ["h", "c"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "h long, c long")
     return materialize(rows.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"), "lpf-anchors")
 
 
-def regions(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: np.ndarray) -> DataFrame:
+def regions(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Surroundings of wanted anchors, equal ones of a task once; and (h null) the intervals of copies met in the task.
-    With wanted None, docs carries the anchors of each row in a column `only`."""
+    With wanted None, docs carries the anchors of each row in a column `only`. hot: anchors that are common, and those very common."""
     sent = docs.sparkSession.sparkContext.broadcast((wanted, hot))
-    half, gram = (length - GRAM + 1) // 2, GRAM
+    gram = GRAM
 
     def run(batches):
         wanted, hot = sent.value
@@ -171,16 +177,16 @@ def regions(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: np.nda
                     continue
                 inverse = powers(len(part))[1]
                 code = lambda x, y, s=sums, v=inverse: mix((s[y] - s[x]) * v[x] + (y - x).astype(np.uint64))
-                often = member(h, hot)
-                if often.any():
-                    # windows that reach far to the left share the bytes there, the others those to the right
-                    x, y, f, g = h[often], a[often], p[often], q[often]
-                    left, right = f <= y - half, g > y - half
-                    lx, ly, lf, lg = x[left], y[left], f[left], np.minimum(g[left], y[left] - half)
-                    rx, ry, rf, rg = x[right], y[right], np.maximum(f[right], y[right] - half + 1), g[right]
-                    lh = mix(code(ly - half, ly + gram) ^ lx.view(np.uint64)).view(np.int64)
-                    rh = mix(code(ry, ry + length - half + 1) ^ rx.view(np.uint64) ^ np.uint64(1)).view(np.int64)
-                    h, a, p, q = (np.concatenate([u[~often], s, t]) for u, s, t in ((h, lh, rh), (a, ly, ry), (p, lf, rf), (q, lg, rg)))
+                made = [[x[~member(h, hot[0])] for x in (h, a, p, q)]]
+                for keys_, width in zip(hot, (WIDTH, NARROW)):
+                    here = member(h, keys_) & ~(member(h, hot[1]) if width == WIDTH else np.zeros(len(h), bool))
+                    x, y, f, g = h[here], a[here], p[here], q[here]
+                    for c in range(-(-(length - gram + 1) // width) if len(x) else 0):
+                        lo_, hi_ = np.maximum(f, y - (c + 1) * width + 1), np.minimum(g, y - c * width)
+                        has = lo_ <= hi_
+                        y_, right = y[has], (y - (c + 1) * width + 1 + length)[has]
+                        made.append([mix(code(y_ - c * width, right) ^ mix(x[has].view(np.uint64) + np.uint64(c + 1))).view(np.int64), y_, lo_[has], hi_[has]])
+                h, a, p, q = (np.concatenate(x) for x in zip(*made))
                 row = i + np.searchsorted(ends, p, "right") - 1
                 row = np.minimum(row, j - 1)
                 same = mix(code(p, q + length) ^ (a - p).astype(np.uint64)).view(np.int64)
@@ -193,7 +199,10 @@ def regions(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: np.nda
             h, same, row, start, low, count, at, place = (x[o] for x in (h, same, row, start, low, count, at, place))
             new = np.append(True, (h[1:] != h[:-1]) | (same[1:] != same[:-1]))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            copy = (place > place[lead]) | ((place == place[lead]) & (start > start[lead]))
+            # equal hashes are held against the bytes; what differs stays a row of its own
+            new[unequal_spans(buf, at, at + count + length - 1, lead)] = True
+            new |= low != low[lead]
+            copy = ~new & ((place > place[lead]) | ((place == place[lead]) & (start > start[lead])))
             first = np.flatnonzero(new)
             texts = [buf[x : x + c + length - 1].tobytes() for x, c in zip(at[first].tolist(), count[first].tolist())]
             none = pa.nulls
@@ -206,17 +215,17 @@ def regions(docs: DataFrame, length: int, wanted: np.ndarray | None, hot: np.nda
             yield pa.RecordBatch.from_arrays([none(n, pa.int64()), pa.array(ids[r]), pa.array(keys[r]), pa.array(s), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary()), pa.array(e)], REGION_NAMES)
 
     cols = [F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")]
-    return materialize(docs.select(*cols, *(["only"] if wanted is None else [])).mapInArrow(run, REGIONS), "lpf-regions")
+    return materialize(docs.select(*cols, *(["only"] if wanted is None else [])).mapInArrow(tidy(run), REGIONS), "lpf-regions")
 
 
 REGION_NAMES = [x.split()[0] for x in REGIONS.split(", ")]
 
 
 def _group_copies(rows: pa.RecordBatch | pa.Table, length: int):
-    """Intervals (key, start, end) of windows with an earlier copy among complete anchors."""
+    """Intervals (doc_id, key, start, end) of windows with an earlier copy among complete anchors."""
     h, ids, keys, start, low, count = (rows.column(k).to_numpy() for k in range(6))
     buf, off = text_bytes(rows.column(6))
-    _, place = np.unique(np.rec.fromarrays([ids, keys]), return_inverse=True)
+    docs, place = np.unique(np.rec.fromarrays([ids, keys]), return_inverse=True)
     far = np.int64(start.max()) + np.int64(count.max()) + 1
     here = place.astype(np.int64) * far + start  # position in the order of documents
     # equal surroundings first: one of them stands for all
@@ -225,7 +234,12 @@ def _group_copies(rows: pa.RecordBatch | pa.Table, length: int):
     o = np.lexsort((here, whole, h))
     new = np.append(True, (h[o][1:] != h[o][:-1]) | (whole[o][1:] != whole[o][:-1]))
     lead = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
-    copy = o[here[o] > here[lead]]
+    other = np.zeros(len(o), np.int64)
+    other[o] = lead
+    odd = low != low[other]
+    odd[unequal_spans(buf, off[:-1], off[1:], other)] = True
+    new |= odd[o]
+    copy = o[(here[o] > here[lead]) & ~new]
     out = [(copy, start[copy], start[copy] + count[copy] + length - 1)]
     left = o[new]
     # anchors with one surrounding left are done
@@ -247,13 +261,12 @@ def _group_copies(rows: pa.RecordBatch | pa.Table, length: int):
         w = o[late]
         out.append((owner[w], start[owner[w]] + j[w], start[owner[w]] + j[w] + length))
     r, s, e = (np.concatenate(x) for x in zip(*out))
-    _, kid = np.unique(keys, return_inverse=True)
-    g, s, e = _merge(kid[r], s, e)
-    return np.unique(keys)[g], s, e
+    g, s, e = _merge(place[r], s, e)
+    return docs.f0[g], docs.f1[g], s, e
 
 
 def copies(rows: DataFrame, length: int) -> DataFrame:
-    """Intervals (key, start, end) from rows of regions(), anchor by anchor."""
+    """Intervals (doc_id, key, start, end) from rows of regions(), anchor by anchor."""
 
     def run(batches):
         held: list[pa.Table] = []
@@ -265,8 +278,8 @@ def copies(rows: DataFrame, length: int) -> DataFrame:
             at = 0
             while at < len(cuts) - 1:
                 to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + ROWS, "right")) - 1)
-                k, s, e = _group_copies(t.slice(cuts[at], cuts[to] - cuts[at]).combine_chunks(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(e)], ["key", "start", "end"])
+                made = _group_copies(t.slice(cuts[at], cuts[to] - cuts[at]).combine_chunks(), length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["doc_id", "key", "start", "end"])
                 at = to
 
         for b in batches:
@@ -285,24 +298,25 @@ def copies(rows: DataFrame, length: int) -> DataFrame:
             yield from done(pa.concat_tables(held))
 
     near = rows.where("h is not null").select(*REGION_NAMES[:7]).repartition("h").sortWithinPartitions("h")
-    return near.mapInArrow(run, "key long, start long, end long")
+    return near.mapInArrow(tidy(run), "doc_id long, key long, start long, end long")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, max_broadcast: int | None = None) -> DataFrame:
-    """Rows (key, spans): per document key the intervals of bytes that go, maybe overlapping."""
+    """Rows (key, doc_id, spans): per document the intervals of bytes that go, maybe overlapping. A null id is the largest long."""
     counts = anchor_counts(docs, length)
     bound = {} if max_broadcast is None else {"bound": max_broadcast}
     wanted = small_keys(counts.select("h"), **bound)
     hot = HOT
     while (often := small_keys(counts.where(F.col("c") > hot).select("h"))) is None:
         hot *= 2
+    often = often, small_keys(counts.where(F.col("c") > hot * VERY_HOT).select("h"))
     if wanted is None:
         docs = _with_anchors(docs, counts, length)
     near = regions(docs, length, wanted, often)
-    spans = near.where("h is null").select("key", "start", "end").unionByName(copies(near, length))
+    spans = near.where("h is null").select("doc_id", "key", "start", "end").unionByName(copies(near, length))
     spans = materialize(spans, "lpf-spans")
     drop_scratch(near, counts)
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _with_anchors(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
@@ -350,6 +364,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, **settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key("doc_id", "text").alias("key"))
-    rows = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
+    spans = spans.select("spans", F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    rows = rows.join(spans, (F.col("key") == F.col("k")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("d")), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
 

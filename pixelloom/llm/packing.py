@@ -22,16 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, hash_spans, text_bytes, worker_cache
+from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, hash_spans, text_bytes, trim, unequal_spans, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Tokens by which a group's windows fall short of their capacity on average, so that differencing rarely exceeds it.
 SLACK = 4
 #: Bytes, about, of the space-separated parts and their ids that a worker keeps.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 64 << 20
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 
 # Bytes of texts that every Unicode version normalises alike and splits at white space alike: tab, newline, return, printable
 # ASCII, U+00A1 to U+017F without U+0130, and the usual punctuation of U+2010 to U+203F. Others go through the library whole.
@@ -130,21 +130,6 @@ def part_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return codes
 
 
-def unequal_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: np.ndarray) -> np.ndarray:
-    """Parts that differ in a byte from the part that stands for them; lead: which one does."""
-    padded, sizes = np.append(buf, np.zeros(8, np.uint8)), ends - starts
-    todo, at, bad = np.flatnonzero((lead != np.arange(len(lead))) & (sizes > 7)), 0, []
-    bad.append(todo[sizes[todo] != sizes[lead[todo]]])
-    todo = todo[sizes[todo] == sizes[lead[todo]]]
-    while len(todo):
-        mask = LOW_BYTES[np.minimum(sizes[todo] - at, 8)]
-        other = (blocks_at(padded, starts[todo] + at) ^ blocks_at(padded, starts[lead[todo]] + at)) & mask != 0
-        bad.append(todo[other])
-        at += 8
-        todo = todo[~other & (sizes[todo] > at)]
-    return np.concatenate(bad)
-
-
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them; the ids of parts that were seen are kept."""
 
@@ -172,7 +157,7 @@ class WordTokenizer:
             plain = ~np.isin(row, odd)
             starts, ends, row = starts[plain], ends[plain], row[plain]
         _, first, back = np.unique(part_codes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(bad := unequal_parts(buf, starts, ends, first[back])):
+        if len(bad := unequal_spans(buf, starts, ends, first[back])):
             odd = np.union1d(odd, row[bad])
         low = buf.tobytes()
         parts = [low[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
@@ -312,6 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
         packer.finish()
         if packer.out:
             yield emit()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

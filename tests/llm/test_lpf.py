@@ -72,3 +72,53 @@ def test_previous_and_next_smaller_in_runs():
         run = np.unique(run, return_inverse=True)[1]
         pos = rng.permutation(12)
         assert lpf.has_earlier(pos, run).tolist() == [any(pos[j] < pos[i] for j in range(12) if run[j] == run[i]) for i in range(12)]
+
+
+def test_very_common_anchors_are_split_further(spark, monkeypatch):
+    monkeypatch.setattr(lpf, "HOT", 2)
+    monkeypatch.setattr(lpf, "VERY_HOT", 2)
+    rows, docs = made(spark)
+    assert result(docs) == brute(rows)
+
+
+def test_a_common_line_in_many_texts(spark):
+    """A line of 70 bytes in 4,000 texts with differing surroundings: no window repeats but the planted ones, and no anchor keeps all rows."""
+    import random
+
+    rng = random.Random(1)
+    line = "this very common line of some seventy bytes stands in all texts, yes!!"
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, f"{word(40)} {line} {word(40)}") for i in range(4000)]
+    rows += [(5000 + i, rows[i][1]) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in lpf.deduplicate(docs).where("n_removed > 0").collect()} == {5000, 5001, 5002}
+    counts = lpf.anchor_counts(docs, 100)
+    hot = tuple(np.sort(np.array([r.h for r in counts.where(f"c > {c}").collect()], np.int64)) for c in (1000, 2000))
+    assert len(hot[1])
+    near = lpf.regions(docs, 100, np.sort(np.array([r.h for r in counts.collect()], np.int64)), hot)
+    assert near.where("h is not null").groupBy("h").count().agg({"count": "max"}).first()[0] < 400
+
+
+def test_colliding_hashes_fold_nothing(monkeypatch):
+    """Repeats that differ in one byte stay apart even if all hashes of surroundings are equal."""
+    import pyarrow as pa
+
+    a = bytes(range(65, 165))
+    texts = [a, a[:50] + b"!" + a[51:], a]
+    monkeypatch.setattr(lpf, "mix", lambda x: np.zeros(len(x), np.uint64))
+    col = lambda *x: pa.array(x, pa.int64())
+    t = pa.RecordBatch.from_arrays([col(1, 1, 1), col(1, 2, 3), col(7, 8, 9), col(0, 0, 0), pa.array([3, 3, 3], pa.int32()), pa.array([1, 1, 1], pa.int32()), pa.array(texts, pa.binary())], lpf.REGION_NAMES[:7])
+    assert [x.tolist() for x in lpf._group_copies(t, 100)] == [[3], [9], [0], [100]]
+
+
+def test_text_of_several_segments(spark):
+    """Above SEGMENT bytes: parts of a text overlap, and matches across them are found."""
+    import random
+
+    rng = random.Random(2)
+    piece = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(lpf.SEGMENT - 150))
+    text = base + piece + "".join(rng.choice("qrstuvw") for _ in range(1000)) + piece
+    docs = spark.createDataFrame([(1, text), (2, piece)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in lpf.deduplicate(docs).collect()}
+    assert got == {1: (300, 1), 2: (300, 1)}
