@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, materialize, member, mix, release_caches, row_key, shingle_sets, small_counts, small_keys, text_bytes
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, materialize, member, mix, row_key, shingle_sets, small_counts, small_keys, text_bytes, tidy
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
@@ -106,7 +106,6 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = Fal
     tokens or all of them. docs may carry a column __rid."""
 
     def run(batches):
-        release_caches()
         for b in batches:
             buf, off = text_bytes(b.column(3))
             ns, cls, toks = [], [], []
@@ -127,7 +126,7 @@ def token_sets(docs: DataFrame, size: int, num: int, den: int, whole: bool = Fal
             )
 
     rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
-    return docs.select(rid, F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(run, SETS)
+    return docs.select(rid, F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(tidy(run), SETS)
 
 
 def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
@@ -135,7 +134,6 @@ def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
     with the logarithms of their counts (None if they are too many). score: how much the tokens of a set's prefix are shared."""
 
     def run(batches):
-        release_caches()
         frequent, wanted = sent.value
         for b in batches:
             values, ends = b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy()
@@ -167,7 +165,7 @@ def _signature_rows(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
             far = reach(rep(ns), cat(places), num, den)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cat(sigs), rep(b.column(0).to_numpy()), rep(ns), far, cat(single, bool), rep(score))], ["sig", "key", "n", "reach", "single", "score"])
 
-    return sets.select("key", "n", "toks").mapInArrow(run, "sig long, key long, n long, reach long, single boolean, score double")
+    return sets.select("key", "n", "toks").mapInArrow(tidy(run), "sig long, key long, n long, reach long, single boolean, score double")
 
 
 def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
@@ -184,7 +182,7 @@ def _short(sets: DataFrame, sent, num: int, den: int) -> DataFrame:
             need = np.array([prefix_length(n, num, den) for n in ns.tolist()], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array((sizes < ns) & (rare < need)))], ["key"])
 
-    return sets.select("key", "n", "toks").mapInArrow(run, "key long")
+    return sets.select("key", "n", "toks").mapInArrow(tidy(run), "key long")
 
 
 def _texts(docs: DataFrame, rows: DataFrame, keys: DataFrame, name: str | None) -> DataFrame:
@@ -238,7 +236,6 @@ def _at_hubs(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFr
     rows = hub.unionByName(mem).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("mem").asc_nulls_first())
 
     def run(batches):
-        release_caches()
         now = check = None
         for b in batches:
             out = []
@@ -252,7 +249,7 @@ def _at_hubs(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 4, ["hub", "mem", "nh", "nm"])
 
     assert kind in ("string", "array<bigint>")
-    found = materialize(rows.mapInArrow(run, "hub long, mem long, nh long, nm long"), f"jaccard-{column}-passed")
+    found = materialize(rows.mapInArrow(tidy(run), "hub long, mem long, nh long, nm long"), f"jaccard-{column}-passed")
     drop_scratch(dealt)
     return found
 
@@ -489,7 +486,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
         if held:
             yield from done(pa.concat_tables(held))
 
-    found = materialize(full.mapInArrow(run, "hub long, mem long, nh long, nm long, sure long").distinct(), "jaccard-links")
+    found = materialize(full.mapInArrow(tidy(run), "hub long, mem long, nh long, nm long, sure long").distinct(), "jaccard-links")
     return found.where("sure = 1").select(F.col("hub").alias("a"), F.col("mem").alias("b")), found.where("sure = 0").drop("sure")
 
 

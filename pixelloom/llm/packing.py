@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, hash_spans, text_bytes, trim, unequal_spans, worker_cache
+from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, few_rows, hash_spans, materialize, text_bytes, trim, unequal_spans, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -31,7 +31,7 @@ SLACK = 4
 #: Bytes, about, of the space-separated parts and their ids that a worker keeps.
 CACHE_BYTES = 64 << 20
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 # Bytes of texts that every Unicode version normalises alike and splits at white space alike: tab, newline, return, printable
 # ASCII, U+00A1 to U+017F without U+0130, and the usual punctuation of U+2010 to U+203F. Others go through the library whole.
@@ -268,7 +268,7 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents (doc_id, text): each id of each document lies in exactly one."""
+    """Pieces of all documents (doc_id, text), materialized: each id of each document lies in exactly one."""
 
     def run(batches):
         encoder = _tokenizer(tokenizer)
@@ -299,7 +299,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
             yield emit()
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    with few_rows(docs.sparkSession, 1000):  # whole texts in small batches; the pieces are a small table
+        return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES), "packing-pieces")
 
 
 _made: dict[str, WordTokenizer] = {}

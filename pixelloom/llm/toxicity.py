@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import _LOWER, chunks, few_rows, hash_spans, release_caches, row_key, text_bytes, trim, word_spans
+from pixelloom.llm.common import _LOWER, chunks, few_rows, hash_spans, row_key, text_bytes, tidy, trim, word_spans
 
 BITS = 20
 SAMPLE = 6_000
@@ -164,7 +164,7 @@ def _feature_rows(rows: DataFrame, names: list[str]) -> DataFrame:
                 sets += [pairs[ends[k] : ends[k + 1]].astype(np.int32) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([*[b.column(1 + k) for k in range(len(names))], pa.array(sets, pa.list_(pa.int32()))], [*names, "feats"])
 
-    return rows.select("text", *names).mapInArrow(run, ", ".join(f"{k} {'long' if k == 'h' else 'int'}" for k in names) + ", feats array<int>")
+    return rows.select("text", *names).mapInArrow(tidy(run), ", ".join(f"{k} {'long' if k == 'h' else 'int'}" for k in names) + ", feats array<int>")
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -173,7 +173,6 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{k}" for k in chain.categories]
 
     def run(batches):
-        release_caches()
         c = sent.value
         for b in batches:
             buf, off = text_bytes(b.column(2))
@@ -184,7 +183,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(p[:, k]) for k in range(len(names))], pa.array(p[:, -1] > c.threshold)], ["doc_id", "key", *names, "toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, key long, " + ", ".join(f"{k} double" for k in names) + ", toxic boolean"
+        tidy(run), "doc_id long, key long, " + ", ".join(f"{k} double" for k in names) + ", toxic boolean"
     )
 
 
@@ -194,7 +193,6 @@ def reject(docs: DataFrame, chain: Chain) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        release_caches()
         c = sent.value
         for b in batches:
             buf, off = text_bytes(b.column(at).cast(pa.string()))
@@ -203,4 +201,4 @@ def reject(docs: DataFrame, chain: Chain) -> DataFrame:
                 keep.append(c.probabilities(*features(buf[off[i] : off[j]], off[i : j + 1] - off[i]), j - i)[:, -1] <= c.threshold)
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
