@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.vector import euclidean
-from pixelloom.operators.aggregates import cluster_shares
 from pixelloom.operators.joins import nearest_centroid
 
 
@@ -218,16 +218,50 @@ def calinski_harabasz(rows: DataFrame, size: int, cluster: str = "cluster", f: s
     return sums.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("score"))
 
 
-def sweep(rows: DataFrame, ks: range, trials: int, size: int, f: str = "f", label: str = "label") -> DataFrame:
-    """k-means for every k and trial: shares per cluster and the Calinski-Harabasz score."""
-    out = None
-    for k in ks:
-        for t in range(trials):
-            placed, _, _ = kmeans(rows, k, f, seed=t)
-            placed = placed.withColumn("cluster", F.col("cluster").cast("long"))
-            one = cluster_shares(placed, "cluster", label).crossJoin(F.broadcast(calinski_harabasz(placed, size, f=f))).withColumns({"k": F.lit(k), "trial": F.lit(t)})
-            out = one if out is None else out.unionByName(one)
-    return out
+def sweep(rows: DataFrame, ks: range, trials: int, size: int, f: str = "f", label: str = "label", steps: int = 20) -> DataFrame:
+    """k-means for every k and trial: cluster, n, share_within (of label 1) and the Calinski-Harabasz score.
+
+    All runs move together: a pass over the rows sums every cluster of every run, so the number of passes is that of the steps and
+    not of the runs. Starts are the rows of lowest hash of each trial. Empty tables give no rows; clusters without rows have none."""
+    data = rows.where(F.col(f).isNotNull()).select(F.col(f).alias("f"), F.col(label).cast("double").alias("y"))
+    starts = [np.array([r[0] for r in data.orderBy(F.xxhash64("f", F.lit(t)), "f").limit(max(ks)).select("f").collect()], float) for t in range(trials)]
+    runs = [(k, t, starts[t][:k]) for k in ks for t in range(trials) if len(starts[t])]
+    spark, sums = rows.sparkSession, {}
+    for step in range(steps + 1):
+        sent = spark.sparkContext.broadcast([c for _, _, c in runs])
+
+        def add(batches, sent=sent):
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float) if b.num_rows else np.zeros((0, size))
+                extra = np.column_stack([np.ones(len(x)), np.nan_to_num(b.column(1).to_numpy(zero_copy_only=False).astype(float)), (x * x).sum(axis=1), x])
+                for i, c in enumerate(sent.value):
+                    near = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1) if len(x) else np.zeros(0, int)
+                    for j in np.unique(near).tolist():
+                        total[i, j] = total.get((i, j), 0) + extra[near == j].sum(axis=0)
+            rows_ = [{"run": i, "cluster": j, "sums": v.tolist()} for (i, j), v in total.items()]
+            yield pa.RecordBatch.from_pylist(rows_, pa.schema([("run", pa.int64()), ("cluster", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+
+        parts = data.mapInArrow(add, "run long, cluster long, sums array<double>").select("run", "cluster", F.posexplode("sums").alias("p", "v"))
+        per = parts.groupBy("run", "cluster", "p").agg(F.sum("v").alias("v")).groupBy("run", "cluster").agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("s"))
+        sums = {(r["run"], r["cluster"]): np.array([x["v"] for x in r["s"]]) for r in per.collect()}  # bounded by runs x clusters x size
+        sent.destroy()
+        if step < steps:
+            moved = [(k, t, np.array([sums[i, j][3:] / sums[i, j][0] if (i, j) in sums else c[j] for j in range(len(c))])) for i, (k, t, c) in enumerate(runs)]
+            still = all(np.allclose(a[2], b[2], atol=1e-9) for a, b in zip(runs, moved))
+            runs = moved
+            if still:
+                break
+    out = []
+    for i, (k, t, _) in enumerate(runs):
+        own = {j: s for (r, j), s in sums.items() if r == i}
+        n = sum(s[0] for s in own.values())
+        mean = sum(s[3:] for s in own.values()) / n
+        between = sum(s[0] * float(((s[3:] / s[0] - mean) ** 2).sum()) for s in own.values())
+        within = sum(s[2] - float((s[3:] ** 2).sum()) / s[0] for s in own.values())
+        score = float(between / max(len(own) - 1, 1) / (within / max(n - len(own), 1))) if within > 0 else None
+        out += [(k, t, j, int(s[0]), float(s[1] / s[0]), score) for j, s in sorted(own.items())]
+    return spark.createDataFrame(out, "k int, trial int, cluster long, n long, share_within double, score double")
 
 
 def leaf_report(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:

@@ -39,8 +39,26 @@ def reflected(i, n: int):
     return F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i)
 
 
+def around_pixels(px: str, height: int, width: int):
+    """Per pixel of an image in one array (row by row) its nine values in the fixed order, borders reflected: an array of arrays.
+    A null image gives null, a missing pixel null."""
+    at = F.sequence(F.lit(0), F.lit(height * width - 1))
+
+    def nine(p):
+        i, j = F.floor(p / width), p % width
+        return F.array(*[F.get(px, (reflected(i + a, height) * width + reflected(j + b, width)).cast("int")) for a, b in AROUND])
+
+    return F.when(F.col(px).isNotNull(), F.transform(at, nine))
+
+
+def surround_in_images(images: DataFrame, height: int, width: int, px: str = "px") -> DataFrame:
+    """Rows (image_id, i, j, around) from whole images: no shuffle."""
+    rows = images.select("image_id", F.posexplode(around_pixels(px, height, width)).alias("pos", "around"))
+    return rows.select("image_id", F.floor(F.col("pos") / width).cast("int").alias("i"), (F.col("pos") % width).cast("int").alias("j"), "around")
+
+
 def surround(pixels: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:
-    """The nine values around each pixel (column `around`, in the fixed order), borders reflected. One shuffle per image key:
+    """The same where only pixel rows are at hand: the nine values around each pixel (column `around`, in the fixed order), borders reflected. One shuffle per image key:
     every pixel is sent to the pixels that see it, then collected."""
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in enumerate(AROUND)])).alias("o")
     want = pixels.select("image_id", "i", "j", at).select(

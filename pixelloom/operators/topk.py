@@ -17,6 +17,11 @@ def lowest_cost(pixels: DataFrame, n: int, cost: str = "rho") -> DataFrame:
     return pixels.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def lowest_cost_in_images(images: DataFrame, n: int, costs: str = "costs") -> DataFrame:
+    """The same from whole images with an array of (cost, i, j, ...): `roi` has the n least, ties by position; no shuffle."""
+    return images.withColumn("roi", F.slice(F.array_sort(costs), 1, n))
+
+
 def region_sweep(pixels: DataFrame, sizes: list[int], cost: str = "rho", diff: str = "d") -> DataFrame:
     """Per image and region size precision and recall of the region against the changes."""
     w = Window.partitionBy("image_id").orderBy(cost, "i", "j")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators.joins import surround
+from pixelloom.operators.joins import around_pixels
 from pixelloom.operators.projection import explode_pixels
 from pixelloom.sources.images import vectors_as_images
 
@@ -52,11 +52,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select(F.col("image_id").alias("id"), "label", F.col("px").alias("f"))
 
 
+def image_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, costs): per image its pixels as an array of (rho, i, j, d)."""
+    near = images(spark, sf_dir).withColumn("around", around_pixels("px", SIDE, SIDE))
+    mean = "aggregate(a, 0D, (s, x) -> s + x) / 9"
+    rho = f"round(aggregate(transform(array({mean}), m -> aggregate(a, 0D, (s, x) -> s + (x - m) * (x - m))), 0D, (s, x) -> s + x) / 9, 9)"
+    d = "CASE WHEN (image_id * 7 + pos * 13) % 5 = 0 THEN 1 ELSE 0 END"
+    return near.select("image_id", F.expr(f"transform(around, (a, pos) -> struct({rho} AS rho, cast(pos div {SIDE} AS int) AS i, cast(pos % {SIDE} AS int) AS j, {d} AS d))").alias("costs"))
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, i, j, rho, d)."""
-    px = pixels(spark, sf_dir)
-    near = surround(px, SIDE, SIDE)
-    mean = "aggregate(around, 0D, (s, x) -> s + x) / 9"
-    rho = F.expr(f"round(aggregate(around, 0D, (s, x) -> s + (x - {mean}) * (x - {mean})) / 9, 9)")
-    out = near.select("image_id", "i", "j", rho.alias("rho")).withColumn("pos", F.col("i") * SIDE + F.col("j"))
-    return out.withColumn("d", changed_flag()).drop("pos")
+    return image_costs(spark, sf_dir).select("image_id", F.inline("costs")).select("image_id", "i", "j", "rho", "d")

@@ -12,7 +12,7 @@ from pixelloom.operators import joins as J
 from pixelloom.operators import sets as H
 from pixelloom.operators import topk as G
 from pixelloom.operators import windows as W
-from pixelloom.plans.fixtures import AROUND, PX, RHO, SIDE, VX, costs, images, pixels, read, vectors
+from pixelloom.plans.fixtures import AROUND, PX, RHO, SIDE, VX, costs, image_costs, images, pixels, read, vectors
 from pixelloom.plans.registry import query
 from pixelloom.plans.vector_queries import _ENERGY_K, energies, r6
 
@@ -121,10 +121,10 @@ def pair_join(spark, sf_dir):
     return J.pair(cover, stego).select(F.col("image_id").alias("l_orderkey"), "l_linenumber", F.round(F.col("l_extendedprice") - F.col("o_totalprice"), 4).alias("difference"))
 
 
-@query("SELECT p_partkey AS name, round(p_retailprice, 2) AS rho FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT p_partkey AS name, round(p_retailprice, 2) AS rho FROM part")
 def rho_join(spark, sf_dir):
     parts = read(spark, sf_dir, "part")
-    maps = parts.where("p_partkey % 3 = 0").select(F.concat("p_partkey", F.lit(".mat")).alias("file"), F.round("p_retailprice", 2).alias("rho"))
+    maps = parts.select(F.concat("p_partkey", F.lit(".mat")).alias("file"), F.round("p_retailprice", 2).alias("rho"))
     return J.with_costs(parts.select(F.col("p_partkey").alias("name")), maps)
 
 
@@ -170,7 +170,7 @@ def knn_vote(spark, sf_dir):
 
 @query(f"""WITH {AROUND} SELECT image_id, i, j, round(sum(v), 6) AS total, round(max(CASE WHEN n = 1 THEN v END), 6) AS nw, round(max(CASE WHEN n = 8 THEN v END), 6) AS se FROM around GROUP BY image_id, i, j""")
 def neighbor3x3_reflect(spark, sf_dir):
-    near = J.surround(pixels(spark, sf_dir), SIDE, SIDE)
+    near = J.surround_in_images(images(spark, sf_dir), SIDE, SIDE)
     return near.select("image_id", "i", "j", r6(V.total(F.col("around"))).alias("total"), r6(F.get("around", F.lit(1))).alias("nw"), r6(F.get("around", F.lit(8))).alias("se"))
 
 
@@ -311,10 +311,9 @@ t AS (SELECT image_id, sum(d) AS total FROM rho GROUP BY image_id)
 SELECT image_id, sum(d)::BIGINT AS hits, round(avg(d), 6) AS precision, round(sum(d) / any_value(total), 6) AS recall FROM k JOIN t USING (image_id) WHERE rank <= 6 GROUP BY image_id""")
 def roi_query(spark, sf_dir):
     """Flagship: which changes the six cheapest pixels of every image hold."""
-    rows = costs(spark, sf_dir)
-    total = rows.groupBy("image_id").agg(F.sum("d").alias("total"))
-    roi = G.lowest_cost(rows, 6).join(total, "image_id")
-    return roi.groupBy("image_id").agg(F.sum("d").alias("hits"), r6(F.avg("d")).alias("precision"), r6(F.sum("d") / F.max("total")).alias("recall"))
+    rows = G.lowest_cost_in_images(image_costs(spark, sf_dir), 6)
+    hits, every = F.expr("aggregate(roi, 0L, (s, x) -> s + x.d)"), F.expr("aggregate(costs, 0L, (s, x) -> s + x.d)")
+    return rows.select("image_id", hits.alias("hits"), r6(hits / F.size("roi")).alias("precision"), r6(hits / every).alias("recall"))
 
 
 @query(f"WITH {RHO} SELECT image_id, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rho, i, j)::INT AS rank FROM rho) WHERE rank <= 4")
@@ -373,13 +372,13 @@ def stack(spark, sf_dir):
     return H.stack(one("nation", "n_nationkey"), one("supplier", "s_suppkey"), one("region", "r_regionkey"))
 
 
-_LEAVES = "a AS (SELECT image_id, i, j, pos % 3 AS leaf FROM px WHERE pos < 20), b AS (SELECT image_id, i, j, (pos + CASE WHEN d <> 0 THEN 1 ELSE 0 END) % 3 AS leaf FROM px WHERE pos < 20)"
+_LEAVES = "a AS (SELECT image_id, i, j, pos % 3 AS leaf FROM px), b AS (SELECT image_id, i, j, (pos + CASE WHEN d <> 0 THEN 1 ELSE 0 END) % 3 AS leaf FROM px)"
 
 
 @query(f"""WITH {PX}, {_LEAVES} SELECT leaf, 'left' AS side, image_id, i, j FROM (SELECT leaf, image_id, i, j FROM a EXCEPT SELECT leaf, image_id, i, j FROM b)
 UNION ALL SELECT leaf, 'entered', image_id, i, j FROM (SELECT leaf, image_id, i, j FROM b EXCEPT SELECT leaf, image_id, i, j FROM a)""")
 def leaf_diff(spark, sf_dir):
-    px = pixels(spark, sf_dir).where("pos < 20")
+    px = pixels(spark, sf_dir)
     a = px.select((F.col("pos") % 3).alias("leaf"), "image_id", "i", "j")
     b = px.select(((F.col("pos") + (F.col("d") != 0).cast("int")) % 3).alias("leaf"), "image_id", "i", "j")
     return H.leaf_changes(a, b)

@@ -26,8 +26,8 @@ HOPS = (HopSpec(window=2, stride=2, border=None), HopSpec(window=2, stride=2, bo
 BINARY = "CASE WHEN label >= 5 THEN 1 ELSE 0 END"
 
 
-def binary(spark, sf_dir, size: int = 64):
-    return vectors(spark, sf_dir).select("id", F.slice("f", 1, size).alias("f"), (F.col("label") >= 5).cast("long").alias("label"))
+def binary(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", "f", (F.col("label") >= 5).cast("long").alias("label"))
 
 
 def _values(spark, values, name: str = "value"):
@@ -209,7 +209,7 @@ def composite_loss(spark, sf_dir):
 
 def _tree(cost: str):
     def run(spark, sf_dir):
-        _, nodes = L.grow(binary(spark, sf_dir, 16), 16, 4, cost, 20)
+        _, nodes = L.grow(binary(spark, sf_dir), 64, 4, cost, 20)
         return spark.createDataFrame([(n["node"], n["n"], round(n["purity"], 6), n["leaf"]) for n in nodes], "node string, n long, purity double, leaf boolean")
 
     return run
@@ -232,34 +232,34 @@ def variance_tree(spark, sf_dir):
 
 @query()
 def loss_guided_tree(spark, sf_dir):
-    _, nodes = L.grow(binary(spark, sf_dir, 16), 16, 4, "loss", 20, accept=L.accept_by_loss())
+    _, nodes = L.grow(binary(spark, sf_dir), 64, 4, "loss", 20, accept=L.accept_by_loss())
     return spark.createDataFrame([(n["node"], n["n"], round(n["entropy"], 6), n["leaf"]) for n in nodes], "node string, n long, entropy double, leaf boolean")
 
 
 @query()
 def full_tree(spark, sf_dir):
-    return L.grow_full(binary(spark, sf_dir, 16), 16, 3, 2).groupBy("node").count()
+    return L.grow_full(binary(spark, sf_dir), 64, 3, 2).groupBy("node").count()
 
 
 @query()
 def threshold_tree(spark, sf_dir):
-    _, nodes = L.grow_until(binary(spark, sf_dir, 8), 8, 0.12, 100)
+    _, nodes = L.grow_until(binary(spark, sf_dir), 64, 0.12, 100)
     return spark.createDataFrame([(n["node"], n["n"], n["leaf"]) for n in nodes], "node string, n long, leaf boolean")
 
 
 @query()
 def tree_routing(spark, sf_dir):
     """New rows to the leaves of a tree, and which leaves changed their rows."""
-    rows = binary(spark, sf_dir, 16).withColumnRenamed("id", "sample_id")
-    placed, nodes = L.grow(rows, 16, 3, "spread", 20)
+    rows = binary(spark, sf_dir).withColumnRenamed("id", "sample_id")
+    placed, nodes = L.grow(rows, 64, 3, "spread", 20)
     routed = L.route(rows, nodes)
     return L.leaf_report(placed.select("sample_id", "node", "label"), routed.select("sample_id", "node")).select("node", "moved", r6("purity_before").alias("purity_before"), r6("purity_after").alias("purity_after"))
 
 
 @query()
 def cluster_sweep(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16)
-    return L.sweep(rows, range(3, 5), 2, 16).select("k", "trial", "cluster", "n", r6("share_within").alias("share_within"), F.round("score", 4).alias("score"))
+    rows = binary(spark, sf_dir)
+    return L.sweep(rows, range(5, 16), 10, 64).select("k", "trial", "cluster", "n", r6("share_within").alias("share_within"), F.round("score", 4).alias("score"))
 
 
 @query(f"""WITH {VX}, l AS (SELECT label, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), p AS (SELECT label, pos, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY label, pos),
@@ -294,26 +294,26 @@ def llsr(spark, sf_dir):
 @query()
 def weighted_llsr(spark, sf_dir):
     rows = M.inverse_frequency_weights(vectors(spark, sf_dir).withColumn("t", F.get("f", F.lit(0))), "t").withColumn("y", F.array("t"))
-    w = M.LeastSquares.fit(rows.withColumn("f", F.slice("f", 2, 20)), weight="weight").w
+    w = M.LeastSquares.fit(rows.withColumn("f", F.slice("f", 2, 63)), weight="weight").w
     return _values(spark, w[:, 0], "w")
 
 
 @query()
 def lag(spark, sf_dir):
-    rows = vectors(spark, sf_dir).withColumn("f", F.slice("f", 1, 32))
+    rows = vectors(spark, sf_dir)
     return M.LabelAssisted.fit(rows, 10, 2).predict(rows).select("id", "label", "prediction")
 
 
 @query()
 def lag_neighbours(spark, sf_dir):
-    rows = vectors(spark, sf_dir).withColumn("f", F.slice("f", 1, 32))
+    rows = vectors(spark, sf_dir)
     return M.LabelAssisted.fit(rows, 10, 2).predict_by_neighbours(rows, 3)
 
 
 @query()
 def boosted_cv(spark, sf_dir):
     """Boosted trees, settings chosen by stratified folds."""
-    rows = binary(spark, sf_dir, 8)
+    rows = binary(spark, sf_dir)
     grid = M.random_grid({"maxIter": [3], "maxDepth": [2, 3]}, 2)
     model, best, _ = M.cross_validated(rows, grid, "id", 2)
     return model(rows).select("id", r6("p").alias("p"))
@@ -321,33 +321,33 @@ def boosted_cv(spark, sf_dir):
 
 @query()
 def random_forest(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16)
+    rows = binary(spark, sf_dir)
     return M.forest(rows, trees=10, depth=4)(rows).select("id", r6("p").alias("p"))
 
 
 @query()
 def forest_regression(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16).withColumn("y", F.get("f", F.lit(0)) * 2)
+    rows = binary(spark, sf_dir).withColumn("y", F.get("f", F.lit(0)) * 2)
     return M.forest_regressor(rows, trees=5, depth=4)(rows).select("id", r6("prediction").alias("prediction"))
 
 
 @query()
 def radial_svc(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16)
-    return M.radial_svc(rows, 16, 1.0, 50)(rows).select("id", "prediction")
+    rows = binary(spark, sf_dir)
+    return M.radial_svc(rows, 64, 1.0, 50)(rows).select("id", "prediction")
 
 
 @query()
 def logistic_stacker(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16)
+    rows = binary(spark, sf_dir)
     return M.logistic(rows)(rows).select("id", F.round("p", 4).alias("p"))
 
 
 @query()
 def stack_gbt(spark, sf_dir):
-    rows = binary(spark, sf_dir, 16)
+    rows = binary(spark, sf_dir)
     small = lambda d, f, label: M.boosted(d, f, label, maxIter=3, maxDepth=2)
-    return M.stack(rows, [(0, 8), (8, 16)], base=small, final=small)(rows).select("id", "label", r6("p").alias("p"))
+    return M.stack(rows, [(0, 32), (32, 64)], base=small, final=small)(rows).select("id", "label", r6("p").alias("p"))
 
 
 @query(f"""WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), m AS (SELECT id, avg(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS share FROM l GROUP BY id)
@@ -371,16 +371,16 @@ def dense_labels(spark, sf_dir):
 
 @query(f"WITH {VX} SELECT id, {BINARY}::BIGINT AS label, 1.0::DOUBLE AS prediction FROM vx WHERE label >= 5")
 def one_class_learner(spark, sf_dir):
-    rows = binary(spark, sf_dir, 4).where("label = 1")
+    rows = binary(spark, sf_dir).where("label = 1")
     return M.learn(rows, lambda d: M.logistic(d))(rows).select("id", "label", "prediction")
 
 
-@query(f"""WITH {VX} SELECT id, l AS label, round(2 * f[1] + 3 * f[1], 6) AS total FROM vx, (SELECT unnest([0, 1]) AS l)""")
+@query(f"""WITH {VX} SELECT id, l AS label, round(list_sum(list_transform(f, lambda x: 2 * x)) + list_sum(list_transform(f, lambda x: 3 * x)), 6) AS total FROM vx, (SELECT unnest([0, 1]) AS l)""")
 def cross_apply(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("id", F.slice("f", 1, 1).alias("f"))
+    rows = vectors(spark, sf_dir).select("id", "f")
     times = lambda k: lambda d: d.withColumn("f", F.transform("f", lambda x: x * k))
     out = M.cross_apply(rows, rows, times(2), times(3))
-    return out.select("id", "label", r6(F.get("f", F.lit(0)) + F.get("f", F.lit(1))).alias("total"))
+    return out.select("id", "label", r6(F.expr("aggregate(f, 0D, (s, x) -> s + x)")).alias("total"))
 
 
 @query()
@@ -401,7 +401,7 @@ def hop_lag(spark, sf_dir):
 
 # ---- selection ----------------------------------------------------------------------------------
 
-_BINS = f"""{VX}, l AS (SELECT {BINARY} AS y, unnest(range(16)) AS feature, unnest(f[1:16]) AS x FROM vx), e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
+_BINS = f"""{VX}, l AS (SELECT {BINARY} AS y, unnest(range(64)) AS feature, unnest(f) AS x FROM vx), e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM l GROUP BY feature),
 c AS (SELECT feature, least(9, greatest(0, floor((x - lo) / (hi - lo) * 10)))::BIGINT AS bin, y, count(*) AS n FROM l JOIN e USING (feature) WHERE hi > lo GROUP BY ALL)"""
 
 
@@ -410,18 +410,18 @@ d AS (SELECT feature, y, count(*) AS led FROM s WHERE r = 1 GROUP BY feature, y)
 p AS (SELECT u.feature, z.y, size, (coalesce(led, 0) + CASE WHEN z.y = 0 THEN 10 - used ELSE 0 END) / 10.0::DOUBLE AS p FROM u CROSS JOIN z LEFT JOIN d ON d.feature = u.feature AND d.y = z.y)
 SELECT feature, round(sum(size * -log10(p + 1e-5) / log10(2)) / sum(size), 6) AS ce FROM p GROUP BY feature""")
 def bin_entropy(spark, sf_dir):
-    return N.bin_entropy(binary(spark, sf_dir, 16), 2).select(F.col("feature").cast("long").alias("feature"), r6("ce").alias("ce"))
+    return N.bin_entropy(binary(spark, sf_dir), 2).select(F.col("feature").cast("long").alias("feature"), r6("ce").alias("ce"))
 
 
 @query(f"WITH {_BINS}, p AS (SELECT feature, n, n / sum(n) OVER (PARTITION BY feature, bin) AS p FROM c) SELECT feature, round(sum(-ln(p) * n), 4) AS ce FROM p GROUP BY feature")
 def correct_class_entropy(spark, sf_dir):
-    return N.correct_class_entropy(binary(spark, sf_dir, 16)).select(F.col("feature").cast("long").alias("feature"), F.round("ce", 4).alias("ce"))
+    return N.correct_class_entropy(binary(spark, sf_dir)).select(F.col("feature").cast("long").alias("feature"), F.round("ce", 4).alias("ce"))
 
 
 @query(f"""WITH {_BINS}, m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PARTITION BY feature, y) AS k FROM c)
 SELECT feature, round(sum(n / t * ln(n * t / (b * k))), 6) AS mi FROM m GROUP BY feature""")
 def binned_mi(spark, sf_dir):
-    return N.mutual_information(binary(spark, sf_dir, 16)).select(F.col("feature").cast("long").alias("feature"), r6("mi").alias("mi"))
+    return N.mutual_information(binary(spark, sf_dir)).select(F.col("feature").cast("long").alias("feature"), r6("mi").alias("mi"))
 
 
 @query("""WITH g AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type),
@@ -434,12 +434,12 @@ def hist_entropy(spark, sf_dir):
 
 @query()
 def cluster_entropy(spark, sf_dir):
-    return N.cluster_entropy(binary(spark, sf_dir, 16), 4, 2).withColumn("ce", r6("ce"))
+    return N.cluster_entropy(binary(spark, sf_dir), 4, 2).withColumn("ce", r6("ce"))
 
 
 @query()
 def forest_entropy(spark, sf_dir):
-    return N.forest_entropy(binary(spark, sf_dir, 4), 4).select("feature", r6("ce").alias("ce"))
+    return N.forest_entropy(binary(spark, sf_dir), 64).select("feature", r6("ce").alias("ce"))
 
 
 @query(f"WITH {_ENERGY_K} SELECT layer, k, round(energy, 6) AS energy, CASE WHEN energy > 0.6 THEN 1 ELSE 0 END AS passed, CASE WHEN energy <= 0.6 AND energy > 0.3 THEN 1 ELSE 0 END AS kept FROM en")
@@ -450,7 +450,7 @@ def pick_channels(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    return N.importances(binary(spark, sf_dir, 16), trees=5, depth=4).withColumn("importance", r6("importance"))
+    return N.importances(binary(spark, sf_dir), trees=5, depth=4).withColumn("importance", r6("importance"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

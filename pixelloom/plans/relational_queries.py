@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pixelloom.operators import aggregates as A
 from pixelloom.operators import metrics as M
 from pixelloom.operators import sampling as S
-from pixelloom.operators.joins import surround
-from pixelloom.plans.fixtures import AROUND, PX, SIDE, VX, pixels, read, vectors
+from pixelloom.operators.joins import surround_in_images
+from pixelloom.plans.fixtures import AROUND, PX, SIDE, VX, images, pixels, read, vectors
 from pixelloom.plans.registry import query
 from pixelloom.plans.vector_queries import _ENERGY_K, energies, r6
 
@@ -25,10 +25,10 @@ def remove_mean(spark, sf_dir):
     return rows.select("id", weighted("f").alias("by_feature"), weighted("g").alias("by_row"))
 
 
-@query(f"""WITH {VX}, l AS (SELECT id, unnest(range(16)) AS pos, unnest(f[1:16]) AS x FROM vx)
+@query(f"""WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx)
 SELECT p.pos AS a, q.pos AS b, round(covar_samp(p.x, q.x), 9) AS cov FROM l p JOIN l q ON p.id = q.id AND p.pos <= q.pos GROUP BY p.pos, q.pos""")
 def covariance(spark, sf_dir):
-    rows = A.covariance(vectors(spark, sf_dir).withColumn("f", F.slice("f", 1, 16)))
+    rows = A.covariance(vectors(spark, sf_dir))
     return rows.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("cov", 9).alias("cov"))
 
 
@@ -106,11 +106,11 @@ def hist_bins(spark, sf_dir):
     return A.histogram(read(spark, sf_dir, "events"), "value", 20, "event_type")
 
 
-@query(f"""WITH {VX}, l AS (SELECT label, id, unnest(range(8)) AS pos, unnest(f[1:8]) AS x FROM vx), v AS (SELECT label, pos, var_pop(x) AS v, count(*) AS n FROM l GROUP BY label, pos)
+@query(f"""WITH {VX}, l AS (SELECT label, id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), v AS (SELECT label, pos, var_pop(x) AS v, count(*) AS n FROM l GROUP BY label, pos)
 SELECT label AS node, any_value(n) AS n, round(avg(v), 9) AS mse, round(sum(v) * any_value(n), 6) AS sse FROM v GROUP BY label""")
 def node_spread(spark, sf_dir):
-    rows = vectors(spark, sf_dir).withColumnRenamed("label", "node").withColumn("f", F.slice("f", 1, 8))
-    return A.node_spread(rows, "node", 8).select("node", "n", F.round("mse", 9).alias("mse"), r6("sse").alias("sse"))
+    rows = vectors(spark, sf_dir).withColumnRenamed("label", "node")
+    return A.node_spread(rows, "node", 64).select("node", "n", F.round("mse", 9).alias("mse"), r6("sse").alias("sse"))
 
 
 @query(f"WITH {_LABELLED} SELECT cluster, count(*) AS n, round(greatest(sum(label), count(*) - sum(label)) / count(*), 6) AS purity FROM x GROUP BY cluster")
@@ -131,7 +131,7 @@ def block_pool_avg(spark, sf_dir):
 
 @query(f"WITH {AROUND} SELECT image_id, i, j, round(max(v), 6) AS largest, round(min(v), 6) AS smallest, round(avg(v), 6) AS mean FROM around GROUP BY image_id, i, j")
 def surround_aggregate(spark, sf_dir):
-    near = surround(pixels(spark, sf_dir), SIDE, SIDE).withColumn("a", A.aggregate_surround(F.col("around")))
+    near = surround_in_images(images(spark, sf_dir), SIDE, SIDE).withColumn("a", A.aggregate_surround(F.col("around")))
     return near.select("image_id", "i", "j", *[r6(F.get("a", F.lit(k))).alias(n) for k, n in enumerate(("largest", "smallest", "mean"))])
 
 
@@ -227,7 +227,6 @@ def gather_sampled(spark, sf_dir):
     """Neighbourhoods of indicated pixels only."""
     from pixelloom.functions.vector import total
     from pixelloom.operators.windows import features_of, neighbours
-    from pixelloom.plans.fixtures import images
 
     wanted = pixels(spark, sf_dir).where("v > 0.3").select("image_id", "i", "j")
     rows = features_of(neighbours(images(spark, sf_dir))).join(wanted, ["image_id", "i", "j"], "left_semi")

@@ -165,3 +165,34 @@ def test_one_class_and_dense_labels(spark):
     _, rows = vectors(spark)
     assert learn.learn(rows.where("label = 1"), learn.logistic)(rows).where("prediction <> 1").count() == 0
     assert {r.dense for r in learn.dense_labels(rows.withColumn("label", F.col("label") * 5 + 3)).collect()} == {0, 1}
+
+
+def test_surroundings_of_whole_images_are_those_of_pixel_rows(spark):
+    from pixelloom.operators import joins as J
+    from pixelloom.operators.projection import explode_pixels
+
+    images = spark.createDataFrame([(i, [float((i * 7 + p * p) % 11) for p in range(12)], 3, 4, i) for i in range(5)], "image_id long, px array<double>, h int, w int, label int")
+    a = J.surround_in_images(images, 3, 4)
+    b = J.surround(explode_pixels(images, "px", "w", "v", "label"), 3, 4)
+    assert sorted(map(str, a.select("image_id", "i", "j", "around").collect())) == sorted(map(str, b.select("image_id", "i", "j", "around").collect()))
+
+
+def test_sweep_against_plain_lloyd(spark):
+    """All runs of the sweep at once give what plain loops give from the same starts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators import cluster as L
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0, 2, 5)])
+    rows = spark.createDataFrame([(r.tolist(), int(i % 2)) for i, r in enumerate(x)], "f array<double>, label int").repartition(3)
+    got = {(r.k, r.trial, r.cluster): r for r in L.sweep(rows, range(2, 4), 2, 3).collect()}
+    for k in (2, 3):
+        for t in range(2):
+            c = np.array([r[0] for r in rows.orderBy(F.xxhash64("f", F.lit(t)), "f").limit(3).collect()])[:k]
+            for _ in range(20):
+                near = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+                c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+            assert [got[k, t, j].n for j in range(k) if (k, t, j) in got] == [n for n in np.bincount(near, minlength=k).tolist() if n]
+    assert L.sweep(rows.where("false"), range(2, 4), 2, 3).count() == 0
