@@ -71,6 +71,14 @@ def drop_scratch(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files and broadcasts of finished queries once the driver's collectors find them unused: let them look."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_keys(keys: DataFrame, bound: int = MAX_BROADCAST_KEYS) -> np.ndarray | None:
     """The one long column of a materialized table as a sorted array if it has at most `bound` rows, else None."""
     if keys.count() > bound:

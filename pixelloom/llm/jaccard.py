@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, materialize, member, mix, row_key, shingle_sets, small_counts, small_keys, text_bytes, tidy
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, free_shuffles, materialize, member, mix, row_key, shingle_sets, small_counts, small_keys, text_bytes, tidy
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
@@ -213,10 +213,13 @@ def _complete(docs: DataFrame, rows: DataFrame, sets: DataFrame, frequent: np.nd
         ids = F.broadcast(short) if n <= MAX_FREQUENT else short
         full = token_sets(_texts(docs, rows, short, None), size, num, den, whole=True)
         full = materialize(full.select(F.col("rid").alias("key"), "n", "toks").dropDuplicates(["key"]), "jaccard-full")
-        now = materialize(sets.join(ids, "key", "left_anti").unionByName(full), "jaccard-sets")
+        now = sets.join(ids, "key", "left_anti").unionByName(full)
+        if n > MAX_FREQUENT:  # else the few that changed are left out at each reading
+            now = materialize(now, "jaccard-sets")
         own = full.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c"))
         own = materialize(own, "jaccard-added")
-        drop_scratch(sets, full, short)
+        if n > MAX_FREQUENT:
+            drop_scratch(sets, full, short)
         sets, added = now, own if added is None else added.unionByName(own)
         rare = RARE
         while (more := small_keys(own.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
@@ -326,10 +329,14 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
     node = materialize(every.where("n > 0").groupBy("cls", "cls2", "n").agg(F.min("rid").alias("node")), "jaccard-nodes")
     rows = every.select("rid", "doc_id", "key", "n", "cls", "cls2").join(node, ["cls", "cls2", "n"], "left").select("rid", "doc_id", "key", "n", "node")
     rows = materialize(rows, "jaccard-rows")
-    sets = materialize(every.select(F.col("rid").alias("key"), "n", "toks").join(node.select(F.col("node").alias("key")), "key", "left_semi"), "jaccard-sets")
+    again = rows.where("rid <> node or node is null").select(F.col("rid").alias("key"))
+    again = F.broadcast(again) if again.count() <= MAX_FREQUENT else again  # sets stay where they are unless very many repeat
+    sets = materialize(every.select(F.col("rid").alias("key"), "n", "toks").join(again, "key", "left_anti"), "jaccard-sets")
     drop_scratch(every, node)
+    free_shuffles(docs.sparkSession)
     counts = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
     counts = materialize(counts, "jaccard-counts")
+    free_shuffles(docs.sparkSession)
     rare = RARE
     while (often := small_keys(counts.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
         rare *= 2
@@ -350,6 +357,7 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
     rep = rep.select("sig", F.col("r.key").alias("hub"), F.col("r.n").alias("nh"), F.col("r.reach").alias("rh"), "c", "least")
     entries = materialize(index.join(rep, "sig").where("reach >= least").select("sig", "key", "n", "reach", "c", "hub", "nh", "rh"), "jaccard-entries")
     drop_scratch(index)
+    free_shuffles(docs.sparkSession)
     star = entries.where("key <> hub and n <= rh and nh <= reach").select("hub", F.col("key").alias("mem"), "nh", F.col("n").alias("nm"))
     tested = materialize(star.distinct(), "jaccard-pairs")
     comps = components(_verified(docs, rows, sets, tested, size, num, den))
@@ -359,6 +367,7 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
     hot = max(HOT, rare + bound)
     apart = _apart(entries, comps)
     drop_scratch(entries)
+    free_shuffles(docs.sparkSession)
     large, fresh = apart.where(F.col("c") > hot), False
     if large.limit(1).count():
         sure, maybe = _block_links(large, sets, num, den)
@@ -389,6 +398,7 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
             if more.limit(1).count():
                 comps, fresh = _joined(comps, more), True
         tested.append(rest)
+        free_shuffles(docs.sparkSession)
         if most <= SLOT:  # that was every pair
             break
     drop_scratch(apart, sets, *tested)
@@ -504,7 +514,7 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
 def _lowest(rows: DataFrame, comps: DataFrame, low) -> DataFrame:
     """Per node the least value of its component: first per node, then per component, so no row of a large group moves twice."""
     own = materialize(rows.where("node is not null").groupBy("node").agg(F.min(low).alias("low")).join(comps, "node", "left"), "jaccard-own")
-    top = own.where("component is not null").groupBy("component").agg(F.min("low").alias("top"))
+    top = materialize(own.where("component is not null").groupBy("component").agg(F.min("low").alias("top")), "jaccard-top")
     return materialize(own.join(top, "component", "left").select("node", F.coalesce("top", "low").alias("low")), "jaccard-low")
 
 
