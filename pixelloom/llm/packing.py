@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,14 @@ def part_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return codes
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them; the ids of parts that were seen are kept."""
 
@@ -167,7 +177,7 @@ class WordTokenizer:
             self.size = 0
         new = [p for p in parts if p not in known]
         for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.asarray(e.ids, "<u4").tobytes()
+            known[p] = _packed(e.ids)
             self.size += len(p) + len(known[p]) + 150
         ids = [known[p] for p in parts]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
