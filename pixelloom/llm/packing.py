@@ -24,16 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import LOW_BYTES, blocks_at, chunks, few_rows, hash_spans, materialize, text_bytes, trim, unequal_spans, worker_cache
+from pixelloom.llm.common import LOW_BYTES, MULTIPLIER, blocks_at, chunks, few_rows, hash_spans, materialize, text_bytes, trim, unequal_spans, worker_cache
 
 CAPACITY = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Tokens by which a group's windows fall short of their capacity on average, so that differencing rarely exceeds it.
 SLACK = 4
 #: Bytes, about, of the space-separated parts and their ids that a worker keeps.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
+#: Places that note which parts were met before: only a part that is met again is kept.
+MET = 1 << 21
+#: Parts that the library gets at once.
+SLICE = 1024
 #: Bytes of text that are tokenized together.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 768 << 10
 
 # Bytes of texts that every Unicode version normalises alike and splits at white space alike: tab, newline, return, printable
 # ASCII, U+00A1 to U+017F without U+0130, and the usual punctuation of U+2010 to U+203F. Others go through the library whole.
@@ -141,7 +145,7 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class WordTokenizer:
-    """Ids of whole texts as the tokenizers library gives them; the ids of parts that were seen are kept."""
+    """Ids of whole texts as the tokenizers library gives them; the ids of parts that come again are kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -150,6 +154,16 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.known: dict[bytes, bytes] = worker_cache()
         self.size = 0
+        self.met = np.zeros(MET, bool)
+
+    def _again(self, codes: np.ndarray) -> list[bool]:
+        """Which of these distinct parts were met before, as far as is known, and note them all."""
+        if np.count_nonzero(self.met) > MET // 2:
+            self.met[:] = False
+        at = (codes * np.uint64(MULTIPLIER) >> np.uint64(64 - (MET.bit_length() - 1))).astype(np.int64)
+        again = self.met[at].tolist()
+        self.met[at] = True
+        return again
 
     def _whole(self, text: bytes) -> np.ndarray:
         return np.asarray(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -166,7 +180,7 @@ class WordTokenizer:
         if len(odd):
             plain = ~np.isin(row, odd)
             starts, ends, row = starts[plain], ends[plain], row[plain]
-        _, first, back = np.unique(part_codes(buf, starts, ends), return_index=True, return_inverse=True)
+        codes, first, back = np.unique(part_codes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(bad := unequal_spans(buf, starts, ends, first[back])):
             odd = np.union1d(odd, row[bad])
         low = buf.tobytes()
@@ -175,11 +189,16 @@ class WordTokenizer:
         if self.size > CACHE_BYTES or not known:
             known.clear()
             self.size = 0
-        new = [p for p in parts if p not in known]
-        for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[p] = _packed(e.ids)
-            self.size += len(p) + len(known[p]) + 150
-        ids = [known[p] for p in parts]
+        ids = list(map(known.get, parts))
+        new = [i for i, x in enumerate(ids) if x is None]
+        again = self._again(codes)
+        for at in range(0, len(new), SLICE):
+            some = new[at : at + SLICE]
+            for i, e in zip(some, self.library.encode_batch_fast([parts[i].decode() for i in some], add_special_tokens=False), strict=True):
+                ids[i] = _packed(e.ids)
+                if again[i]:
+                    known[parts[i]] = ids[i]
+                    self.size += len(parts[i]) + len(ids[i]) + 150
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(sizes) - sizes
