@@ -303,9 +303,17 @@ def _text_judge(size: int, num: int, den: int):
     return judge
 
 
+def _only(sets: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets without those that a join with these keys would shuffle for nothing, the materialized keys). Beyond MAX_FREQUENT keys all sets stay."""
+    keys = materialize(keys.distinct(), "jaccard-met")
+    return (sets.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= MAX_FREQUENT else sets), keys
+
+
 def _verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among pairs (hub, mem, nh, nm)."""
-    likely = _at_hubs(pairs, sets.select("key", "toks"), "toks", _sketch_judge(num, den))
+    met, keys = _only(sets, pairs.select(F.explode(F.array("hub", "mem")).alias("key")))
+    likely = _at_hubs(pairs, met.select("key", "toks"), "toks", _sketch_judge(num, den))
+    drop_scratch(keys)
     if not likely.limit(1).count():
         return likely.select(F.col("hub").alias("a"), F.col("mem").alias("b"))
     ids = materialize(likely.select(F.explode(F.array("hub", "mem")).alias("key")).distinct(), "jaccard-ids")
@@ -425,7 +433,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
     base = ["sig", "key", "component", "reach"]
     left = cut.where("component <> main").select(*base, F.pmod("h", "kx").alias("x"), F.explode(F.expr("sequence(cast(0 as bigint), ky - 1)")).alias("y"), F.lit(True).alias("left"))
     right = cut.select(*base, F.explode(F.expr("sequence(cast(0 as bigint), kx - 1)")).alias("x"), F.pmod("h", "ky").alias("y"), F.lit(False).alias("left"))
-    full = left.unionByName(right).join(sets.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "left", "reach", "n", "toks")
+    met, keys = _only(sets, rows.select("key"))
+    full = left.unionByName(right).join(met.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "left", "reach", "n", "toks")
     full = full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, ...]:
@@ -497,6 +506,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
             yield from done(pa.concat_tables(held))
 
     found = materialize(full.mapInArrow(tidy(run), "hub long, mem long, nh long, nm long, sure long").distinct(), "jaccard-links")
+    drop_scratch(keys)
     return found.where("sure = 1").select(F.col("hub").alias("a"), F.col("mem").alias("b")), found.where("sure = 0").drop("sure")
 
 
