@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, dedup, jaccard, lattice, lpf, packing, pii, toxicity, urls, warc
+from pixelloom.llm import balltree, bpe, conversations, dedup, jaccard, lattice, lpf, oracles, packing, pii, sharding, toxicity, urls, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,8 +69,30 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    found = conversations.audit(conversations.repair(conversations.damage(rows))).withColumnRenamed("conv_id", "id")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    empty = {c: F.lit(0) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.select("conv_id", *[F.when(F.col("audit").isNull(), v).otherwise(F.col(c)).alias(c) for c, v in empty.items()])
+
+
+def op12_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.whole_vectors(_read(spark, sf_dir, "embeddings"), 64, 256.0)
+    rows = balltree.report(*balltree.cluster(vectors, 40, 5, 64))
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(_read(spark, sf_dir, "documents"), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_warc, op2_packing, op3_bpe, op4_pii, op5_urls, op6_jaccard, op7_dedup, op8_toxicity, op9_lpf, op10_lattice)
+    made = (
+        op1_warc, op2_packing, op3_bpe, op4_pii, op5_urls, op6_jaccard, op7_dedup, op8_toxicity, op9_lpf, op10_lattice,
+        op11_conversations, op12_balltree, op13_sharding,
+    )
     return {f.__name__: f for f in made}
 
 
@@ -119,4 +141,7 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC, "op5_urls": _URLS, "op6_jaccard": _JACCARD, "op7_dedup": _DEDUP, "op10_lattice": _LATTICE}
+    return {
+        "op1_warc": _WARC, "op5_urls": _URLS, "op6_jaccard": _JACCARD, "op7_dedup": _DEDUP, "op10_lattice": _LATTICE,
+        "op11_conversations": oracles.CONVERSATIONS, "op12_balltree": oracles.CENTROIDS, "op13_sharding": oracles.SHARDS,
+    }
