@@ -1,4 +1,4 @@
-"""Clustering: k-means with given starts, hierarchical trees with a pluggable cost, and reports on clusters."""
+"""Clustering: k-means with given starts, and reports on clusters. Trees are in trees.py."""
 
 from __future__ import annotations
 
@@ -11,17 +11,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.vector import euclidean
 from pixelloom.operators.joins import nearest_centroid
 
 
 def kmeans(rows: DataFrame, k: int, f: str = "f", seed: int = 9, max_iter: int = 20):
-    """(rows with `cluster`, centres, cost) by the built-in parallel k-means."""
+    """(rows with `cluster`, centres, cost) by the built-in parallel k-means. Rows whose vector is null or holds a null are left out; an
+    empty table has no centres and costs nothing."""
+    data = rows.where(F.coalesce(F.forall(f, lambda x: x.isNotNull()), F.lit(False)))
+    first = data.select(F.size(f)).first()
+    if first is None:
+        return data.withColumn("cluster", F.lit(0)), [], 0.0
     if k == 1:
-        size = len(rows.select(f).first()[0])
-        mean, deviation = mean_and_deviation(rows, size, f)
-        return rows.withColumn("cluster", F.lit(0)), [mean.tolist()], float((deviation**2).sum()) * rows.count()
-    data = rows.withColumn("_v", array_to_vector(f))
+        mean, deviation = mean_and_deviation(data, first[0], f)
+        return data.withColumn("cluster", F.lit(0)), [mean.tolist()], float((deviation**2).sum()) * data.count()
+    data = data.withColumn("_v", array_to_vector(f))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(data)
     return model.transform(data).drop("_v"), [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost
 
@@ -65,22 +68,21 @@ def assign(rows: DataFrame, centres: list[list[float]], f: str = "f") -> DataFra
 
 
 def lloyd(rows: DataFrame, centres: list[list[float]], f: str = "f", max_iter: int = 10, tolerance: float = 1e-6) -> tuple[list[list[float]], float]:
-    """k-means from given centres: (centres, sum of squared distances). Each step is one aggregation."""
-    size = len(centres[0])
-    cost = float("inf")
+    """k-means from given centres: (centres, sum of squared distances). Each step is one pass; rows without a whole vector are left out, no
+    rows cost nothing and move nothing."""
+    from pixelloom.operators import trees
+
+    size, now, cost = len(centres[0]), np.array(centres, float), float("inf")
+    data = trees.usable(rows, size, f).select(F.lit("R").alias("node"), F.col(f).alias("f"), F.lit(0.0).alias("label"))
     for _ in range(max_iter):
-        per = assign(rows, centres, f).groupBy("cluster").agg(F.sum(F.col("distance") ** 2).alias("sse"), *[F.avg(F.get(f, F.lit(i))) for i in range(size)]).collect()
-        new = [list(c) for c in centres]
-        for r in per:
-            new[r["cluster"]] = [float(x) for x in r[2:]]
-        now = sum(r["sse"] for r in per)
-        moved = max(abs(a - b) for x, y in zip(new, centres) for a, b in zip(x, y))
-        centres = new
-        if moved < tolerance or cost - now <= tolerance * max(1.0, now) and cost != float("inf"):
-            cost = now
+        found = trees.sums(data, {"R": now}, size)
+        new = np.array([found["R", k].mean if ("R", k) in found else c for k, c in enumerate(now)])
+        total, moved = sum(s.sse for s in found.values()), float(np.abs(new - now).max())
+        done = moved < tolerance or cost - total <= tolerance * max(1.0, total) and cost != float("inf")
+        now, cost = new, float(total)
+        if done:
             break
-        cost = now
-    return centres, cost
+    return now.tolist(), cost
 
 
 def best_of_trials(rows: DataFrame, size: int, f: str = "f", loss: Callable[[list[list[float]], float], float] | None = None, key: str = "id"):
@@ -100,111 +102,44 @@ def split_loss(rows: DataFrame, centres: list[list[float]], size: int, sse_paren
     return balance + sum(r["sse"] for r in per) / max(sse_parent, 1e-12) + impurity
 
 
-# Costs of a leaf from its row of statistics (n, sse, purity, variance): the leaf of the highest cost is split next.
-COSTS: dict[str, Callable[[dict], float]] = {
-    "spread": lambda s: s["sse"] ** 0.5 + 100 * s["purity"] + s["n"] / 1000,
-    "purity": lambda s: 1 - s["purity"],
-    "variance": lambda s: s["variance"],
-    "error": lambda s: s["sse"],
-    "loss": lambda s: s["entropy"] * np.log(max(2, s["n"])),
-}
-
-
-def grow(rows: DataFrame, size: int, leaves: int, cost: str | Callable[[dict], float] = "spread", least: int = 2, f: str = "f", label: str = "label", accept: Callable[[dict, list[dict]], bool] | None = None):
-    """A binary k-means tree: (rows with `node`, nodes table as a list of dicts). Node ids are `R` and the path of 0 and 1.
-
-    One aggregation gives the statistics of all leaves; the costliest with at least 2 x least rows is split. accept may refuse a
-    split from the statistics of parent and children."""
-    score = COSTS[cost] if isinstance(cost, str) else cost
-    now = rows.withColumn("node", F.lit("R"))
-    nodes: dict[str, dict] = {}
-    refused: set[str] = set()
-
-    def statistics(table: DataFrame) -> dict[str, dict]:
-        means = [F.avg(F.get(f, F.lit(i))) for i in range(size)]
-        variances = [F.var_pop(F.get(f, F.lit(i))) for i in range(size)]
-        per = table.groupBy("node").agg(F.count("*").alias("n"), sum(variances[1:], variances[0]).alias("spread"), F.avg(label).alias("p"), F.var_pop(label).alias("variance"), F.array(*means).alias("c"))
-        out = {}
-        for r in per.collect():
-            p = float(r["p"] or 0.0)
-            out[r["node"]] = {"node": r["node"], "n": r["n"], "sse": float(r["spread"]) * r["n"], "purity": max(p, 1 - p), "variance": float(r["variance"] or 0.0), "entropy": float(-sum(q * np.log(max(q, 1e-12)) for q in (p, 1 - p))), "centroid": list(r["c"])}
-        return out
-
-    nodes |= statistics(now)
-    current = dict(nodes)
-    while len(current) < leaves:
-        able = [s for s in current.values() if s["n"] >= 2 * least and s["sse"] > 0 and s["node"] not in refused]
-        if not able:
-            break
-        best = max(able, key=lambda s: (score(s), s["node"]))
-        part = now.where(F.col("node") == best["node"])
-        mean, deviation = mean_and_deviation(part, size, f)
-        centres, _ = lloyd(part, lbg_starts(mean, deviation, "both"), f, 5)
-        a, b = (F.array(*[F.lit(float(x)) for x in c]) for c in centres)
-        child = F.when(euclidean(F.col(f), b) < euclidean(F.col(f), a), "1").otherwise("0")
-        new = now.withColumn("node", F.when(F.col("node") == best["node"], F.concat("node", child)).otherwise(F.col("node")))
-        made = {k: s for k, s in statistics(new.where(F.col("node").startswith(best["node"]))).items() if len(k) == len(best["node"]) + 1 and k.startswith(best["node"])}
-        if len(made) < 2 or accept and not accept(best, list(made.values())):
-            refused.add(best["node"])
-            continue
-        now = new
-        nodes |= made
-        del current[best["node"]]
-        current |= made
-    return now, [n | {"leaf": n["node"] in current} for n in nodes.values()]
-
-
-def grow_full(rows: DataFrame, size: int, k: int, depth: int, stop: Callable[[dict], bool] | None = None, f: str = "f", label: str = "label"):
-    """A k-ary tree split to a full depth unless `stop` says so of a node's statistics (n, p)."""
-    now = rows.withColumn("node", F.lit("R"))
-    for _ in range(depth):
-        width = max(len(r[0]) for r in now.select("node").distinct().collect())
-        for r in now.groupBy("node").agg(F.count("*").alias("n"), F.avg(label).alias("p")).where(F.length("node") == width).collect():
-            if r["n"] < k or stop and stop({"n": r["n"], "p": r["p"]}):
-                continue
-            _, centres, _ = kmeans(now.where(F.col("node") == r["node"]), k, f)
-            placed = assign(now.where(F.col("node") == r["node"]), centres, f)
-            now = now.where(F.col("node") != r["node"]).unionByName(placed.withColumn("node", F.concat("node", F.col("cluster").cast("string"))).select(now.columns))
-    return now
-
-
-def grow_until(rows: DataFrame, size: int, most: float, least: int, f: str = "f"):
-    """Split every leaf whose mean squared distance exceeds `most` and that holds enough rows."""
-    return grow(rows, size, 1 << 16, lambda s: s["sse"] / max(1, s["n"]) - most, least, f, accept=lambda parent, _: parent["sse"] / parent["n"] > most)
-
-
-def accept_by_loss(error: float = 0.0) -> Callable[[dict, list[dict]], bool]:
-    """Take a split only if the children's weighted loss is smaller than the parent's by more than `error`."""
-    return lambda parent, children: sum(c["n"] * c["entropy"] for c in children) / parent["n"] < parent["entropy"] - error
-
-
-def route(rows: DataFrame, nodes: list[dict], f: str = "f") -> DataFrame:
-    """New rows to the nearest leaf of a tree."""
-    table = [n for n in nodes if n["leaf"]]
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(i, n["node"]) for i, n in enumerate(table)], "cluster long, node string")
-    return assign(rows, [n["centroid"] for n in table], f).join(F.broadcast(names), "cluster").drop("cluster")
-
-
 def per_cluster_linear(rows: DataFrame, f: str = "f", y: str = "y", cluster: str = "cluster") -> DataFrame:
-    """Least squares within each cluster: (cluster, n, w) with the bias last. The normal equations are summed, not the rows."""
-    d = F.size(f)
-    x = F.concat(F.col(f), F.array(F.lit(1.0)))
-    flat = rows.select(cluster, F.posexplode(F.flatten(F.transform(x, lambda a: F.transform(F.concat(x, F.array(F.col(y))), lambda b: a * b)))).alias("pos", "v"), d.alias("d"))
-    sums = flat.groupBy(cluster, "pos").agg(F.sum("v").alias("v"), F.max("d").alias("d"), F.count("*").alias("n"))
-    one = sums.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"), F.max("d").alias("d"), F.max("n").alias("n"))
+    """Least squares within each cluster: (cluster, n, w) with the bias last. Tasks add up the normal equations of their clusters; a cluster's
+    sums are added up in two rounds, so none gathers a sum from every task. Rows with a null in x or y are left out; null clusters
+    are one cluster; an empty table gives no rows."""
+    sums = "cluster long, part long, n long, v array<double>"
+    slim = rows.select(F.col(cluster).cast("long").alias("cluster"), F.col(f).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"))
+    slim = slim.where(F.col("f").isNotNull() & F.forall("f", lambda x: x.isNotNull()) & F.col("y").isNotNull())
 
-    def solve(batches):
-        import pandas as pd
+    def add(batches):
+        from pyspark import TaskContext
 
+        total: dict[int | None, list] = {}
         for b in batches:
-            out = []
-            for c, s, n_features, n in zip(b[cluster], b["s"], b["d"], b["n"]):
-                m = np.array([v["v"] for v in s]).reshape(n_features + 1, n_features + 2)
-                out.append((c, n, np.linalg.lstsq(m[:, :-1], m[:, -1], rcond=None)[0]))
-            yield pd.DataFrame(out, columns=["cluster", "n", "w"])
-
-    return one.mapInPandas(solve, "cluster long, n long, w array<double>")
+            codes = b.column(0).dictionary_encode(null_encoding="encode")
+            x, at = np.array(b.column(1).to_pylist(), float), codes.indices.to_numpy()
+            z = np.column_stack([x, np.ones(len(x)), b.column(2).to_numpy()]) if b.num_rows else x
+            for k, name in enumerate(codes.dictionary.to_pylist()):
+                own = z[at == k]
+                s = total.setdefault(name, [0, 0.0])
+                s[0], s[1] = s[0] + len(own), s[1] + own.T @ own
+        part = TaskContext.get().partitionId() % 32
+        cols = [list(total), [part] * len(total), [s[0] for s in total.values()], [s[1].ravel().tolist() for s in total.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["cluster", "part", "n", "v"])
+
+    def join(t: pa.Table) -> pa.Table:
+        v = np.sum(t["v"].to_pylist(), axis=0)
+        return pa.table({"cluster": t["cluster"][:1], "part": t["part"][:1], "n": [int(np.sum(t["n"].to_numpy()))], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
+
+    def solve(t: pa.Table) -> pa.Table:
+        one = join(t)
+        m = np.array(one["v"][0].as_py())
+        d = int(round(len(m) ** 0.5)) - 1
+        m = m.reshape(d + 1, d + 1)
+        w = np.linalg.lstsq(m[:d, :d], m[:d, d], rcond=None)[0]
+        return pa.table({"cluster": one["cluster"], "n": one["n"], "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    parts = slim.mapInArrow(add, sums).groupBy("cluster", "part").applyInArrow(join, sums)
+    return parts.groupBy("cluster").applyInArrow(solve, "cluster long, n long, w array<double>")
 
 
 def calinski_harabasz(rows: DataFrame, size: int, cluster: str = "cluster", f: str = "f") -> DataFrame:

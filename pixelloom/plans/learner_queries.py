@@ -184,78 +184,6 @@ def minibatch_kmeans(spark, sf_dir):
     return placed.groupBy("cluster").count()
 
 
-@query()
-def lbg_split(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    mean, deviation = L.mean_and_deviation(rows, 64)
-    out = [(how, *(round(x, 6) for x in (L.lloyd(rows, L.lbg_starts(mean, deviation, how), max_iter=5)[1],))) for how in ("plus", "minus", "both")]
-    return spark.createDataFrame(out, "start string, cost double")
-
-
-@query()
-def multi_trial(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    centres, cost = L.best_of_trials(rows, 64)
-    return spark.createDataFrame([(len(centres), round(cost, 6))], "centres long, cost double")
-
-
-@query()
-def composite_loss(spark, sf_dir):
-    rows = binary(spark, sf_dir)
-    mean, deviation = L.mean_and_deviation(rows, 64)
-    loss = L.split_loss(rows, L.lbg_starts(mean, deviation), 64, float((deviation**2).sum()) * rows.count())
-    return spark.createDataFrame([(round(float(loss), 6),)], "loss double")
-
-
-def _tree(cost: str):
-    def run(spark, sf_dir):
-        _, nodes = L.grow(binary(spark, sf_dir), 64, 4, cost, 20)
-        return spark.createDataFrame([(n["node"], n["n"], round(n["purity"], 6), n["leaf"]) for n in nodes], "node string, n long, purity double, leaf boolean")
-
-    return run
-
-
-@query()
-def hier_tree(spark, sf_dir):
-    return _tree("spread")(spark, sf_dir)
-
-
-@query()
-def purity_tree(spark, sf_dir):
-    return _tree("purity")(spark, sf_dir)
-
-
-@query()
-def variance_tree(spark, sf_dir):
-    return _tree("variance")(spark, sf_dir)
-
-
-@query()
-def loss_guided_tree(spark, sf_dir):
-    _, nodes = L.grow(binary(spark, sf_dir), 64, 4, "loss", 20, accept=L.accept_by_loss())
-    return spark.createDataFrame([(n["node"], n["n"], round(n["entropy"], 6), n["leaf"]) for n in nodes], "node string, n long, entropy double, leaf boolean")
-
-
-@query()
-def full_tree(spark, sf_dir):
-    return L.grow_full(binary(spark, sf_dir), 64, 3, 2).groupBy("node").count()
-
-
-@query()
-def threshold_tree(spark, sf_dir):
-    _, nodes = L.grow_until(binary(spark, sf_dir), 64, 0.12, 100)
-    return spark.createDataFrame([(n["node"], n["n"], n["leaf"]) for n in nodes], "node string, n long, leaf boolean")
-
-
-@query()
-def tree_routing(spark, sf_dir):
-    """New rows to the leaves of a tree, and which leaves changed their rows."""
-    rows = binary(spark, sf_dir).withColumnRenamed("id", "sample_id")
-    placed, nodes = L.grow(rows, 64, 3, "spread", 20)
-    routed = L.route(rows, nodes)
-    return L.leaf_report(placed.select("sample_id", "node", "label"), routed.select("sample_id", "node")).select("node", "moved", r6("purity_before").alias("purity_before"), r6("purity_after").alias("purity_after"))
-
-
 @query()
 def cluster_sweep(spark, sf_dir):
     rows = binary(spark, sf_dir)

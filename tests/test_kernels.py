@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelloom.functions import grid
-from pixelloom.operators import cluster, learn, projection, subspace, windows
+from pixelloom.operators import learn, projection, subspace, windows
 from pixelloom.operators.metrics import reconstruction_error
 from pixelloom.sources.config import HopSpec
 
@@ -150,17 +150,6 @@ def test_least_squares(spark):
     assert np.allclose(w, np.array([[2, 0], [-1, 0], [0, 1], [0, 0], [0, 0], [0, 0], [3, 0]]), atol=1e-6)
 
 
-def test_trees_and_routing(spark):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(20, 2)) + c for c in ((0, 0), (10, 0), (0, 10))])
-    rows = spark.createDataFrame([(i, v.tolist(), int(i >= 20)) for i, v in enumerate(x)], "id long, f array<double>, label long")
-    placed, nodes = cluster.grow(rows, 2, 3, "error", 5)
-    parts = placed.groupBy("node").agg(F.collect_set((F.col("id") / 20).cast("int")).alias("s")).collect()
-    assert len(parts) == 3 and all(len(p.s) == 1 for p in parts)
-    routed = cluster.route(rows, nodes)
-    assert routed.join(placed.select("id", F.col("node").alias("n")), "id").where("node <> n").count() == 0
-
-
 def test_one_class_and_dense_labels(spark):
     _, rows = vectors(spark)
     assert learn.learn(rows.where("label = 1"), learn.logistic)(rows).where("prediction <> 1").count() == 0
