@@ -38,7 +38,7 @@ DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def _urn(id_, number: str = "0") -> bytes:
+def _urn(id_, number: str) -> bytes:
     return b"<urn:page:%s:%s>" % (b"null" if id_ is None else str(id_).encode(), number.encode())
 
 
@@ -47,16 +47,17 @@ def _id(urn: str) -> int | None:
     return None if page == "null" else int(page)
 
 
-def record_bytes(id_, url, refers_to, digest: str, payload: bytes | None, date: str = DATE, number: str = "0") -> bytes:
-    """One WARC/1.1 record; a payload of None makes a revisit of refers_to. number tells apart the records of repeated ids."""
+def record_bytes(id_, url, refers_to, digest: str, payload: bytes | None, date: str = DATE, number: str | None = None) -> bytes:
+    """One WARC/1.1 record; a payload of None makes a revisit of refers_to. A response that revisits refer to is named by its id and digest;
+    number names the others."""
     kind = b"revisit" if payload is None else b"response"
     block = HTTP + (payload or b"")
-    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + _urn(id_, number), b"WARC-Date: " + date.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode()]
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + _urn(id_, digest if number is None else number), b"WARC-Date: " + date.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode()]
     if url is not None:
         safe = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
         head.append(b"WARC-Target-URI: " + safe.encode())
     if payload is None:
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + _urn(refers_to)]
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + _urn(refers_to, digest)]
     head += [b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -158,16 +159,24 @@ class BundleReader:
 
 
 def decide(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Rows (id, url, refers_to, digest, payload): payload is null for revisits."""
+    """Rows (id, url, refers_to, digest, payload, main): payload is null for revisits, main is the one response of its payload that revisits
+    refer to."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    best = rows.groupBy("digest", "size").agg(F.max("id").alias("best"))
+    repeated = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id"), "warc-repeated")
+    if repeated.limit(1).count():  # rows of such ids are written once, so that their numbers stay
+        several = materialize(rows.join(repeated, "id", "left_semi").withColumn("rid", F.monotonically_increasing_id() + 1), "warc-several")
+        rows = rows.join(repeated, "id", "left_anti").withColumn("rid", F.lit(0).cast("long")).unionByName(several)
+    else:
+        rows = rows.withColumn("rid", F.lit(0).cast("long"))
+    best = rows.groupBy("digest", "size").agg(F.max("id").alias("best"), F.max_by("rid", "id").alias("main"))
     again = (F.col("size") >= min_revisit_bytes) & F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best"))
     return rows.join(best, ["digest", "size"]).select(
-        "id", "url", F.when(again, F.col("best")).alias("refers_to"), "digest", F.when(~again, F.col("payload")).alias("payload")
-    )
+        "id", "url", F.when(again, F.col("best")).alias("refers_to"), "digest", F.when(~again, F.col("payload")).alias("payload"),
+        (F.col("id").isNotNull() & F.coalesce(F.col("rid") == F.col("main"), F.lit(False))).alias("main"),
+    )
 
 
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, date: str | None = None) -> DataFrame:
@@ -179,10 +188,10 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
         w = BundleWriter(folder, frame_bytes, bundle_bytes)
         run, count = uuid.uuid4().hex, 0  # no two records of any attempts share an identifier
         for batch in batches:
-            cols = [batch.column(i) for i in range(5)]
+            cols = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
-                id_, url, refers, digest, payload = (c[i].as_py() for c in cols)
-                w.add(id_, record_bytes(id_, url, refers, base64.b32encode(bytes.fromhex(digest)).decode(), payload, date, f"{run}-{count}"))
+                id_, url, refers, digest, payload, main = (c[i].as_py() for c in cols)
+                w.add(id_, record_bytes(id_, url, refers, base64.b32encode(bytes.fromhex(digest)).decode(), payload, date, None if main else f"{run}-{count}"))
                 count += 1
         w.close()
         rows = w.take()

@@ -56,3 +56,20 @@ def test_each_bundle_is_read_by_one_task(spark, tmp_path):
     index = warc.write_bundles(warc.decide(pages(spark)), f"file://{tmp_path}", frame_bytes=100, bundle_bytes=100)
     read = warc.read_bundles(index)
     assert read.rdd.getNumPartitions() == index.select("bundle").distinct().count()
+
+
+def test_every_revisit_leads_to_its_response(spark, tmp_path):
+    """WARC-Refers-To names exactly one record, a response of equal digest; repeated ids and payloads included."""
+    rows = [*PAGES, (5, "again", "same"), (5, "again", "same"), (None, None, "nobody's"), (None, None, "nobody's"), (1 << 60, "big", "same!"), ((1 << 60) - 1, "big", "same!")]
+    index = warc.write_bundles(warc.decide(pages(spark, rows)), f"file://{tmp_path}", frame_bytes=100, bundle_bytes=500)
+    heads = []
+    for r in index.collect():
+        data = warc.BundleReader(r.bundle).frame(r.frame)[r.start : r.start + r.length]
+        heads.append(dict(x.split(b": ", 1) for x in data[: data.index(b"\r\n\r\n")].split(b"\r\n")[1:]))
+    named = {h[b"WARC-Record-ID"]: h for h in heads}
+    assert len(named) == len(heads) == len(rows)
+    revisits = [h for h in heads if h[b"WARC-Type"] == b"revisit"]
+    assert len(revisits) == 5
+    for h in revisits:
+        response = named[h[b"WARC-Refers-To"]]
+        assert response[b"WARC-Type"] == b"response" and response[b"WARC-Payload-Digest"] == h[b"WARC-Payload-Digest"]
