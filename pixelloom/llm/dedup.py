@@ -24,8 +24,10 @@ SHARD_KEYS = 20_000
 #: Most keys of rows (16 bytes each) that are broadcast; more are joined by shuffle.
 MAX_SENT = 1_000_000
 BLANK = " \t\n\x0b\x0c\r"
-SLOTS = "shard long, n long, moves binary, digests binary, ids array<long>, rids array<long>, sizes array<long>, lengths array<long>"
-GROUPS = "digest binary, doc_id long, rid long, length long, size long, member boolean"
+SLOTS = "shard long, n long, moves binary, digests binary, ids array<long>, lost array<boolean>, rids array<long>, sizes array<long>, lengths array<long>"
+#: Rows of groups as tasks see them: no nulls, so that no long becomes a double. lost: the row has no id.
+PLAIN = ["digest", "doc_id", "lost", "rid", "length", "size"]
+GROUPS = "digest binary, doc_id long, lost boolean, rid long, length long, size long, member boolean"
 
 
 def _halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,20 +100,24 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(best, F.count("*").alias("size")).select("digest", "b.doc_id", "b.rid", (-F.col("b.less")).alias("length"), "size")
 
 
+def plain(groups: DataFrame) -> DataFrame:
+    """Rows of grouped() without nulls."""
+    return groups.withColumns({"lost": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))}).select(*PLAIN)
+
+
 def _shard(n: int):
     return F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("shard")
 
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
-    """One row per shard with its hash and slots, from rows of grouped()."""
+    """One row per shard with its hash and slots, from rows of plain()."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         digests = _matrix(rows["digest"])
         moves, slots = build_hash(digests)
         back = np.argsort(slots)
         pick = lambda c: rows[c].to_numpy()[back].tolist()
-        ids = [None if pd.isna(x) else int(x) for x in pick("doc_id")]
-        return pd.DataFrame([{"shard": int(rows["shard"].iloc[0]), "n": len(rows), "moves": moves.tobytes(), "digests": digests[back].tobytes(), "ids": ids, "rids": pick("rid"), "sizes": pick("size"), "lengths": pick("length")}])
+        return pd.DataFrame([{"shard": int(rows["shard"].iloc[0]), "n": len(rows), "moves": moves.tobytes(), "digests": digests[back].tobytes(), "ids": pick("doc_id"), "lost": pick("lost"), "rids": pick("rid"), "sizes": pick("size"), "lengths": pick("length")}])
 
     return materialize(history.select("*", _shard(shards)).groupBy("shard").applyInPandas(build, SLOTS), "dedup-index")
 
@@ -125,7 +131,8 @@ def look_up(new: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         if len(slots):
             s = slots.iloc[0]
             stored = np.frombuffer(s["digests"], np.uint8).reshape(-1, 32)
-            old = pd.DataFrame({"digest": [x.tobytes() for x in stored], "doc_id": pd.array([None if x is None or pd.isna(x) else int(x) for x in s["ids"]], "Int64"), "rid": s["rids"], "length": s["lengths"], "size": s["sizes"]})
+            longs = lambda c: np.asarray(s[c], np.int64)
+            old = pd.DataFrame({"digest": [x.tobytes() for x in stored], "doc_id": longs("ids"), "lost": np.asarray(s["lost"], bool), "rid": longs("rids"), "length": longs("lengths"), "size": longs("sizes")})
             if len(rows):
                 digests = _matrix(rows["digest"])
                 at = find(digests, np.frombuffer(s["moves"], np.int64), int(s["n"]))
@@ -133,20 +140,19 @@ def look_up(new: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 mine = rows[hit].reset_index(drop=True)
                 at = at[hit]
                 theirs = old.iloc[at].reset_index(drop=True)
-                big = np.int64(1 << 62)
-                rank = lambda f: list(zip(-f["length"].to_numpy(), f["doc_id"].astype("Int64").fillna(big).astype("int64").to_numpy(), f["rid"].to_numpy()))
+                rank = lambda f: list(zip(-f["length"].to_numpy(), f["lost"].to_numpy(), f["doc_id"].to_numpy(), f["rid"].to_numpy()))
                 better = np.array([x < y for x, y in zip(rank(mine), rank(theirs))], bool)
                 merged = theirs.copy()
-                for c in ("doc_id", "rid", "length"):
-                    merged[c] = mine[c].astype(merged[c].dtype).where(better, theirs[c])
+                for c in ("doc_id", "lost", "rid", "length"):
+                    merged[c] = np.where(better, mine[c].to_numpy(), theirs[c].to_numpy())
                 merged["size"] = theirs["size"].to_numpy() + mine["size"].to_numpy()
                 out.append(merged)
                 old = old.drop(index=at)
             out.append(old)
         if len(rows):
-            out.append(rows.loc[~hit, ["digest", "doc_id", "rid", "length", "size"]].astype({"doc_id": "Int64"}).assign(member=False))
+            out.append(rows.loc[~hit, PLAIN].assign(member=False))
         out = [x if "member" in x else x.assign(member=True) for x in out if len(x)]
-        return pd.concat(out, ignore_index=True)[["digest", "doc_id", "rid", "length", "size", "member"]] if out else pd.DataFrame({"digest": [], "doc_id": [], "rid": [], "length": [], "size": [], "member": []})
+        return pd.concat(out, ignore_index=True)[[*PLAIN, "member"]] if out else pd.DataFrame({c: [] for c in [*PLAIN, "member"]})
 
     return new.select("*", _shard(shards)).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(probe, GROUPS)
 
@@ -155,9 +161,10 @@ def deduplicate(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Groups (digest, doc_id, rid, length, size, member) over rows of digest_rows(). history: a condition that tells
     historical rows from new ones; by default one bit of the row key does."""
     past = F.pmod(F.col("key"), F.lit(2)) == 0 if history is None else history
-    old, new = materialize(grouped(rows.where(past)), "dedup-old"), grouped(rows.where(~past))
+    old, new = materialize(plain(grouped(rows.where(past))), "dedup-old"), plain(grouped(rows.where(~past)))
     shards = max(1, -(-old.count() // SHARD_KEYS))
-    return materialize(look_up(new, build_index(old, shards), shards), "dedup-groups")
+    found = look_up(new, build_index(old, shards), shards)
+    return materialize(found.withColumn("doc_id", F.when(~F.col("lost"), F.col("doc_id"))).drop("lost"), "dedup-groups")
 
 
 def decide(docs: DataFrame) -> DataFrame:

@@ -61,3 +61,18 @@ def test_a_third_of_all_rows_in_one_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
     out = dedup.decide(docs)
     assert out.where("group_size = 1000 and keep_id = 0").count() == 1000 and out.where("kept").count() == 2001
+
+
+def test_ids_beyond_doubles_next_to_nulls(spark):
+    """Longs stay longs: each keep_id is one of its group's ids."""
+    big = 1 << 53
+    rows = [(big + 1, "a b"), (big + 3, "ab "), (big + 5, "c"), (big + 7, " c"), (None, "c"), ((1 << 62) + 5, "d"), ((1 << 62) + 7, "d"), (-1, "e"), (None, "e"), (None, "f"), (-(1 << 62) - 1, "d "), (0, "g"), (None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(strip(t), []).append((-len(t), i is None, i or 0, i))
+    want = {(i, min(groups[strip(t)])[3], len(groups[strip(t)])) for i, t in rows}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in dedup.decide(docs).collect()} == want
+    digests = dedup.digest_rows(docs)
+    for past in (F.lit(False), F.lit(True), F.col("doc_id").isNull(), F.col("rid") % 2 == 0):
+        assert {(r.doc_id, r.size) for r in dedup.deduplicate(digests, past).collect()} == {(min(g)[3], len(g)) for g in groups.values()}
