@@ -105,13 +105,10 @@ def sobel(x: np.ndarray, blur: float | None = None) -> np.ndarray:
 
 
 def roberts(x: np.ndarray, in_place: bool = True) -> np.ndarray:
-    """Cross differences. in_place: later pixels see earlier results, as a raster scan over one buffer does; otherwise all
-    pixels see the input."""
+    """Cross differences; the last row and column stay. A raster scan over one buffer (in_place) gives the same: a pixel looks at itself, its
+    right neighbour and the row below, none of which the scan has reached."""
     out = x.astype(float).copy()
-    src = out if in_place else x.astype(float)
-    for i in range(x.shape[0] - 1):
-        for j in range(x.shape[1] - 1):
-            out[i, j] = abs(src[i + 1, j + 1] - src[i, j]) + abs(src[i + 1, j] - src[i, j + 1])
+    out[:-1, :-1] = np.abs(x[1:, 1:] - x[:-1, :-1]) + np.abs(x[1:, :-1] - x[:-1, 1:])
     return out
 
 
@@ -188,12 +185,14 @@ def wavelet_cost(x: np.ndarray) -> np.ndarray:
 
 
 def high_frequency_share(kernel: np.ndarray, mask: str = "cross") -> float:
-    """Share of a square kernel's spectrum outside the low frequencies (a cross through the centre, or its 3x3 middle)."""
+    """Share of a square kernel's spectrum outside the low frequencies (a cross through the centre, a plus of the centre and its four neighbours, or the 3x3 middle)."""
     s = np.abs(np.fft.fftshift(np.fft.fft2(kernel)))
     m = np.ones(s.shape, bool)
     c = s.shape[0] // 2
     if mask == "cross":
         m[c], m[:, c] = False, False
+    elif mask == "plus":
+        m[c - 1 : c + 2, c], m[c, c - 1 : c + 2] = False, False
     else:
         m[c - 1 : c + 2, c - 1 : c + 2] = False
     return float(s[m].sum() / s.sum()) if s.sum() else 0.0
@@ -248,7 +247,7 @@ def picks(x: np.ndarray, count: int, reach: int, largest: bool = True) -> list[t
 
 
 def orientation_descriptor(block: np.ndarray, cells: int = 4, bins: int = 8) -> np.ndarray:
-    """128 numbers of gradient orientations in 4x4 cells: an approximation of a SIFT descriptor, not its equal."""
+    """128 numbers of gradient orientations in 4x4 cells of a block alone; sift() has the full descriptor."""
     gy, gx = np.gradient(block)
     m, a = np.hypot(gx, gy), np.arctan2(gy, gx) % (2 * np.pi)
     b = np.minimum((a / (2 * np.pi) * bins).astype(int), bins - 1)
@@ -261,6 +260,43 @@ def orientation_descriptor(block: np.ndarray, cells: int = 4, bins: int = 8) ->
     return out / n if n else out
 
 
+def sift(x: np.ndarray, size: int = 32, cell: float | None = None, blur: float = 1.6, cells: int = 4, bins: int = 8, clip: float = 0.2) -> np.ndarray:
+    """Dense SIFT of an image: a descriptor of cells x cells x bins numbers, of norm 1, for the key point in the middle of every size x size
+    block, upright. The image is blurred to `blur` (it is taken to have 0.5 already); a cell is 1.5 sizes wide unless said otherwise, as
+    usual for a key point of that size, so descriptors reach beyond their block. Gradients weigh by a Gaussian of half the descriptor's
+    width and are shared linearly between the two nearest rows, columns and angles of cells; numbers are cut at `clip` and
+    normalised again. Flat surroundings give zeros; blocks cut off at the lower and right border have none."""
+    cell = 1.5 * size if cell is None else cell
+    y = gaussian(x.astype(float), np.sqrt(max(blur**2 - 0.25, 0.01)))
+    gx, gy = np.zeros(y.shape), np.zeros(y.shape)
+    gx[:, 1:-1], gy[1:-1] = y[:, 2:] - y[:, :-2], y[:-2] - y[2:]
+    inner = np.zeros(y.shape, bool)
+    inner[1:-1, 1:-1] = True
+    i, j = np.nonzero(inner)
+    strength, turn = np.hypot(gx, gy)[i, j], (np.arctan2(gy, gx)[i, j] / (2 * np.pi) * bins) % bins
+    out = np.zeros((x.shape[0] // size, x.shape[1] // size, cells * cells * bins))
+    for a in range(out.shape[0]):
+        for b in range(out.shape[1]):
+            r, c = (i - (a * size + size // 2)) / cell, (j - (b * size + size // 2)) / cell
+            row, col = r + cells / 2 - 0.5, c + cells / 2 - 0.5
+            own = np.flatnonzero((row > -1) & (row < cells) & (col > -1) & (col < cells))
+            w = strength[own] * np.exp(-(r[own] ** 2 + c[own] ** 2) / (cells * cells * 0.5))
+            hist = np.zeros((cells + 2, cells + 2, bins))
+            at = [np.floor(v[own]).astype(int) for v in (row, col, turn)]
+            rest = [v[own] - k for v, k in zip((row, col, turn), at)]
+            for p in range(8):
+                step = (p >> 2, p >> 1 & 1, p & 1)
+                part = w.copy()
+                for s, f in zip(step, rest):
+                    part *= f if s else 1 - f
+                np.add.at(hist, (at[0] + 1 + step[0], at[1] + 1 + step[1], (at[2] + step[2]) % bins), part)
+            d = hist[1:-1, 1:-1].ravel()
+            d = np.minimum(d, clip * np.linalg.norm(d))
+            n = np.linalg.norm(d)
+            out[a, b] = d / n if n else d
+    return out
+
+
 def shapes(size: int = 160, kind: str = "circle", tile: int | None = None) -> np.ndarray:
     """A synthetic 0/1 shape, or small copies of it tiled over the image."""
     n = tile or size

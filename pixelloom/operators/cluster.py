@@ -29,11 +29,52 @@ def kmeans(rows: DataFrame, k: int, f: str = "f", seed: int = 9, max_iter: int =
     return model.transform(data).drop("_v"), [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost
 
 
-def minibatch_kmeans(rows: DataFrame, k: int, f: str = "f", key: str = "id", share: int = 10, seed: int = 9):
-    """Fit on one row in `share` (by a hash of the key), label all rows."""
-    sample = rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(share)) == 0)
-    _, centres, _ = kmeans(sample, k, f, seed)
-    return assign(rows, centres, f), centres
+def minibatch_kmeans(rows: DataFrame, k: int, f: str = "f", key: str = "id", batch: int = 1_000, passes: int = 3, seed: int = 9, candidates: int = 50):
+    """(rows with `cluster` and `distance`, centres): centres with counts as state, moved by every batch towards its means.
+
+    Tasks move centres of their own over all their rows, batch after batch, from the same ones; after a pass the centres of all tasks are
+    averaged by their counts. Starts are spread (each the farthest from those before, weighed by chance) among k x candidates rows
+    of lowest hash of the key, which bounds what the driver holds. Rows whose vector is null or holds a null are left out; an
+    empty table has no centres; fewer different rows than k make fewer centres."""
+    data = rows.where(F.coalesce(F.forall(f, lambda x: x.isNotNull()), F.lit(False)))
+    few = np.array([r[0] for r in data.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k * candidates).select(f).collect()], float)
+    if not len(few):
+        return data.withColumns({"cluster": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}), []
+    centres = _spread_starts(few, k, np.random.default_rng(seed))
+    slim = data.select(F.col(f).cast("array<double>").alias("f"))
+    for _ in range(passes):
+        start = centres
+
+        def move(batches, start=start):
+            c, n = start.copy(), np.zeros(len(start))
+            for b in batches:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+                for at in range(0, len(x), batch):
+                    own = x[at : at + batch]
+                    near = ((c * c).sum(axis=1) - 2 * own @ c.T).argmin(axis=1)
+                    for j in np.unique(near).tolist():
+                        mine = own[near == j]
+                        n[j] += len(mine)
+                        c[j] += (mine.mean(axis=0) - c[j]) * (len(mine) / n[j])
+            v = np.column_stack([n, c * n[:, None]]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        parts = slim.mapInArrow(move, "v array<double>").select(F.posexplode("v").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v"))
+        total = np.array([r[1] for r in parts.orderBy("p").collect()]).reshape(len(centres), -1)  # k x (size + 1) numbers
+        centres = np.where(total[:, :1] > 0, total[:, 1:] / np.maximum(total[:, :1], 1), centres)
+    return assign(data, centres.tolist(), f), centres.tolist()
+
+
+def _spread_starts(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starts drawn one after the other with chances by the squared distance to the nearest one so far."""
+    picked = [x[int(rng.integers(len(x)))]]
+    far = ((x - picked[0]) ** 2).sum(axis=1)
+    while len(picked) < k and far.sum() > 0:
+        tried = rng.choice(len(x), size=8, p=far / far.sum())
+        best = min(tried.tolist(), key=lambda j: np.minimum(far, ((x - x[j]) ** 2).sum(axis=1)).sum())
+        picked.append(x[best])
+        far = np.minimum(far, ((x - x[best]) ** 2).sum(axis=1))
+    return np.array(picked)
 
 
 def mean_and_deviation(rows: DataFrame, size: int, f: str = "f") -> tuple[np.ndarray, np.ndarray]:

@@ -73,17 +73,26 @@ def wavelet_cost(images: DataFrame) -> DataFrame:
 
 
 def orientation_descriptors(images: DataFrame, size: int = 32) -> DataFrame:
-    """(image_id, bi, bj, f): 128 numbers per block. An approximation of SIFT."""
+    """(image_id, bi, bj, f): 128 numbers from each block alone. dense_sift() has the full descriptor."""
+    cut = lambda x: np.stack([grid.orientation_descriptor(x[i : i + size, j : j + size]) for i in range(0, x.shape[0] - size + 1, size) for j in range(0, x.shape[1] - size + 1, size)])
+    return _descriptors(images, lambda x: cut(x).reshape(x.shape[0] // size, x.shape[1] // size, -1) if min(x.shape) >= size else np.zeros((0, 0, 128)))
 
+
+def dense_sift(images: DataFrame, size: int = 32, cell: float | None = None) -> DataFrame:
+    """(image_id, bi, bj, f): the SIFT descriptor around the middle of every block; see grid.sift."""
+    return _descriptors(images, lambda x: grid.sift(x, size, cell))
+
+
+def _descriptors(images: DataFrame, fn) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
             for k, h, w, px in zip(b["image_id"], b["h"], b["w"], b["px"]):
-                x = np.asarray(px, float).reshape(h, w)
-                rows += [(k, i, j, grid.orientation_descriptor(x[i * size : (i + 1) * size, j * size : (j + 1) * size])) for i in range(h // size) for j in range(w // size)]
+                made = fn(np.asarray(px, float).reshape(h, w))
+                rows += [(k, i, j, made[i, j]) for i in range(made.shape[0]) for j in range(made.shape[1])]
             yield pd.DataFrame(rows, columns=["image_id", "bi", "bj", "f"])
 
-    return images.select("image_id", "h", "w", "px").mapInPandas(run, "image_id long, bi long, bj long, f array<double>")
+    return images.where("px is not null").select("image_id", "h", "w", "px").mapInPandas(run, "image_id long, bi long, bj long, f array<double>")
 
 
 def splice_samples(images: DataFrame, truth: str = "gt", edges: str = "edge", boundary: int = 5, far: int = 10) -> DataFrame:

@@ -74,24 +74,37 @@ def without(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(others.select(*on), on, "left_anti")
 
 
-def nearest_centroid(rows: DataFrame, centroids: DataFrame, f: str = "f") -> DataFrame:
-    """Each row with its nearest centroid and the distance; the smaller id wins ties. centroids: (centroid, c). The few
-    centroids travel to the rows as one array; more than MAX_CENTROIDS are refused."""
-    if centroids.count() > MAX_CENTROIDS:
-        raise ValueError("too many centroids to send to every row")
-    table = centroids.agg(F.collect_list(F.struct("centroid", "c")).alias("_all"))
-    scored = F.transform("_all", lambda s: F.struct(euclidean(F.col(f), s["c"]).alias("distance"), s["centroid"].alias("centroid")))
-    best = rows.crossJoin(F.broadcast(table)).withColumn("_best", F.array_min(scored))
-    return best.withColumns({"centroid": F.col("_best.centroid"), "distance": F.col("_best.distance")}).drop("_all", "_best")
-
-
-def centroid_vote(rows: DataFrame, centroids: DataFrame, k: int, alpha: float = 1.0, f: str = "f") -> DataFrame:
-    """Per row (id, class, share): exponential votes of its k nearest centroids. centroids: (centroid, class, c)."""
-    if centroids.count() > MAX_CENTROIDS:
-        raise ValueError("too many centroids to send to every row")
-    table = centroids.agg(F.collect_list(F.struct("centroid", F.col("class").alias("cls"), "c")).alias("_all"))
-    scored = F.transform("_all", lambda s: F.struct(euclidean(F.col(f), s["c"]).alias("d"), s["centroid"].alias("centroid"), s["cls"].alias("cls")))
-    near = rows.crossJoin(F.broadcast(table)).select("id", F.slice(F.sort_array(scored), 1, k).alias("near"))
+def _blocks_of(centroids: DataFrame, most: int) -> list[DataFrame]:
+    """The table as one, or in blocks of at most so many rows."""
+    n = centroids.count()
+    if n <= most:
+        return [centroids]
+    from pixelloom.operators.ranks import ranked
+
+    numbered = ranked(centroids, "centroid", out="_block").withColumn("_block", F.floor(F.col("_block") / most))
+    return [numbered.where(F.col("_block") == k).drop("_block") for k in range(-(-n // most))]
+
+
+def nearest_centroid(rows: DataFrame, centroids: DataFrame, f: str = "f", most: int = MAX_CENTROIDS) -> DataFrame:
+    """Each row with its nearest centroid and the distance; the smaller id wins ties. centroids: (centroid, c). At most `most` of them travel
+    to the rows at once; more come in blocks, one after the other, and a row keeps the least so far. Without centroids rows have none."""
+    best = None
+    for block in _blocks_of(centroids, most):
+        table = block.agg(F.collect_list(F.struct("centroid", "c")).alias("_all"))
+        scored = F.transform("_all", lambda s: F.struct(euclidean(F.col(f), s["c"]).alias("distance"), s["centroid"].alias("centroid")))
+        rows = rows.crossJoin(F.broadcast(table)).withColumn("_new", F.array_min(scored)).drop("_all")
+        rows = rows.withColumn("_best", F.col("_new") if best is None else F.least("_best", "_new")).drop("_new")
+        best = True
+    return rows.withColumns({"centroid": F.col("_best.centroid"), "distance": F.col("_best.distance")}).drop("_best")
+
+
+def centroid_vote(rows: DataFrame, centroids: DataFrame, k: int, alpha: float = 1.0, f: str = "f", most: int = MAX_CENTROIDS) -> DataFrame:
+    """Per row (id, class, share): exponential votes of its k nearest centroids. centroids: (centroid, class, c), in blocks as above."""
+    near = rows.withColumn("near", F.expr("cast(array() as array<struct<d: double, centroid: bigint, cls: bigint>>)"))
+    for block in _blocks_of(centroids, most):
+        table = block.agg(F.collect_list(F.struct(F.col("centroid").cast("long").alias("centroid"), F.col("class").cast("long").alias("cls"), "c")).alias("_all"))
+        scored = F.transform("_all", lambda s: F.struct(euclidean(F.col(f), s["c"]).alias("d"), s["centroid"].alias("centroid"), s["cls"].alias("cls")))
+        near = near.crossJoin(F.broadcast(table)).withColumn("near", F.slice(F.sort_array(F.concat("near", scored)), 1, k)).drop("_all")
     votes = near.select("id", F.explode("near").alias("n")).select("id", F.col("n.cls").alias("class"), F.exp(-F.col("n.d") * alpha).alias("w"))
     share = votes.groupBy("id", "class").agg(F.sum("w").alias("w"))
     return share.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("id"))).drop("w")

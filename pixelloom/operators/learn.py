@@ -128,11 +128,13 @@ def boosted(rows: DataFrame, f: str = "f", label: str = "label", **params) -> Fi
 
 
 def logistic(rows: DataFrame, f: str = "f", label: str = "label", balanced: bool = True) -> Fitted:
+    """balanced: rows weigh by the inverse of their class's share."""
+    from pixelloom.sources.scratch import bounded
+
     if balanced:
-        sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-        n = sum(sizes.values())
-        weights = F.create_map(*[x for k, c in sizes.items() for x in (F.lit(k), F.lit(n / (len(sizes) * c)))])
-        rows = rows.withColumn("_w", weights[F.col(label)])
+        sizes = rows.groupBy(label).agg(F.count("*").alias("_c"))
+        whole = sizes.agg(F.sum("_c"), F.count("*")).first()
+        rows = rows.join(bounded(sizes), label).withColumn("_w", F.lit(whole[0] or 0) / (F.lit(whole[1]) * F.col("_c"))).drop("_c")
         return _fit(LogisticRegression(weightCol="_w"), rows, f, label)
     return _fit(LogisticRegression(), rows, f, label)
 
@@ -141,13 +143,73 @@ def linear(rows: DataFrame, f: str = "f", y: str = "y") -> Fitted:
     return _fit(LinearRegression(solver="normal"), rows, f, y)
 
 
-def radial_svc(rows: DataFrame, size: int, gamma: float = 1.0, features: int = 200, c: float = 1.0, f: str = "f", label: str = "label", seed: int = 0) -> Callable[[DataFrame], DataFrame]:
-    """A support vector classifier with a radial kernel, approximated by random Fourier features and a linear one."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(scale=np.sqrt(2 * gamma), size=(size, features)), rng.uniform(0, 2 * np.pi, features)
-    lift = _array_udf(lambda x: np.sqrt(2 / features) * np.cos(x @ w + b))
-    model = _fit(LinearSVC(regParam=1 / c, maxIter=50), rows.withColumn("_z", lift(F.col(f))), "_z", label)
-    return lambda d: model(d.withColumn("_z", lift(F.col(f)))).drop("_z")
+@dataclass
+class RadialSVC:
+    """A support vector classifier with a radial kernel over landmarks: rows become their kernel values with the landmarks, whitened, and a
+    linear machine is fitted on those. With all rows as landmarks it is the exact machine; `residual` states what fewer leave out, the
+    mean over rows of the part of the kernel's diagonal (1) that the landmarks don't give."""
+
+    landmarks: np.ndarray
+    white: np.ndarray
+    w: np.ndarray
+    bias: float
+    gamma: float
+    residual: float
+
+    @staticmethod
+    def fit(rows: DataFrame, size: int, gamma: float = 1.0, c: float = 1.0, landmarks: int = 1_000, f: str = "f", label: str = "label", key: str = "id", seed: int = 0, steps: int = 400) -> RadialSVC:
+        """landmarks: rows of lowest hash of their key, at most so many; their vectors are all that the driver holds. Rows without a whole
+        vector or with a null label are left out; without both classes the machine gives that class, or 0 for an empty table."""
+        from pixelloom.operators.trees import usable
+
+        data = usable(rows, size, f).where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(f).cast("array<double>").alias("f"), F.col(label).cast("double").alias("label"))
+        x = np.array([r[0] for r in data.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(landmarks).select("f").collect()], float).reshape(-1, size)
+        counts = {r[0]: r[1] for r in data.groupBy("label").count().limit(3).collect()}
+        if len(counts) < 2:
+            return RadialSVC(x[:0], np.zeros((0, 0)), np.zeros(0), 1.0 if counts.get(1.0) else -1.0, gamma, 0.0)
+        values, vectors = np.linalg.eigh(_radial(x, x, gamma))
+        keep = values > 1e-10 * values.max()
+        made = RadialSVC(x, vectors[:, keep] / np.sqrt(values[keep]), np.zeros(int(keep.sum())), 0.0, gamma, 0.0)
+        z = data.withColumn("z", made._lift()(F.col("f")))
+        made.residual = float(z.agg(F.avg(1 - F.aggregate("z", F.lit(0.0), lambda t, v: t + v * v))).first()[0])
+        model = LinearSVC(regParam=1 / (c * sum(counts.values())), maxIter=steps, tol=1e-10, standardization=False, featuresCol="_v", labelCol="label").fit(z.withColumn("_v", array_to_vector("z")))
+        made.w, made.bias = model.coefficients.toArray(), float(model.intercept)
+        return made
+
+    def _lift(self):
+        return _array_udf(lambda v: _radial(v.astype(float), self.landmarks, self.gamma) @ self.white)
+
+    def __call__(self, rows: DataFrame, f: str = "f") -> DataFrame:
+        """rows with score and prediction; null where there is no whole vector."""
+        x, white, w, bias, gamma = self.landmarks, self.white, self.w, self.bias, self.gamma
+        size = x.shape[1]
+
+        @F.pandas_udf("double")
+        def score(v: pd.Series) -> pd.Series:
+            good = [t is not None and len(t) == size and all(a is not None for a in t) for t in v]
+            out = np.full(len(v), np.nan)
+            if any(good):
+                z = np.array([t for t, g in zip(v, good) if g], float)
+                out[np.flatnonzero(good)] = _radial(z, x, gamma) @ white @ w + bias if len(x) else bias
+            return pd.Series(out)
+
+        out = rows.withColumn("score", F.nanvl(score(F.col(f)), F.lit(None).cast("double")))
+        return out.withColumn("prediction", F.when(F.col("score").isNotNull(), (F.col("score") > 0).cast("double")))
+
+    def objective(self, rows: DataFrame, c: float, f: str = "f", label: str = "label") -> float:
+        """Half the squared norm of the machine and c times its hinge losses."""
+        hinge = self(rows, f).agg(F.sum(F.greatest(F.lit(0.0), 1 - (2 * F.col(label) - 1) * F.col("score")))).first()[0]
+        return float(self.w @ self.w / 2 + c * (hinge or 0.0))
+
+
+def _radial(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    far = (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)
+    return np.exp(-gamma * np.maximum(far, 0))
+
+
+def radial_svc(rows: DataFrame, size: int, gamma: float = 1.0, landmarks: int = 1_000, c: float = 1.0, f: str = "f", label: str = "label", seed: int = 0) -> Callable[[DataFrame], DataFrame]:
+    """A fitted RadialSVC as a function on tables."""
+    return RadialSVC.fit(rows, size, gamma, c, landmarks, f, label, seed=seed)
 
 
 def cross_validated(rows: DataFrame, grid: list[dict], key: str, folds: int = 3, f: str = "f", label: str = "label") -> tuple[Fitted, dict, float]:
@@ -200,9 +262,12 @@ def decide_by_share(rows: DataFrame, threshold: float = 0.5, by: str = "image_id
 
 
 def dense_labels(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Labels renumbered from 0 in their order (column `dense`)."""
-    names = rows.select(label).distinct().withColumn("dense", F.row_number().over(Window.orderBy(label)) - 1)
-    return rows.join(F.broadcast(names), label)
+    """Labels renumbered from 0 in their order (column `dense`), whatever their number; null labels are left out."""
+    from pixelloom.operators.ranks import ranked
+    from pixelloom.sources.scratch import bounded
+
+    names = ranked(rows.where(F.col(label).isNotNull()).select(label).distinct(), label, out="dense").withColumn("dense", F.col("dense").cast("int"))
+    return rows.join(bounded(names), label)
 
 
 def learn(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], label: str = "label") -> Callable[[DataFrame], DataFrame]:
@@ -214,11 +279,11 @@ def learn(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], Data
 
 
 def cross_apply(cover: DataFrame, stego: DataFrame, of_cover: Callable[[DataFrame], DataFrame], of_stego: Callable[[DataFrame], DataFrame], f: str = "f") -> DataFrame:
-    """Rows of both classes through both models; a row's features are those of the cover model followed by the stego model's."""
-    every = cover.withColumn("label", F.lit(0)).unionByName(stego.withColumn("label", F.lit(1)))
-    first = of_cover(every).withColumnRenamed(f, "_a")
-    second = of_stego(every).select("id", "label", F.col(f).alias("_b"))
-    return first.join(second, ["id", "label"]).withColumn(f, F.concat("_a", "_b")).drop("_a", "_b")
+    """Rows of both classes through both models; a row's features are those of the cover model followed by the stego model's. The models
+    replace the column f and leave the others alone, so one pass does and nothing is joined."""
+    every = cover.withColumn("label", F.lit(0)).unionByName(stego.withColumn("label", F.lit(1))).withColumn("_raw", F.col(f))
+    first = of_cover(every).withColumn("_a", F.col(f)).withColumn(f, F.col("_raw"))
+    return of_stego(first).withColumn(f, F.concat("_a", f)).drop("_a", "_raw")
 
 
 def fuse_regressions(rows: DataFrame, predictions: list[str], y: str = "y", low: float = 1.0, high: float = 3.0) -> Callable[[DataFrame], DataFrame]:

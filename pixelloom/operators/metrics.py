@@ -31,10 +31,13 @@ def binary_scores(rows: DataFrame, label: str = "label", prediction: str = "pred
 
 
 def roc_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Exact area by rank sums, ties at half. Rows are first counted per score, so that what is ranked are distinct scores."""
+    """Exact area by rank sums, ties at half; null with a single class. Rows are counted per score first; distinct scores are dealt by range,
+    and a range's negatives are added up before those of the next."""
+    from pixelloom.operators.ranks import running_before
+
     per = rows.groupBy(F.col(score).alias("_s")).agg(F.sum(label).cast("double").alias("_p"), F.sum(1 - F.col(label)).cast("double").alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.withColumn("_b", below).agg((F.sum(F.col("_p") * (F.col("_b") + F.col("_q") / 2)) / (F.sum("_p") * F.sum("_q"))).alias("auc"))
+    pairs = F.sum("_p") * F.sum("_q")
+    return running_before(per, "_s", "_q", "_b").agg(F.when(pairs > 0, F.sum(F.col("_p") * (F.col("_b") + F.col("_q") / 2)) / pairs).alias("auc"))
 
 
 def log_loss(rows: DataFrame, label: str = "label", probability: str = "p", classes: int | None = None, tiny: float = 1e-15) -> DataFrame:

@@ -48,13 +48,21 @@ def split(rows: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> tuple
 
 
 def stratified_folds(rows: DataFrame, key: str, k: int = 5, label: str = "label", seed: int = 0) -> DataFrame:
-    """Folds 0 to k-1 of near-equal size within each class (column `fold`)."""
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
-    return rows.withColumn("fold", F.ntile(k).over(w) - 1)
+    """Folds 0 to k-1 of near-equal size within each class (column `fold`); the first ones are larger by one. A class is numbered over many
+    tasks, however large it is."""
+    from pixelloom.operators.ranks import ranked
+
+    dealt = ranked(rows.withColumn("_h", hash_order(key, seed)), "_h", key, by=(label,), out="_r", size="_n")
+    least, more = F.floor(F.col("_n") / k), F.col("_n") % k
+    late = F.col("_r") >= more * (least + 1)
+    fold = F.when(late, more + F.floor((F.col("_r") - more * (least + 1)) / F.greatest(least, F.lit(1)))).otherwise(F.floor(F.col("_r") / (least + 1)))
+    return dealt.withColumn("fold", fold.cast("int")).drop("_h", "_r", "_n")
 
 
 def between(rows: DataFrame, low: int, high: int, order: str) -> DataFrame:
-    """Rows low to high - 1 of an order."""
-    ids = rows.select(order).orderBy(order).limit(high)
-    edge = ids.orderBy(F.desc(order)).limit(high - low)
-    return rows.join(edge.agg(F.min(order).alias("_a"), F.max(order).alias("_b")), F.col(order).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    """Rows low to high - 1 of an order. Only the order's column is dealt; the rows are filtered by its two ends."""
+    from pixelloom.operators.ranks import ranked
+
+    ends = ranked(rows.select(order), order, out="_r").where(F.col("_r").between(low, high - 1)).agg(F.min(order), F.max(order)).first()
+    return rows.where(F.col(order).between(F.lit(ends[0]), F.lit(ends[1])))
+

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.vector import bin_of
+from pixelloom.sources.scratch import bounded
 
 
 def _binned(rows: DataFrame, bins: int, f: str, label: str) -> DataFrame:
     long = rows.select(F.col(label).alias("y"), F.posexplode(f).alias("feature", "x"))
     ends = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return long.join(F.broadcast(ends), "feature").where("hi > lo").groupBy("feature", bin_of(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"), "y").agg(F.count("*").alias("n"))
+    return long.join(bounded(ends), "feature").where("hi > lo").groupBy("feature", bin_of(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"), "y").agg(F.count("*").alias("n"))
 
 
 def bin_entropy(rows: DataFrame, classes: int, bins: int = 10, f: str = "f", label: str = "label") -> DataFrame:
@@ -22,11 +23,11 @@ def bin_entropy(rows: DataFrame, classes: int, bins: int = 10, f: str = "f", lab
     Constant features are left out."""
     counts = _binned(rows, bins, f, label)
     sizes = rows.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("size"))
-    shares = counts.join(F.broadcast(sizes), "y").withColumn("share", F.col("n") / F.col("size"))
+    shares = counts.join(bounded(sizes), "y").withColumn("share", F.col("n") / F.col("size"))
     leads = shares.groupBy("feature", "bin").agg(F.max_by("y", F.struct("share", -F.col("y"))).alias("y"))
     led = leads.groupBy("feature", "y").agg(F.count("*").alias("led"))
     used = leads.groupBy("feature").agg(F.count("*").alias("used"))
-    grid = used.crossJoin(F.broadcast(sizes)).join(led, ["feature", "y"], "left")
+    grid = used.crossJoin(bounded(sizes)).join(led, ["feature", "y"], "left")
     p = (F.coalesce("led", F.lit(0)) + F.when(F.col("y") == 0, bins - F.col("used")).otherwise(0)) / bins
     total = F.sum("size").over(Window.partitionBy("feature"))
     return grid.withColumn("h", F.col("size") / total * -F.log10(p + 1e-5) / math.log10(classes)).groupBy("feature").agg(F.sum("h").alias("ce"))
@@ -40,7 +41,7 @@ def correct_class_entropy(rows: DataFrame, bins: int = 10, f: str = "f", label:
 
 
 def mutual_information(rows: DataFrame, bins: int = 10, f: str = "f", label: str = "label") -> DataFrame:
-    """Information between binned features and the label, in nats. An approximation of neighbour-based estimates."""
+    """Information between binned features and the label, in nats; information.py has the estimate by nearest neighbours."""
     counts = _binned(rows, bins, f, label)
     w = Window.partitionBy("feature")
     counts = counts.withColumns({"t": F.sum("n").over(w), "b": F.sum("n").over(Window.partitionBy("feature", "bin")), "c": F.sum("n").over(Window.partitionBy("feature", "y"))})

@@ -7,6 +7,7 @@ size, at most a few hundred). Transforms are matrix products inside Arrow batche
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from pixelloom.functions import grid
 from pixelloom.operators.windows import per_image
 from pixelloom.sources.config import HopSpec
+from pixelloom.sources.scratch import shared_folder
 
 MOMENTS = "unit long, part long, n long, total array<double>, cross array<double>, norm2 double"
 
@@ -88,6 +90,14 @@ def principal(cov: np.ndarray, n: int, count: int = -1, legacy_order: bool = Fal
     return (kernels[::-1] if legacy_order else kernels), np.maximum(values[order][:count], 0)
 
 
+def frequency_choice(kernels: np.ndarray, least: float, mask: str = "plus") -> np.ndarray:
+    """Numbers of the square kernels whose share of high frequencies exceeds `least`."""
+    side = int(round(np.sqrt(kernels.shape[1])))
+    if side * side != kernels.shape[1]:
+        raise ValueError("frequencies are chosen for square windows of one channel")
+    return np.array([k for k, v in enumerate(kernels) if grid.high_frequency_share(v.reshape(side, side), mask) > least], int)
+
+
 @dataclass
 class PCA:
     """Principal axes; transform doesn't centre. bits: kernels as fixed-point whole numbers."""
@@ -141,7 +151,8 @@ class Saab:
     bits: int | None = None
 
     @staticmethod
-    def from_moments(m: Moments, count: int = -1, use_dc: bool = True, need_bias: bool = True, variant: str = "v3", energy_percent: float | None = None, bits: int | None = None, norm: float | None = None) -> Saab:
+    def from_moments(m: Moments, count: int = -1, use_dc: bool = True, need_bias: bool = True, variant: str = "v3", energy_percent: float | None = None, bits: int | None = None, norm: float | None = None, high_frequency: float | None = None) -> Saab:
+        """high_frequency: only kernels (of square windows) with more than this share of their spectrum outside the low frequencies."""
         d = len(m.mean)
         count = d if count == -1 else count
         centre = np.eye(d) - 1.0 / d if use_dc or variant != "v3" else np.eye(d)
@@ -150,10 +161,14 @@ class Saab:
         if energy_percent is not None and variant == "v1":
             keep = max(1, int((np.cumsum(energy) / max(energy.sum(), 1e-300) <= energy_percent).sum()))
             kernels, energy = kernels[:keep], energy[:keep]
+        if high_frequency is not None:
+            chosen = frequency_choice(kernels, high_frequency)
+            kernels, energy = kernels[chosen], energy[chosen]
         if use_dc:
             dc = float(np.ones(d) @ m.cov @ np.ones(d)) / d  # variance of the row means times d
             first = np.full((1, d), 1 / np.sqrt(d)) / (np.sqrt(dc) if variant == "v3" and dc > 0 else 1.0)
-            kernels, energy = np.vstack([first, kernels[: max(0, len(kernels) - 1)]]), np.append(dc, energy[: max(0, len(energy) - 1)])
+            last = len(kernels) if high_frequency is not None else max(0, len(kernels) - 1)  # the weakest kernel makes room for the DC
+            kernels, energy = np.vstack([first, kernels[:last]]), np.append(dc, energy[:last])
         energy = energy / energy.sum() if energy.sum() else energy
         made = Saab(kernels, (m.norm if norm is None else norm) / np.sqrt(d), mean, energy, use_dc, need_bias, variant)
         if bits is not None:
@@ -352,12 +367,24 @@ def fit_tree(images: DataFrame, hops: tuple[HopSpec, ...], split_threshold: floa
 
 
 def transform_tree(images: DataFrame, tree: Tree, keep_threshold: float | None = None) -> list[DataFrame]:
-    """Per hop the images of responses; channels whose energy is below keep_threshold are left out."""
-    out = []
-    for k in range(len(tree.units)):
-        keep = np.flatnonzero(tree.energy[k] >= keep_threshold) if keep_threshold is not None else slice(None)
-        out.append(per_image(images, lambda x, k=k, keep=keep: tree.responses(x)[k][:, :, keep]))
-    return out
+    """Per hop the images of responses; channels whose energy is below keep_threshold are left out. One pass computes all hops: it is written
+    as rows (hop, image), which each hop's table then reads its own of."""
+    keep = [np.flatnonzero(e >= keep_threshold) if keep_threshold is not None else np.arange(len(e)) for e in tree.energy]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, h, w, c, px in zip(b["image_id"], b["h"], b["w"], b["c"], b["px"]):
+                for k, y in enumerate(tree.responses(grid.as_image(px, h, w, c))):
+                    y = y[:, :, keep[k]]
+                    rows.append((i, *y.shape, y.ravel(), k))
+            yield pd.DataFrame(rows, columns=["image_id", "h", "w", "c", "px", "hop"])
+
+    made = images.where("px is not null").select("image_id", "h", "w", "c", "px").mapInPandas(run, "image_id long, h int, w int, c int, px array<double>, hop int")
+    folder = f"{shared_folder(images.sparkSession)}/hops-{uuid.uuid4().hex}"
+    made.write.partitionBy("hop").parquet(folder)
+    table = images.sparkSession.read.schema(made.schema).parquet(folder)
+    return [table.where(F.col("hop") == k).drop("hop") for k in range(len(tree.units))]
 
 
 @dataclass
@@ -422,3 +449,77 @@ def standardize(rows: DataFrame, f: str = "f") -> DataFrame:
     s = np.sqrt(np.diag(m.cov))
     k = np.diag(np.where(s > 1e-12, 1 / np.where(s > 1e-12, s, 1), 0.0))
     return rows.withColumn(f, matmul(k, -m.mean)(F.col(f)))
+
+
+def _flat_windows(x: np.ndarray, size: int) -> np.ndarray:
+    v = grid.windows(x, size)
+    return v.reshape(*v.shape[:2], -1)
+
+
+@dataclass
+class MultiSaab:
+    """Stages of overlapping windows, each a DC and principal axes of the windows' deviations from their means, with a 2x2 maximum between
+    them. From the second stage on a bias, the largest norm of a window, goes in before the transform and off the first channel after it.
+
+    The DC is scaled to unit variance. Windows that don't vary take no part in the axes."""
+
+    windows: tuple[int, ...]
+    kernels: list[np.ndarray] = field(default_factory=list)
+    bias: list[float] = field(default_factory=list)
+    energy: list[np.ndarray] = field(default_factory=list)  # variances along the kept axes
+    total: list[float] = field(default_factory=list)  # along all axes
+
+    @staticmethod
+    def fit(images: DataFrame, windows: tuple[int, ...], counts: tuple[int, ...] | None = None, energy_percent: float | None = None, per_class: int | None = None, label: str = "label", key: str = "image_id") -> MultiSaab:
+        """counts: axes of each stage; else as many as reach energy_percent; else all. per_class: fit on so many images of each class, those that
+        come first in a pseudo-random order of their keys. Null images are left out; an empty table gives no stages."""
+        from pixelloom.operators.sampling import balanced
+
+        made = MultiSaab(windows)
+        rows = images.where("px is not null")
+        if per_class is not None:
+            rows = balanced(rows, per_class, key, label)
+        for k, size in enumerate(windows):
+            def cut(b: pd.DataFrame, k=k, size=size) -> dict[int, np.ndarray]:
+                if not len(b):
+                    return {}
+                v = []
+                for h, w, c, px in zip(b["h"], b["w"], b["c"], b["px"]):
+                    y = grid.as_image(px, h, w, c)
+                    for q in range(k):
+                        y = made.stage(q, y)
+                    v.append(_flat_windows(y, size).reshape(-1, size * size * y.shape[2]))
+                v = np.concatenate(v)
+                mean = v.mean(axis=1, keepdims=True)
+                rest = v - mean
+                return {0: rest[rest.std(axis=1) > 0], 1: mean * np.sqrt(v.shape[1]), 2: np.linalg.norm(v, axis=1, keepdims=True)}
+
+            found = moments(rows, cut, ["h", "w", "c", "px"])
+            if 0 not in found:
+                break
+            m, d = found[0], len(found[0].mean)
+            axes, energy = principal(m.cov, m.n)
+            n = d if counts is None and energy_percent is None else counts[k] if counts is not None else int((np.cumsum(energy) / max(energy.sum(), 1e-300) < energy_percent).sum()) + 1
+            dc = float(found[1].cov[0, 0])
+            first = np.full((1, d), 1 / np.sqrt(d)) / (np.sqrt(dc) if dc > 0 else 1.0)
+            made.kernels.append(np.vstack([first, axes[:n]]))
+            made.bias.append(found[2].norm if k else 0.0)
+            made.energy.append(energy[:n])
+            made.total.append(float(energy.sum()))
+        return made
+
+    def stage(self, k: int, x: np.ndarray) -> np.ndarray:
+        """Response of a stage to that of the one before, pooled."""
+        v = _flat_windows(x, self.windows[k])
+        y = (v + np.sqrt(v.shape[-1]) * self.bias[k]) @ self.kernels[k].T
+        y[:, :, 0] -= self.bias[k]
+        return grid.pool(y)
+
+    def transform(self, images: DataFrame) -> DataFrame:
+        """Images of the last stage's responses."""
+        def run(x: np.ndarray) -> np.ndarray:
+            for k in range(len(self.kernels)):
+                x = self.stage(k, x)
+            return x
+
+        return per_image(images.where("px is not null"), run)

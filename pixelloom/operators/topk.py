@@ -29,6 +29,15 @@ def region_sweep(pixels: DataFrame, sizes: list[int], cost: str = "rho", diff: s
     return ranked.where(F.col("rank").isin(sizes)).select("image_id", F.col("rank").cast("long").alias("n"), (F.col("hits") / F.col("rank")).alias("precision"), (F.col("hits") / F.col("all")).alias("recall"))
 
 
+def region_sweep_in_images(images: DataFrame, sizes: list[int], costs: str = "costs") -> DataFrame:
+    """The same from whole images with an array of (cost, i, j, change): the array is sorted, its changes counted; no shuffle. Sizes beyond an
+    image's pixels have no row."""
+    hits = F.aggregate(F.slice(F.col("_sorted"), 1, F.col("n").cast("int")), F.lit(0), lambda t, s: t + (s["d"] != 0).cast("int"))
+    every = F.aggregate("_sorted", F.lit(0), lambda t, s: t + (s["d"] != 0).cast("int"))
+    rows = images.select("image_id", F.array_sort(costs).alias("_sorted")).select("image_id", "_sorted", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("n")).where(F.col("n") <= F.size("_sorted"))
+    return rows.select("image_id", "n", (hits / F.col("n")).alias("precision"), (hits / every).alias("recall"))
+
+
 def by_number_in_name(names: DataFrame, column: str = "name", suffix: int = 4) -> DataFrame:
     """File names in the order of the number before the suffix of so many characters."""
     number = F.expr(f"cast(left({column}, length({column}) - {suffix}) as bigint)")

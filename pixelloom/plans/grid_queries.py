@@ -324,7 +324,7 @@ def roi_topk(spark, sf_dir):
 @query(f"""WITH {RHO}, k AS (SELECT image_id, row_number() OVER w AS n, sum(d) OVER w AS hits, sum(d) OVER (PARTITION BY image_id) AS total FROM rho WINDOW w AS (PARTITION BY image_id ORDER BY rho, i, j ROWS UNBOUNDED PRECEDING))
 SELECT image_id, n, round(hits / n, 6) AS precision, round(hits / total, 6) AS recall FROM k WHERE n IN (1, 3, 6, 12, 24, 48)""")
 def roi_sweep(spark, sf_dir):
-    rows = G.region_sweep(costs(spark, sf_dir), [1, 3, 6, 12, 24, 48])
+    rows = G.region_sweep_in_images(image_costs(spark, sf_dir), [1, 3, 6, 12, 24, 48])
     return rows.select("image_id", "n", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
@@ -419,17 +419,19 @@ def sobel(spark, sf_dir):
     return rows.select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("g"))
 
 
-@query(f"""WITH {PX} SELECT a.image_id, a.i, a.j, round(CASE WHEN a.i = 7 OR a.j = 7 THEN a.v ELSE abs(b.v - a.v) + abs(c.v - e.v) END, 6) AS g FROM px a
+_ROBERTS = f"""WITH {PX} SELECT a.image_id, a.i, a.j, round(CASE WHEN a.i = 7 OR a.j = 7 THEN a.v ELSE abs(b.v - a.v) + abs(c.v - e.v) END, 6) AS g FROM px a
 LEFT JOIN px b ON a.image_id = b.image_id AND b.i = a.i + 1 AND b.j = a.j + 1 LEFT JOIN px c ON a.image_id = c.image_id AND c.i = a.i + 1 AND c.j = a.j
-LEFT JOIN px e ON a.image_id = e.image_id AND e.i = a.i AND e.j = a.j + 1""")
+LEFT JOIN px e ON a.image_id = e.image_id AND e.i = a.i AND e.j = a.j + 1"""
+
+
+@query(_ROBERTS)
 def roberts_edges(spark, sf_dir):
     rows = W.features_of(I.roberts(images(spark, sf_dir), in_place=False))
     return rows.select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("g"))
 
 
-@query()
+@query(_ROBERTS)
 def roberts_in_place(spark, sf_dir):
-    """Later pixels see earlier results; sequential, no set form."""
     return W.features_of(I.roberts(images(spark, sf_dir))).select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("g"))
 
 
@@ -503,6 +505,12 @@ def orientation_descriptors(spark, sf_dir):
     return rows.select("image_id", "bi", "bj", F.size("f").alias("n"), r6(V.norm(F.col("f"))).alias("norm"))
 
 
+@query()
+def dense_sift(spark, sf_dir):
+    """The whole descriptor of every 4x4 block."""
+    return I.dense_sift(images(spark, sf_dir), 4).select("image_id", "bi", "bj", F.transform("f", r6).alias("f"))
+
+
 @query()
 def splice_samples(spark, sf_dir):
     maps = images(spark, sf_dir).select("image_id", "h", "w", F.expr("transform(px, (x, p) -> if(p % 8 < 4, 1D, 0D))").alias("gt"), F.expr("transform(px, x -> if(x > 0.05, 1D, 0D))").alias("edge"))

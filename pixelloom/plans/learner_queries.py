@@ -7,16 +7,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from pixelloom.functions import grid
 from pixelloom.functions.vector import subtract_mean
 from pixelloom.operators import cluster as L
 from pixelloom.operators import learn as M
 from pixelloom.operators import metrics
 from pixelloom.operators import select as N
 from pixelloom.operators import subspace as K
+from pixelloom.operators.information import neighbour_information
 from pixelloom.operators.joins import without
+from pixelloom.operators.lag_unit import LagUnit
 from pixelloom.operators.sampling import split
 from pixelloom.operators.windows import features_of
-from pixelloom.plans.fixtures import VX, images, read, vectors
+from pixelloom.plans.fixtures import PX, VX, images, read, vectors
 from pixelloom.plans.registry import query
 from pixelloom.plans.vector_queries import _ENERGY_K, energies, r6
 from pixelloom.sources.config import HopSpec
@@ -153,6 +156,32 @@ def dilated_tree(spark, sf_dir):
     return spark.createDataFrame([(n, len(s.kernels), len(leaf)) for n, s, leaf in made], "node string, kernels long, leaves long")
 
 
+@query()
+def frequency_saab(spark, sf_dir):
+    """Kernels of 5x5 windows, chosen by their share of high frequencies."""
+    cut = K.per_image(images(spark, sf_dir), lambda x: grid.gather(x, 5, "reflect"))
+    made = K.Saab.fit(features_of(cut), variant="v2", use_dc=False, high_frequency=0.8)
+    rows = [(k, float(np.round(e, 6)), float(np.round(grid.high_frequency_share(v.reshape(5, 5), "plus"), 6))) for k, (v, e) in enumerate(zip(made.kernels, made.energy))]
+    return spark.createDataFrame(rows, "k long, energy double, share double")
+
+
+@query(f"""WITH {PX}, o AS (SELECT unnest(range(3)) AS a), w AS (SELECT c.image_id, c.i, c.j, x.a * 3 + y.a AS n, p.v FROM px c, o x, o y, px p WHERE c.i <= 5 AND c.j <= 5 AND p.image_id = c.image_id AND p.i = c.i + x.a AND p.j = c.j + y.a),
+r AS (SELECT n, v - avg(v) OVER (PARTITION BY image_id, i, j) AS r, avg(v) OVER (PARTITION BY image_id, i, j) * 3 AS dc, sqrt(sum(v * v) OVER (PARTITION BY image_id, i, j)) AS norm FROM w)
+SELECT (SELECT round(sum(v), 6) FROM (SELECT var_samp(r) AS v FROM r GROUP BY n)) AS variance, (SELECT round(1 / sqrt(var_pop(dc)) / 3, 6) FROM r WHERE n = 0) AS dc_weight""")
+def multi_saab_energy(spark, sf_dir):
+    """Variances along all axes of the first stage add up to that of the windows; the DC has unit variance."""
+    made = K.MultiSaab.fit(images(spark, sf_dir), (3, 2))
+    return spark.createDataFrame([(float(np.round(made.total[0], 6)), float(np.round(made.kernels[0][0, 0], 6)))], "variance double, dc_weight double")
+
+
+@query()
+def multi_saab(spark, sf_dir):
+    """Responses of two stages, fitted on as many images of each class."""
+    rows = images(spark, sf_dir)
+    made = K.MultiSaab.fit(rows, (3, 2), energy_percent=0.9, per_class=20)
+    return features_of(made.transform(rows)).select("image_id", "i", "j", F.transform("f", r6).alias("f"))
+
+
 @query()
 def residual_learning(spark, sf_dir):
     """Whitened components ranked by their entropy, the best kept."""
@@ -180,8 +209,8 @@ def kmeans(spark, sf_dir):
 
 @query()
 def minibatch_kmeans(spark, sf_dir):
-    placed, _ = L.minibatch_kmeans(vectors(spark, sf_dir), 4, share=2)
-    return placed.groupBy("cluster").count()
+    placed, _ = L.minibatch_kmeans(vectors(spark, sf_dir), 4, batch=100)
+    return placed.groupBy("cluster").agg(F.count("*").alias("n"), r6(F.sum(F.col("distance") ** 2)).alias("cost"))
 
 
 @query()
@@ -232,6 +261,22 @@ def lag(spark, sf_dir):
     return M.LabelAssisted.fit(rows, 10, 2).predict(rows).select("id", "label", "prediction")
 
 
+@query()
+def lag_unit(spark, sf_dir):
+    """Outputs of the last round of a label-assisted unit that splits its worst output."""
+    rows = vectors(spark, sf_dir)
+    unit = LagUnit.fit(rows, 64, 10, 2, threshold=100.0, least=10)
+    return unit.transform(rows).select("id", "label", F.transform("lag", lambda x: F.round(x, 5)).alias("lag"))
+
+
+@query()
+def lag_rounds(spark, sf_dir):
+    """Outputs and entropies of every round."""
+    unit = LagUnit.fit(vectors(spark, sf_dir), 64, 10, 2, threshold=100.0, least=10)
+    out = [(k, j, int(r.owner[j]), int(r.sizes[j]), float(np.round(r.entropy[j], 4))) for k, r in enumerate(unit.rounds) for j in range(len(r.owner))]
+    return spark.createDataFrame(out, "round long, output long, class long, n long, entropy double")
+
+
 @query()
 def lag_neighbours(spark, sf_dir):
     rows = vectors(spark, sf_dir)
@@ -262,7 +307,7 @@ def forest_regression(spark, sf_dir):
 @query()
 def radial_svc(spark, sf_dir):
     rows = binary(spark, sf_dir)
-    return M.radial_svc(rows, 64, 1.0, 50)(rows).select("id", "prediction")
+    return M.radial_svc(rows, 64, 1.0)(rows).select("id", F.round("score", 3).alias("score"), "prediction")
 
 
 @query()
@@ -352,6 +397,17 @@ def binned_mi(spark, sf_dir):
     return N.mutual_information(binary(spark, sf_dir)).select(F.col("feature").cast("long").alias("feature"), r6("mi").alias("mi"))
 
 
+@query(f"""WITH {VX}, l AS MATERIALIZED (SELECT id, {BINARY} AS y, unnest(range(64)) AS feature, unnest(f) AS x FROM vx), n AS (SELECT {BINARY} AS y, count(*) AS c FROM vx GROUP BY 1),
+psi AS (SELECT k, -0.57721566490153286 + coalesce(sum(CASE WHEN k > 1 THEN 1.0::DOUBLE / (k - 1) ELSE 0 END) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS p FROM (SELECT unnest(range(1, 100000)) AS k)),
+r AS MATERIALIZED (SELECT a.feature, a.id, any_value(a.x) AS x, list_extract(min(abs(b.x - a.x), 3), 3) AS r FROM l a JOIN l b ON a.feature = b.feature AND a.y = b.y AND a.id <> b.id GROUP BY a.feature, a.id),
+m AS MATERIALIZED (SELECT r.feature, r.id, count(*) AS m FROM r JOIN l b ON r.feature = b.feature AND (abs(b.x - r.x) < r.r OR b.x = r.x) GROUP BY r.feature, r.id),
+e AS (SELECT feature, avg(p) AS p FROM m JOIN psi q ON q.k = m.m GROUP BY feature)
+SELECT feature, round(greatest(0, (SELECT p FROM psi WHERE k = (SELECT sum(c) FROM n)) + (SELECT p FROM psi WHERE k = 3) - (SELECT sum(c * p) / sum(c) FROM n JOIN psi ON k = c) - e.p), 6) AS mi FROM e""")
+def neighbour_mi(spark, sf_dir):
+    """Information of every component with the class, from the third nearest neighbours."""
+    return neighbour_information(binary(spark, sf_dir), 64).select(F.col("feature").cast("long").alias("feature"), r6("mi").alias("mi"))
+
+
 @query("""WITH g AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type),
 b AS (SELECT event_type, least(15, greatest(0, floor((value - lo) / (hi - lo) * 16)))::BIGINT AS bin, count(*) AS n FROM events JOIN g USING (event_type) WHERE value IS NOT NULL GROUP BY ALL),
 p AS (SELECT event_type, n / sum(n) OVER (PARTITION BY event_type) AS p FROM b)

@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Most rows of a table of counts, classes or features that is broadcast.
+SMALL = 100_000
 _local: dict[str, str] = {}
 
 
@@ -38,3 +41,8 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(table: DataFrame, most: int = SMALL) -> DataFrame:
+    """table, to be broadcast if it has at most so many rows; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
