@@ -34,7 +34,7 @@ class Moments:
 
 
 def _summed(parts: DataFrame) -> dict[int, Moments]:
-    def add(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{
             "unit": key[0], "part": key[1] if len(key) > 1 else 0, "n": int(rows["n"].sum()), "total": np.sum(np.stack(rows["total"]), axis=0),
             "cross": np.sum(np.stack(rows["cross"]), axis=0), "norm2": float(rows["norm2"].max()),

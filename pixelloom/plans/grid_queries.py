@@ -62,9 +62,13 @@ def busy_blocks(spark, sf_dir):
     return C.busy_blocks(pixels(spark, sf_dir), 4, 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, w AS (SELECT a.image_id, a.i, a.j, sum(b.d) AS n, any_value(c.d) AS d FROM px a JOIN px b ON a.image_id = b.image_id AND b.i BETWEEN a.i AND a.i + 3 AND b.j BETWEEN a.j AND a.j + 3
+  JOIN px c ON c.image_id = a.image_id AND c.i = a.i + 2 AND c.j = a.j + 2 WHERE a.i <= 4 AND a.j <= 4 GROUP BY a.image_id, a.i, a.j),
+r(image_id, p, free) AS (SELECT image_id, NULL::BIGINT, list(i * 8 + j ORDER BY i, j) FROM w WHERE n >= 0.15 * 16 AND d = 1 GROUP BY image_id
+  UNION ALL SELECT image_id, free[1], list_filter(free[2:], lambda q: NOT (q // 8 BETWEEN free[1] // 8 - 2 AND free[1] // 8 + 1 AND q % 8 BETWEEN free[1] % 8 - 2 AND free[1] % 8 + 1)) FROM r WHERE len(free) > 0)
+SELECT image_id, p // 8 AS i, p % 8 AS j FROM r WHERE p IS NOT NULL""")
 def changed_windows(spark, sf_dir):
-    """Windows of 4 x 4 with much change, in scan order; no set form."""
+    """Windows of 4 x 4 with much change, in scan order."""
     maps = images(spark, sf_dir).select("image_id", "h", "w", F.expr("transform(px, (x, p) -> if((image_id * 7 + p * 13) % 5 = 0, 1D, 0D))").alias("diff"))
     return C.changed_windows(maps, 4, 0.15)
 
@@ -273,14 +277,20 @@ def _change_maps(spark, sf_dir):
     return images(spark, sf_dir).withColumn("px", F.expr("transform(px, (x, p) -> if((image_id * 7 + p * 13) % 5 = 0, 1D, 0D))"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, r(image_id, p, free) AS (SELECT image_id, NULL::BIGINT, list(pos ORDER BY pos) FROM px WHERE d = 1 GROUP BY image_id
+  UNION ALL SELECT image_id, free[1], list_filter(free, lambda q: abs(q // 8 - free[1] // 8) > 2 OR abs(q % 8 - free[1] % 8) > 2) FROM r WHERE len(free) > 0)
+SELECT image_id, p // 8 AS i, p % 8 AS j FROM r WHERE p IS NOT NULL""")
 def thin_changes(spark, sf_dir):
-    """Greedy thinning in raster order; no set form."""
+    """Greedy thinning in raster order."""
     rows = W.features_of(W.thin(_change_maps(spark, sf_dir), 2))
     return rows.where("f[0] <> 0").select("image_id", "i", "j")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, r(image_id, p, px, seen) AS (SELECT image_id, 0, list(d ORDER BY pos), list(0 ORDER BY pos) FROM px GROUP BY image_id
+  UNION ALL SELECT image_id, p + 1, CASE WHEN hit THEN list_transform(px, lambda x, q: CASE WHEN abs((q - 1) // 8 - p // 8) <= 1 AND abs((q - 1) % 8 - p % 8) <= 1 THEN 1 - x ELSE x END) ELSE px END,
+  CASE WHEN hit THEN list_transform(seen, lambda x, q: CASE WHEN abs((q - 1) // 8 - p // 8) <= 1 AND abs((q - 1) % 8 - p % 8) <= 1 THEN 1 ELSE x END) ELSE seen END
+  FROM (SELECT *, px[p + 1] <> 0 AND seen[p + 1] = 0 AS hit FROM r) WHERE p < 64)
+SELECT image_id, q // 8 AS i, q % 8 AS j FROM (SELECT image_id, unnest(range(64)) AS q, unnest(px) AS d FROM r WHERE p = 64) WHERE d <> 0""")
 def hard_ring(spark, sf_dir):
     rows = W.features_of(W.hard_ring(_change_maps(spark, sf_dir), 1))
     return rows.where("f[0] <> 0").select("image_id", "i", "j")
@@ -350,9 +360,11 @@ def farthest(spark, sf_dir):
     return G.farthest(vectors(spark, sf_dir), [0.0] * 64, 9).select("id", r6("distance").alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, r(image_id, pick, p, free) AS (SELECT image_id, -1::BIGINT, NULL::BIGINT, list(pos ORDER BY v DESC, pos) FROM px GROUP BY image_id
+  UNION ALL SELECT image_id, pick + 1, free[1], list_filter(free, lambda q: abs(q // 8 - free[1] // 8) > 1 OR abs(q % 8 - free[1] % 8) > 1) FROM r WHERE len(free) > 0 AND pick < 3)
+SELECT image_id, pick, p // 8 AS i, p % 8 AS j FROM r WHERE p IS NOT NULL""")
 def separated_extremes(spark, sf_dir):
-    """Largest pixels, each clearing its neighbourhood; no set form."""
+    """Largest pixels, each clearing its neighbourhood."""
     return G.separated_extremes(images(spark, sf_dir), 4, 1)
 
 
@@ -447,7 +459,20 @@ def residual_maps(spark, sf_dir):
     return rows.select("image_id", "i", "j", (F.get("f", F.lit(0)) + 0.0).alias("r1"), (F.get("f", F.lit(2)) + 0.0).alias("r3"))
 
 
-@query()
+#: A blurred image: Gaussian of deviation 1, radius 4, mirrored borders.
+_BLUR = PX + """,
+gk AS (SELECT a, exp(-a * a / 2.0) / (SELECT sum(exp(-b * b / 2.0)) FROM (SELECT unnest(range(-4, 5)) AS b)) AS w FROM (SELECT unnest(range(-4, 5)) AS a)),
+g1 AS MATERIALIZED (SELECT t.image_id, t.i, t.j, sum(p.v * k.w) AS v FROM px t, gk k, px p WHERE p.image_id = t.image_id AND p.j = t.j AND p.i = CASE WHEN t.i + k.a < 0 THEN -1 - t.i - k.a WHEN t.i + k.a > 7 THEN 15 - t.i - k.a ELSE t.i + k.a END GROUP BY ALL),
+blur AS MATERIALIZED (SELECT t.image_id, t.i, t.j, sum(p.v * k.w) AS v FROM g1 t, gk k, g1 p WHERE p.image_id = t.image_id AND p.i = t.i AND p.j = CASE WHEN t.j + k.a < 0 THEN -1 - t.j - k.a WHEN t.j + k.a > 7 THEN 15 - t.j - k.a ELSE t.j + k.a END GROUP BY ALL)"""
+#: From grad(image_id, i, j, gx, gy): inner pixels that no neighbour along the gradient exceeds.
+_RIDGE = """m AS MATERIALIZED (SELECT image_id, i, j, sqrt(gx * gx + gy * gy) AS g, degrees(atan2(gy, gx)) AS deg FROM grad),
+q AS (SELECT *, round_even((deg - 180 * floor(deg / 180)) / 45, 0)::INT % 4 AS s FROM m WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6),
+d(s, a, b) AS (VALUES (0, 0, 1), (1, 1, -1), (2, 1, 0), (3, 1, 1)),
+ridge AS MATERIALIZED (SELECT q.image_id, q.i, q.j, q.g FROM q JOIN d USING (s) JOIN m x ON x.image_id = q.image_id AND x.i = q.i + a AND x.j = q.j + b JOIN m y ON y.image_id = q.image_id AND y.i = q.i - a AND y.j = q.j - b
+  WHERE q.g >= x.g AND q.g >= y.g)"""
+
+
+@query(f"WITH {_BLUR} SELECT image_id, i, j, round(v, 6) AS v FROM blur")
 def gaussian_targets(spark, sf_dir):
     return W.features_of(I.gaussian(images(spark, sf_dir))).select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("v"))
 
@@ -458,13 +483,19 @@ def dilate(spark, sf_dir):
     return I.dilate_pixels(pixels(spark, sf_dir), SIDE, SIDE).select("image_id", "i", "j", r6("v").alias("v"))
 
 
-@query()
+@query(f"""WITH {_BLUR}, o AS (SELECT unnest(range(-1, 2)) AS a),
+grad AS MATERIALIZED (SELECT t.image_id, t.i, t.j, sum(p.v * y.a * CASE WHEN x.a = 0 THEN 2 ELSE 1 END) AS gx, sum(p.v * x.a * CASE WHEN y.a = 0 THEN 2 ELSE 1 END) AS gy FROM blur t, o x, o y, blur p
+  WHERE p.image_id = t.image_id AND p.i = least(7, greatest(0, t.i + x.a)) AND p.j = least(7, greatest(0, t.j + y.a)) GROUP BY t.image_id, t.i, t.j),
+{_RIDGE} SELECT DISTINCT r.image_id, r.i, r.j FROM ridge r JOIN ridge n ON r.image_id = n.image_id AND abs(r.i - n.i) <= 1 AND abs(r.j - n.j) <= 1 WHERE r.g >= 0.05 AND n.g >= 0.2""")
 def canny_edges(spark, sf_dir):
     rows = W.features_of(I.canny(images(spark, sf_dir), 0.05, 0.2))
     return rows.where("f[0] > 0").select("image_id", "i", "j")
 
 
-@query()
+@query(f"""WITH {PX}, grad AS (SELECT p.image_id, p.i, p.j, (r.v - l.v) / (r.j - l.j) AS gx, (b.v - t.v) / (b.i - t.i) AS gy FROM px p
+  JOIN px l ON l.image_id = p.image_id AND l.i = p.i AND l.j = greatest(0, p.j - 1) JOIN px r ON r.image_id = p.image_id AND r.i = p.i AND r.j = least(7, p.j + 1)
+  JOIN px t ON t.image_id = p.image_id AND t.j = p.j AND t.i = greatest(0, p.i - 1) JOIN px b ON b.image_id = p.image_id AND b.j = p.j AND b.i = least(7, p.i + 1)),
+{_RIDGE} SELECT image_id, i, j, round(g, 6) AS g FROM ridge WHERE g > 0""")
 def thin_edges(spark, sf_dir):
     rows = W.features_of(I.thin_edges(images(spark, sf_dir)))
     return rows.where("f[0] > 0").select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("g"))
@@ -475,7 +506,9 @@ def resize_nearest(spark, sf_dir):
     return W.features_of(I.resize(images(spark, sf_dir), 16, 16)).select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("v"))
 
 
-@query()
+@query(f"""WITH {PX}, n AS (SELECT k, floor(p)::INT AS lo, least(7, floor(p)::INT + 1) AS hi, p - floor(p) AS f FROM (SELECT k, least(7, greatest(0, (k + 0.5) * 8 / 12 - 0.5)) AS p FROM (SELECT unnest(range(12)) AS k)))
+SELECT a.image_id, y.k AS i, x.k AS j, round((a.v * (1 - y.f) + c.v * y.f) * (1 - x.f) + (b.v * (1 - y.f) + e.v * y.f) * x.f, 6) AS v FROM n y, n x JOIN px a ON a.i = y.lo AND a.j = x.lo
+JOIN px b ON b.image_id = a.image_id AND b.i = y.lo AND b.j = x.hi JOIN px c ON c.image_id = a.image_id AND c.i = y.hi AND c.j = x.lo JOIN px e ON e.image_id = a.image_id AND e.i = y.hi AND e.j = x.hi""")
 def resize_bilinear(spark, sf_dir):
     return W.features_of(I.resize(images(spark, sf_dir), 12, 12, "bilinear")).select("image_id", "i", "j", r6(F.get("f", F.lit(0))).alias("v"))
 
@@ -511,7 +544,11 @@ def dense_sift(spark, sf_dir):
     return I.dense_sift(images(spark, sf_dir), 4).select("image_id", "bi", "bj", F.transform("f", r6).alias("f"))
 
 
-@query()
+@query(f"""WITH {PX}, t AS (SELECT image_id, i, j, v > 0.05 AS edge, (j < 4)::INT AS t FROM px),
+b AS (SELECT a.image_id, a.i, a.j FROM t a LEFT JOIN t c ON c.image_id = a.image_id AND c.i = a.i + 1 AND c.j = a.j + 1 LEFT JOIN t d ON d.image_id = a.image_id AND d.i = a.i + 1 AND d.j = a.j LEFT JOIN t e ON e.image_id = a.image_id AND e.i = a.i AND e.j = a.j + 1
+  WHERE CASE WHEN a.i = 7 OR a.j = 7 THEN a.t ELSE abs(c.t - a.t) + abs(d.t - e.t) END > 0)
+SELECT t.image_id, t.i, t.j, CASE WHEN any_value(edge) AND min(greatest(abs(t.i - b.i), abs(t.j - b.j))) <= 1 THEN 1 WHEN any_value(edge) AND min(greatest(abs(t.i - b.i), abs(t.j - b.j))) > 2 THEN -1 ELSE 0 END AS target
+FROM t JOIN b USING (image_id) GROUP BY t.image_id, t.i, t.j""")
 def splice_samples(spark, sf_dir):
     maps = images(spark, sf_dir).select("image_id", "h", "w", F.expr("transform(px, (x, p) -> if(p % 8 < 4, 1D, 0D))").alias("gt"), F.expr("transform(px, x -> if(x > 0.05, 1D, 0D))").alias("edge"))
     rows = W.features_of(I.splice_samples(maps, boundary=3, far=5))

@@ -42,7 +42,17 @@ def _values(spark, values, name: str = "value"):
 
 @query()
 def pca_energy(spark, sf_dir):
-    return _values(spark, K.PCA.fit(vectors(spark, sf_dir), 16).energy, "energy")
+    return _values(spark, K.PCA.fit(vectors(spark, sf_dir)).energy, "energy")
+
+
+@query(f"""WITH {VX}, l AS MATERIALIZED (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), c AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS c FROM l a JOIN l b USING (id) GROUP BY a.pos, b.pos),
+s AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT 1::BIGINT AS k, (SELECT round(sum(c), 6) FROM c WHERE i = j) AS value UNION ALL SELECT 2, (SELECT round(sum(c), 6) FROM s WHERE i = j)
+UNION ALL SELECT 3, (SELECT round(sum(s.c * c.c), 6) FROM s JOIN c ON s.i = c.j AND s.j = c.i) UNION ALL SELECT 4, (SELECT round(sum(a.c * b.c), 6) FROM s a JOIN s b ON a.i = b.j AND a.j = b.i)""")
+def pca_moments(spark, sf_dir):
+    """Sums of the first to fourth powers of all energies: the traces of the covariance's powers."""
+    e = K.PCA.fit(vectors(spark, sf_dir)).energy
+    return spark.createDataFrame([(k, float(np.round((e**k).sum(), 6))) for k in (1, 2, 3, 4)], "k long, value double")
 
 
 @query(f"WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx) SELECT round(sum(v), 6) AS variance FROM (SELECT pos, var_samp(x) AS v FROM l GROUP BY pos)")
@@ -66,19 +76,29 @@ def saab_fit_transform(spark, sf_dir):
     return out.select("id", *[r6(F.get("f", F.lit(k))).alias(f"c{k}") for k in range(4)])
 
 
-@query("SELECT true AS exact")
+@query(f"""WITH {VX}, b AS (SELECT unnest([false, true]) AS bias) SELECT id, bias, list_transform(f, lambda x: round(x, 5) + 0) AS f FROM vx, b""")
 def saab_inverse_error(spark, sf_dir):
-    """Without a DC the transform is exactly invertible, with and without a bias."""
+    """Without a DC the transform is exactly invertible, with and without a bias: the vectors themselves come back."""
     rows, out = vectors(spark, sf_dir), None
-    worst = 0.0
     for bias in (False, True):
         s = K.Saab.fit(rows, use_dc=False, need_bias=bias)
-        back = s.inverse(s.transform(rows.withColumn("g", F.col("f"))))
-        worst = max(worst, metrics.reconstruction_error(back).first()[0])
-    out = spark.createDataFrame([(worst < 1e-5,)], "exact boolean")
+        back = s.inverse(s.transform(rows)).select("id", F.lit(bias).alias("bias"), F.transform("f", lambda x: F.round(x, 5) + 0.0).alias("f"))
+        out = back if out is None else out.unionByName(back)
     return out
 
 
+@query(f"""WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), m AS (SELECT pos, avg(x) AS m FROM l GROUP BY pos), c AS (SELECT pos, m - (SELECT avg(m) FROM m) AS m FROM m),
+r AS (SELECT id, sum(x) AS total, sqrt(sum(x * x)) AS norm FROM l GROUP BY id), k AS (SELECT max(norm) / 8 AS bias, var_pop(total) / 64 AS dc FROM r),
+z AS (SELECT id, x - m - avg(x - m) OVER (PARTITION BY id) AS z FROM l JOIN c USING (pos)), e AS (SELECT id, sum(z * z) AS ac FROM z GROUP BY id)
+SELECT id, round((total + 64 * bias) / 8 / sqrt(dc) - bias, 5) AS dc, round(ac, 5) AS ac FROM r JOIN e USING (id), k""")
+def saab_parts(spark, sf_dir):
+    """The DC coefficient of every vector, and the energy of all others: that of the vector without its means, since the kernels are
+    orthonormal."""
+    rows = vectors(spark, sf_dir)
+    out = K.Saab.fit(rows).transform(rows)
+    return out.select("id", F.round(F.get("f", F.lit(0)), 5).alias("dc"), F.round(F.expr("aggregate(slice(f, 2, 63), 0D, (s, x) -> s + x * x)"), 5).alias("ac"))
+
+
 @query()
 def saab_variants(spark, sf_dir):
     rows = vectors(spark, sf_dir)
@@ -100,15 +120,22 @@ def cwsaab_tree(spark, sf_dir):
     return tree.energies(spark).withColumn("energy", r6("energy"))
 
 
-@query("SELECT true AS exact")
+@query(f"WITH {PX} SELECT image_id, i, j, round(v, 5) + 0 AS v FROM px")
 def cwsaab_inverse(spark, sf_dir):
-    """With every channel split and windows that don't overlap the tree is invertible."""
+    """With every channel split and windows that don't overlap the tree is invertible: the pixels come back."""
     hops = tuple(HopSpec(window=2, stride=2, border=None, use_dc=False, need_bias=True) for _ in range(2))
     rows = images(spark, sf_dir)
     tree = K.fit_tree(rows, hops, -1.0)
     back = K.per_image(rows, lambda x: tree.invert(tree.responses(x)[-1]))
-    both = rows.select("image_id", F.col("px").alias("f")).join(back.select("image_id", F.col("px").alias("g")), "image_id")
-    return metrics.reconstruction_error(both).select((F.col("error") < 1e-5).alias("exact"))
+    return features_of(back).select("image_id", "i", "j", (F.round(F.get("f", F.lit(0)), 5) + 0.0).alias("v"))
+
+
+@query(f"""WITH {PX}, w AS (SELECT image_id, i // 2 AS i, j // 2 AS j, (i % 2) * 2 + j % 2 AS n, v FROM px), r AS (SELECT n, v - avg(v) OVER (PARTITION BY image_id, i, j) AS r, avg(v) OVER (PARTITION BY image_id, i, j) * 2 AS dc FROM w),
+a AS (SELECT sum(v) AS ac FROM (SELECT var_samp(r) AS v FROM r GROUP BY n)), d AS (SELECT var_pop(dc) AS dc FROM r WHERE n = 0) SELECT 0::BIGINT AS layer, round(dc / (dc + ac), 6) AS dc_share, round(ac / (dc + ac), 6) AS ac_share FROM a, d""")
+def cwsaab_root(spark, sf_dir):
+    """Shares of the first layer's energy: the DC, and all other channels together."""
+    e = K.fit_tree(images(spark, sf_dir), HOPS[:1], 0.02).energy[0]
+    return spark.createDataFrame([(0, float(np.round(e[0], 6)), float(np.round(e[1:].sum(), 6)))], "layer long, dc_share double, ac_share double")
 
 
 @query()
@@ -235,6 +262,12 @@ def per_cluster_linear(spark, sf_dir):
 # ---- learners -----------------------------------------------------------------------------------
 
 
+def _solved(n: int) -> str:
+    """CTE s(w): the solutions of the normal equations in e(m), a matrix with the right-hand sides as further columns, by elimination."""
+    return f"""s0(k, m) AS (SELECT 1, m FROM e UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k])
+  ELSE list_transform(list_zip(r, m[k]), lambda z: z[1] - r[k] * z[2] / m[k][k]) END) FROM s0 WHERE k <= {n}), s AS MATERIALIZED (SELECT m AS w FROM s0 WHERE k = {n} + 1)"""
+
+
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 1) AS intercept FROM lineitem")
 def least_squares(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(F.array("l_quantity").alias("f"), F.array("l_extendedprice").alias("y"))
@@ -242,17 +275,25 @@ def least_squares(spark, sf_dir):
     return spark.createDataFrame([(float(np.round(w[0, 0], 3)), float(np.round(w[1, 0], 1)))], "slope double, intercept double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VX}, x AS MATERIALIZED (SELECT id, label, list_append(f, 1.0) || list_transform(range(10), lambda c: (c = label)::INT::DOUBLE) AS z, (id * 2654435761 + 42 * 40503) % 1000003 < 0.2 * 1000003 AS test FROM vx),
+l AS MATERIALIZED (SELECT id, unnest(range(75)) AS p, unnest(z) AS v FROM x WHERE NOT test), g AS (SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS v FROM l a JOIN l b USING (id) WHERE a.p < 65 GROUP BY a.p, b.p),
+e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {_solved(65)},
+o AS (SELECT id, label, list_transform(range(10), lambda c: list_sum(list_transform(range(1, 66), lambda i: z[i] * w[i][66 + c]))) AS o FROM x, s WHERE test)
+SELECT id, label, (list_position(o, list_max(o)) - 1)::INT AS prediction FROM o""")
 def llsr(spark, sf_dir):
     train, test = split(vectors(spark, sf_dir), "id")
     return M.fit_classifier(train, 10)(test).select("id", "label", "prediction")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VX}, n AS (SELECT min(f[1]) AS lo, max(f[1]) AS hi, count(*) AS n FROM vx), b AS (SELECT id, f, least(19, floor((f[1] - lo) / (hi - lo) * 20)) AS bin, n FROM vx, n),
+x AS MATERIALIZED (SELECT id, list_append(f[2:64], 1.0) || [f[1]] AS z, 1 / greatest(count(*) OVER (PARTITION BY bin) / n, 0.001) AS w FROM b),
+l AS MATERIALIZED (SELECT id, unnest(range(65)) AS p, unnest(z) * w AS v FROM x), g AS (SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS v FROM l a JOIN l b USING (id) WHERE a.p < 64 GROUP BY a.p, b.p),
+e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {_solved(64)}
+SELECT k, round(w[k + 1][65], 5) AS w FROM s, (SELECT unnest(range(64)) AS k)""")
 def weighted_llsr(spark, sf_dir):
     rows = M.inverse_frequency_weights(vectors(spark, sf_dir).withColumn("t", F.get("f", F.lit(0))), "t").withColumn("y", F.array("t"))
     w = M.LeastSquares.fit(rows.withColumn("f", F.slice("f", 2, 63)), weight="weight").w
-    return _values(spark, w[:, 0], "w")
+    return spark.createDataFrame([(k, float(np.round(v, 5))) for k, v in enumerate(w[:, 0])], "k long, w double")
 
 
 @query()
@@ -356,8 +397,9 @@ def cross_apply(spark, sf_dir):
     return out.select("id", "label", r6(F.expr("aggregate(f, 0D, (s, x) -> s + x)")).alias("total"))
 
 
-@query()
+@query(f"WITH {VX} SELECT id, round(2 * f[1] + f[2], 4) AS prediction FROM vx")
 def fuse_regressions(spark, sf_dir):
+    """The target is a sum of the predictions that are fused, so it comes out."""
     rows = vectors(spark, sf_dir).select("id", F.get("f", F.lit(0)).alias("a"), F.get("f", F.lit(1)).alias("b"), (F.get("f", F.lit(0)) * 2 + F.get("f", F.lit(1))).alias("y"))
     return M.fuse_regressions(rows, ["a", "b"])(rows).select("id", F.round("prediction", 4).alias("prediction"))
 
