@@ -1,4 +1,7 @@
-"""Learners: least squares on summed normal equations, label-assisted regression, trees, stacking, image decisions."""
+"""Learners: least squares on summed normal equations, label-assisted regression, trees, stacking, image decisions.
+
+Defined cases: rows with a null label, target or weight, or without a whole vector, take no part in fits; a model's outputs are null for
+rows without a whole vector; a model fitted on an empty table gives null for every row."""
 
 from __future__ import annotations
 
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.vector import arg_max, euclidean, one_hot, soft_target, total
-from pixelloom.operators.subspace import _array_udf, moments
+from pixelloom.operators.subspace import _array_udf, moments, whole
 
 
 @dataclass
@@ -33,13 +36,18 @@ class LeastSquares:
             z = np.column_stack([x, np.ones(len(x)), y])
             return {0: z * b[weight].to_numpy()[:, None] if weight else z}
 
-        d = len(rows.select(f).first()[0]) + 1
-        m = moments(rows, cut, [f, targets, *([weight] if weight else [])])[0]
+        rows = whole(whole(rows, f), targets)
+        found = moments(rows.where(F.col(weight).isNotNull()) if weight else rows, cut, [f, targets, *([weight] if weight else [])])
+        if 0 not in found:
+            return LeastSquares(np.zeros((0, 0)))
+        m, d = found[0], len(rows.select(f).first()[0]) + 1
         s = m.n * (m.cov + np.outer(m.mean, m.mean))
         return LeastSquares(np.linalg.lstsq(s[:d, :d], s[:d, d:], rcond=None)[0])
 
     def predict(self, rows: DataFrame, f: str = "f", out: str = "scores") -> DataFrame:
         w = self.w
+        if not w.size:
+            return rows.withColumn(out, F.lit(None).cast("array<double>"))
         return rows.withColumn(out, _array_udf(lambda x: x @ w[:-1] + w[-1])(F.col(f)))
 
 
@@ -67,7 +75,10 @@ class LabelAssisted:
             _, found, _ = kmeans(rows.where(F.col(label) == c), per_class, f)
             centres += found
             owner += [c] * len(found)
-        own = [F.array(*[F.lit(i) for i, o in enumerate(owner) if o == c]) for c in range(classes)]
+        if not centres:
+            return LabelAssisted([], [], LeastSquares(np.zeros((0, 0))), classes)
+        rows = whole(rows, f).where(F.col(label).isNotNull())
+        own = [F.array(*[F.lit(i) for i, o in enumerate(owner) if o == c]).cast("array<int>") for c in range(classes)]
         points = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
         mine = F.element_at(F.array(*own), F.col(label).cast("int") + 1)
         distances = F.transform(mine, lambda i: euclidean(F.col(f), F.get(points, i)))
@@ -104,14 +115,22 @@ class Fitted:
         self.model, self.f = model, f
 
     def __call__(self, rows: DataFrame) -> DataFrame:
-        out = self.model.transform(rows.withColumn("_v", array_to_vector(self.f)))
+        if self.model is None:
+            return rows.withColumns({"probability": F.lit(None).cast("array<double>"), "p": F.lit(None).cast("double"), "prediction": F.lit(None).cast("double")})
+        there = F.coalesce(F.forall(self.f, lambda x: x.isNotNull()), F.lit(False))
+        blank = F.array_repeat(F.lit(0.0), self.model.numFeatures)
+        out = self.model.transform(rows.withColumn("_v", array_to_vector(F.when(there, F.col(self.f)).otherwise(blank))))
+        out = out.withColumn("prediction", F.when(there, F.col("prediction")))
         if "probability" in out.columns:
-            out = out.withColumn("probability", vector_to_array("probability")).withColumn("p", F.get("probability", F.lit(1)))
+            out = out.withColumn("probability", F.when(there, vector_to_array("probability"))).withColumn("p", F.get("probability", F.lit(1)))
         return out.drop("_v", "rawPrediction")
 
 
 def _fit(estimator, rows: DataFrame, f: str, label: str) -> Fitted:
-    return Fitted(estimator.setFeaturesCol("_v").setLabelCol(label).fit(rows.withColumn("_v", array_to_vector(f)).withColumn(label, F.col(label).cast("double"))), f)
+    data = whole(rows, f).where(F.col(label).isNotNull())
+    if not data.limit(1).count():
+        return Fitted(None, f)
+    return Fitted(estimator.setFeaturesCol("_v").setLabelCol(label).fit(data.withColumn("_v", array_to_vector(f)).withColumn(label, F.col(label).cast("double"))), f)
 
 
 def forest(rows: DataFrame, f: str = "f", label: str = "label", trees: int = 100, depth: int = 10, weight: str | None = None, seed: int = 0) -> Fitted:
@@ -132,9 +151,10 @@ def logistic(rows: DataFrame, f: str = "f", label: str = "label", balanced: bool
     from pixelloom.sources.scratch import bounded
 
     if balanced:
+        rows = whole(rows, f).where(F.col(label).isNotNull())
         sizes = rows.groupBy(label).agg(F.count("*").alias("_c"))
-        whole = sizes.agg(F.sum("_c"), F.count("*")).first()
-        rows = rows.join(bounded(sizes), label).withColumn("_w", F.lit(whole[0] or 0) / (F.lit(whole[1]) * F.col("_c"))).drop("_c")
+        n, classes = sizes.agg(F.sum("_c"), F.count("*")).first()
+        rows = rows.join(bounded(sizes), label).withColumn("_w", F.lit(n or 0) / (F.lit(classes) * F.col("_c"))).drop("_c")
         return _fit(LogisticRegression(weightCol="_w"), rows, f, label)
     return _fit(LogisticRegression(), rows, f, label)
 
@@ -272,7 +292,9 @@ def dense_labels(rows: DataFrame, label: str = "label") -> DataFrame:
 
 def learn(rows: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], label: str = "label") -> Callable[[DataFrame], DataFrame]:
     """A learner that takes one class as well: then it always predicts that."""
-    classes = [r[0] for r in rows.select(label).distinct().limit(2).collect()]
+    classes = [r[0] for r in rows.where(F.col(label).isNotNull()).select(label).distinct().limit(2).collect()]
+    if not classes:
+        return Fitted(None, "f")
     if len(classes) == 1:
         return lambda d: d.withColumn("prediction", F.lit(float(classes[0]))).withColumn("p", F.lit(1.0))
     return fit(rows)

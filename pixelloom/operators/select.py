@@ -68,20 +68,17 @@ def cluster_entropy(rows: DataFrame, k: int, classes: int, f: str = "f", label:
     return counts.withColumn("h", -F.log(p) * F.col("n")).agg((F.sum("h") / F.sum("n") / math.log(classes)).alias("ce"))
 
 
-def forest_entropy(rows: DataFrame, size: int, key: str = "id", f: str = "f", label: str = "label") -> DataFrame:
-    """Per feature the held-out log loss of a small forest on it alone."""
-    from pixelloom.operators.learn import forest
-    from pixelloom.operators.metrics import log_loss
-    from pixelloom.operators.sampling import split
+def forest_entropy(rows: DataFrame, size: int, classes: int = 2, key: str = "id", f: str = "f", label: str = "label", sample: int = 5_000, trees: int = 10, depth: int = 5) -> DataFrame:
+    """(feature, ce): per feature the held-out log loss of a small forest on it alone. All features' forests are fitted side by side, each on
+    at most `sample` rows (of lowest hash); rows without a whole vector or with a null label are left out."""
+    from pixelloom.functions.forest import Forest
+    from pixelloom.operators.trees import held_out_loss, usable
 
-    train, test = split(rows, key)
-    out = None
-    for k in range(size):
-        one = lambda d, k=k: d.withColumn(f, F.slice(f, k + 1, 1))
-        model = forest(one(train), f, label, trees=10, depth=5)
-        loss = log_loss(model(one(test)), label, "probability").withColumn("feature", F.lit(k))
-        out = loss if out is None else out.unionByName(loss)
-    return out.withColumnRenamed("log_loss", "ce")
+    long = usable(rows, size, f).where(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).alias("label"), F.posexplode(f).alias("node", "x"))
+    long = long.select("id", "label", F.col("node").cast("string").alias("node"), F.array("x").alias("f"))
+    n = long.where("node = '0'").count()
+    losses = held_out_loss(Forest(trees, depth, 2), classes, sample)(long, [{"node": str(k), "n": n} for k in range(size)])
+    return rows.sparkSession.createDataFrame(sorted((int(k), v) for k, v in losses.items()), "feature int, ce double")
 
 
 def pick_channels(energies: DataFrame, pass_on: float, keep: float) -> DataFrame:
@@ -94,5 +91,7 @@ def importances(rows: DataFrame, f: str = "f", label: str = "label", trees: int
     from pixelloom.operators.learn import forest
 
     model = forest(rows, f, label, trees, depth)
+    if model.model is None:
+        return rows.sparkSession.createDataFrame([], "feature long, importance double")
     values = model.model.featureImportances.toArray().tolist()
     return rows.sparkSession.createDataFrame(list(enumerate(values)), "feature long, importance double")

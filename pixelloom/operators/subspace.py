@@ -3,6 +3,9 @@
 Fits need second moments only. Every task sums its own rows (count, sum, cross products, largest norm) for all units of a
 layer at once; the sums are added up in two rounds on the executors, and the driver solves D x D problems (D is a window's
 size, at most a few hundred). Transforms are matrix products inside Arrow batches.
+
+Defined cases: rows without a vector, or with null components, take no part in fits, and images without pixels neither; null vectors
+are transformed to null; a fit on an empty table has no kernels and transforms every vector to an empty one.
 """
 
 from __future__ import annotations
@@ -70,12 +73,20 @@ def moments(rows: DataFrame, cut: Callable[[pd.DataFrame], dict[int, np.ndarray]
     return _summed(rows.select(*columns).mapInPandas(run, MOMENTS))
 
 
+def whole(rows: DataFrame, f: str = "f") -> DataFrame:
+    """Rows whose vector is there and has no null components."""
+    return rows.where(F.coalesce(F.forall(f, lambda x: x.isNotNull()), F.lit(False)))
+
+
 def vector_moments(rows: DataFrame, f: str = "f") -> Moments:
-    return moments(rows, lambda b: {0: np.stack(b[f]) if len(b) else np.zeros((0, 0))}, [f])[0]
+    found = moments(whole(rows, f), lambda b: {0: np.stack(b[f]) if len(b) else np.zeros((0, 0))}, [f])
+    return found.get(0, Moments(0, np.zeros(0), np.zeros((0, 0)), 0.0))
 
 
 def canonical(kernels: np.ndarray) -> np.ndarray:
     """Signs such that each kernel's component of largest size is positive."""
+    if not kernels.size:
+        return kernels
     at = np.abs(np.round(kernels, 9)).argmax(axis=1)
     return kernels * np.where(kernels[np.arange(len(kernels)), at] < 0, -1.0, 1.0)[:, None]
 
@@ -117,20 +128,13 @@ class PCA:
         return rows.withColumn(out, matmul(self.kernels)(F.col(f)))
 
     def inverse(self, rows: DataFrame, f: str = "f", out: str = "f") -> DataFrame:
-        back = np.linalg.pinv(self.kernels).T.copy()
+        back = np.linalg.pinv(self.kernels).T.copy() if self.kernels.size else self.kernels
         return rows.withColumn(out, matmul(back.T)(F.col(f)))
 
 
 def matmul(kernels: np.ndarray, before: np.ndarray | float = 0.0, after: np.ndarray | float = 0.0) -> Callable[[Column], Column]:
     """Arrow-batched x -> (x + before) kernels^T + after."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        return pd.Series(list((np.stack(x) + before) @ kernels.T + after))
-
-    return run
+    return _array_udf(lambda x: (x + before) @ kernels.T + after if kernels.size else np.zeros((len(x), 0)))
 
 
 @dataclass
@@ -154,6 +158,8 @@ class Saab:
     def from_moments(m: Moments, count: int = -1, use_dc: bool = True, need_bias: bool = True, variant: str = "v3", energy_percent: float | None = None, bits: int | None = None, norm: float | None = None, high_frequency: float | None = None) -> Saab:
         """high_frequency: only kernels (of square windows) with more than this share of their spectrum outside the low frequencies."""
         d = len(m.mean)
+        if not m.n:
+            return Saab(np.zeros((0, d)), 0.0, np.zeros(d), np.zeros(0), use_dc, need_bias, variant, bits)
         count = d if count == -1 else count
         centre = np.eye(d) - 1.0 / d if use_dc or variant != "v3" else np.eye(d)
         kernels, energy = principal(centre @ m.cov @ centre, m.n, count)
@@ -179,8 +185,9 @@ class Saab:
 
     @staticmethod
     def fit(rows: DataFrame, f: str = "f", **spec) -> Saab:
+        rows = whole(rows, f)
         m = vector_moments(rows, f)
-        if spec.get("variant", "v3") == "v3":
+        if spec.get("variant", "v3") == "v3" or not m.n:
             return Saab.from_moments(m, **spec)
         mean = m.mean  # the bias needs a second look at what the means leave
         rest = moments(rows, lambda b: {0: (y := np.stack(b[f]) - mean) - y.mean(axis=1, keepdims=True)} if len(b) else {}, [f])[0]
@@ -192,6 +199,8 @@ class Saab:
         return made
 
     def apply(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.kernels):
+            return np.zeros((*x.shape[:-1], 0))
         bias = self.bias if self.need_bias else 0.0
         mean = self.mean if self.use_dc or self.variant != "v3" else 0.0
         y = (x - mean + bias) @ self.kernels.T
@@ -199,7 +208,13 @@ class Saab:
             y[..., 0] -= self.bias
         return y
 
+    def dc(self, x: np.ndarray) -> np.ndarray:
+        """Means of the windows, after the column means where the variant takes those off."""
+        return (x - (self.mean if self.variant != "v3" else 0.0)).mean(axis=-1, keepdims=True)
+
     def invert(self, y: np.ndarray) -> np.ndarray:
+        if not len(self.kernels):
+            return np.zeros((*y.shape[:-1], 0))
         bias = self.bias if self.need_bias else 0.0
         y = y.copy()
         if self.need_bias and self.use_dc:
@@ -215,9 +230,16 @@ class Saab:
 
 
 def _array_udf(fn: Callable[[np.ndarray], np.ndarray]):
+    """fn over the matrix of a batch's vectors; null vectors stay null."""
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(list(fn(np.stack(x)))) if len(x) else pd.Series([], dtype=object)
+        there = x.notna().to_numpy()
+        out = np.full(len(x), None, dtype=object)
+        if there.any():
+            for k, v in zip(np.flatnonzero(there).tolist(), fn(np.stack(x[there].to_list()))):
+                out[k] = v
+        return pd.Series(out)
 
     return run
 
@@ -233,6 +255,8 @@ class ResidualPCA:
     def fit(rows: DataFrame, energy_percent: float, f: str = "f") -> ResidualPCA:
         m = vector_moments(rows, f)
         d = len(m.mean)
+        if not m.n:
+            return ResidualPCA(np.zeros((0, 0)), 0.0)
         centre = np.eye(d) - 1.0 / d
         k, e = principal(centre @ m.cov @ centre, m.n)
         share = np.cumsum(e) / max(e.sum(), 1e-300)
@@ -255,11 +279,23 @@ class Tree:
 
     def layer(self, k: int, x: np.ndarray) -> np.ndarray:
         """Response of layer k to the response (h x w x channels) of the layer before."""
+        return np.concatenate([u.apply(v) for u, v in self._windows(k, x)], axis=2)
+
+    def _windows(self, k: int, x: np.ndarray) -> list[tuple[Saab, np.ndarray]]:
+        """The units of a layer with their windows: of one channel each, or of all together."""
         hop = self.hops[k]
-        if k == 0 and not hop.channelwise or k == 0 and len(self.split[0]) == 1:
-            return self.units[0][0].apply(_cut(x, hop))
+        if not hop.channelwise or k == 0 and len(self.split[0]) == 1:
+            return [(self.units[k][0], _cut(x, hop))]
         taken = [c for c, s in enumerate(self.split[k]) if s]
-        return np.concatenate([u.apply(_cut(x[:, :, c : c + 1], hop)) for u, c in zip(self.units[k], taken)], axis=2)
+        return [(u, _cut(x[:, :, c : c + 1], hop)) for u, c in zip(self.units[k], taken)]
+
+    def window_means(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per layer the DC of every unit's windows, a channel each."""
+        out = []
+        for k in range(len(self.units)):
+            out.append(np.concatenate([u.dc(v) for u, v in self._windows(k, x)], axis=2))
+            x = self.layer(k, x)
+        return out
 
     def responses(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -269,13 +305,14 @@ class Tree:
         return out
 
     def invert(self, responses: np.ndarray, k: int | None = None) -> np.ndarray:
-        """Back from the last layer's response; needs windows that don't overlap and every channel split."""
+        """Back from the last layer's response; needs every channel split, and windows that don't overlap or a hop's own `ungather`."""
         k = len(self.units) - 1 if k is None else k
         while k >= 0:
             hop, parts, at = self.hops[k], [], 0
             for u in self.units[k]:
                 n = len(u.kernels)
-                parts.append(grid.ungather(u.invert(responses[:, :, at : at + n]), hop.window))
+                windows = u.invert(responses[:, :, at : at + n])
+                parts.append(hop.ungather(windows, hop) if hop.ungather else grid.ungather(windows, hop.window))
                 at += n
             responses = np.concatenate(parts, axis=2)
             k -= 1
@@ -291,14 +328,21 @@ class Tree:
 
 
 def _cut(x: np.ndarray, hop: HopSpec) -> np.ndarray:
+    if hop.gather:
+        return hop.gather(x, hop)
     return grid.gather(x, hop.window, hop.border, hop.pool, hop.stride)
 
 
+#: Split modes that look at a channel's energy alone.
+SPLITS = {"energy": lambda e, t: e > t, "at_least": lambda e, t: e >= t, "below": lambda e, t: e < t}
+
+
 def fit_tree(images: DataFrame, hops: tuple[HopSpec, ...], split_threshold: float = 0.01, split_mode: str = "energy", changed_only: str | None = None) -> Tree:
     """Fit all layers; one pass over the images per layer gathers the moments of all its units (and, for the modes that look at
     the data, of all candidate channels).
 
-    split_mode energy: a channel's energy exceeds the threshold; ratio: its energy over the first principal share of its windows
+    split_mode energy: a channel's energy exceeds the threshold (at_least: or equals it, below: is less); a hop that isn't channelwise takes
+    all channels together, whatever their energy; ratio: its energy over the first principal share of its windows
     reaches it; mean: the mean of |window mean| over |first channel| exceeds it. changed_only: a column with a change map; only
     windows whose centre changed are used to fit."""
     tree = Tree(hops)
@@ -324,7 +368,10 @@ def fit_tree(images: DataFrame, hops: tuple[HopSpec, ...], split_threshold: floa
     def spec(hop: HopSpec) -> dict:
         return {"count": hop.kernels, "use_dc": hop.use_dc, "need_bias": hop.need_bias}
 
+    images = images.where("px is not null")
     columns = ["h", "w", "c", "px", *extra]
+    if not images.limit(1).count():
+        return tree
     for k, hop in enumerate(hops):
         if k == 0:
             n = images.agg(F.max("c")).first()[0] if hop.channelwise else 1
@@ -335,8 +382,11 @@ def fit_tree(images: DataFrame, hops: tuple[HopSpec, ...], split_threshold: floa
             tree.energy.append(np.concatenate([u.energy for u in tree.units[0]]))
             continue
         before = tree.energy[k - 1]
-        if split_mode == "energy":
-            chosen = [bool(e > split_threshold) for e in before]
+        if not hop.channelwise:
+            chosen, before = [True] * len(before), np.ones(1)
+            found = moments(images, cut_layer(k, None), columns)
+        elif split_mode in SPLITS:
+            chosen = [bool(SPLITS[split_mode](e, split_threshold)) for e in before]
             wanted = [c for c, s in enumerate(chosen) if s]
             found = moments(images, cut_layer(k, wanted), columns) if wanted else {}
         else:
@@ -354,7 +404,7 @@ def fit_tree(images: DataFrame, hops: tuple[HopSpec, ...], split_threshold: floa
                     chosen.append(bool(np.abs(m.mean).mean() / max(abs(m.mean[0]), 1e-12) > split_threshold))
             found = dict(enumerate(every[c] for c, s in enumerate(chosen) if s))
         tree.split.append(chosen)
-        parents = [before[c] for c, s in enumerate(chosen) if s]
+        parents = [before[c] for c, s in enumerate(chosen) if s] if hop.channelwise else [1.0]
         units = [Saab.from_moments(found[u], **spec(hop)) for u in sorted(found)]
         for u, e in zip(units, parents):
             u.energy = u.energy * e
@@ -402,38 +452,87 @@ class PixelHop:
         hops = transform_tree(images, self.tree, self.keep_threshold)
         return concat(hops) if concat else hops
 
+    def _kept(self, x: np.ndarray) -> list[np.ndarray]:
+        return [y[:, :, e >= self.keep_threshold] for y, e in zip(self.tree.responses(x), self.tree.energy)]
+
+    def context(self, images: DataFrame, h: int, w: int) -> DataFrame:
+        """All hops scaled up to h x w, their channels side by side, in one pass over the images and without a join."""
+        return per_image(images.where("px is not null"), lambda x: np.concatenate([grid.resize(y, h, w) for y in self._kept(x)], axis=2))
+
+    def inverse(self, images: DataFrame) -> DataFrame:
+        """Images from the last hop's responses; see Tree.invert."""
+        return per_image(images.where("px is not null"), self.tree.invert)
+
     def offsets(self, spark: SparkSession, block: int = 25) -> DataFrame:
         from pixelloom.operators.projection import survived_offsets
 
         return survived_offsets(self.tree.energies(spark), self.keep_threshold, block)
 
 
-def context(hops: list[DataFrame], h: int, w: int) -> DataFrame:
-    """All hops scaled up to h x w and their channels put side by side: images of per-pixel contexts."""
-    out = per_image(hops[0], lambda x: grid.resize(x, h, w))
-    for hop in hops[1:]:
-        up = per_image(hop, lambda x: grid.resize(x, h, w)).select("image_id", F.col("px").alias("_p"), F.col("c").alias("_c"))
-        joined = out.join(up, "image_id")
-        both = F.expr("flatten(transform(sequence(0, h * w - 1), p -> concat(slice(px, p * c + 1, c), slice(_p, p * _c + 1, _c))))")
-        out = joined.select("image_id", "h", "w", (F.col("c") + F.col("_c")).alias("c"), both.alias("px"))
-    return out
+def dilated_tree(images: DataFrame, threshold: float, dilations: tuple[int, ...] = (1, 2, 4, 8)) -> DilatedTree:
+    """A tree of 3x3 dilated transforms, a level for each dilation: channels below the threshold are leaves, the others grow on. One pass over
+    the images gives the moments of all nodes of a level."""
+    tree, level = DilatedTree(dilations), [("R", 1.0)]
+    rows = images.where("px is not null")
+    for depth in range(len(dilations)):
+        names = [n for n, _ in level]
 
+        def cut(b: pd.DataFrame, names=names) -> dict[int, np.ndarray]:
+            out: dict[int, list] = {}
+            for p, h, w, c in zip(b["px"], b["h"], b["w"], b["c"]):
+                seen: dict[str, np.ndarray] = {}
+                for u, n in enumerate(names):
+                    v = tree.windows(n, grid.as_image(p, h, w, c), seen)
+                    out.setdefault(u, []).append(v.reshape(-1, v.shape[-1]))
+            return {u: np.concatenate(v) for u, v in out.items()}
 
-def dilated_tree(images: DataFrame, threshold: float, dilations: tuple[int, ...] = (1, 2, 4, 8)) -> list[tuple[str, Saab, np.ndarray]]:
-    """A tree of 3x3 dilated transforms: channels below the threshold are leaves, the others grow on; nodes wait in a queue.
-    Gives (node, transform, leaf channels)."""
-    out, queue = [], [("R", images, 0, 1.0)]
-    while queue:
-        name, now, depth, energy = queue.pop(0)
-        cut = per_image(now, lambda x, d=dilations[depth]: grid.neighbours(x, 1, d))
-        found = moments(cut, lambda b: {0: np.concatenate([grid.as_image(p, h, w, c).reshape(-1, c) for p, h, w, c in zip(b["px"], b["h"], b["w"], b["c"])])} if len(b) else {}, ["h", "w", "c", "px"])[0]
-        made = Saab.from_moments(found)
-        share = made.energy * energy
-        leaf = share < threshold if depth + 1 < len(dilations) else np.ones(len(share), bool)
-        out.append((name, made, np.flatnonzero(leaf)))
-        for c in np.flatnonzero(~leaf):
-            queue.append((f"{name}{c}", per_image(cut, lambda x, m=made, c=c: m.apply(x)[:, :, c : c + 1]), depth + 1, float(share[c])))
-    return out
+        found = moments(rows, cut, ["h", "w", "c", "px"])
+        if not found:
+            break
+        after = []
+        for u, (name, energy) in enumerate(level):
+            made = Saab.from_moments(found[u])
+            share = made.energy * energy
+            leaf = share < threshold if depth + 1 < len(dilations) else np.ones(len(share), bool)
+            tree.nodes[name], tree.energy[name], tree.leaves[name] = made, share, np.flatnonzero(leaf)
+            after += [(f"{name}.{c}", float(share[c])) for c in np.flatnonzero(~leaf).tolist()]
+        level = after
+        if not level:
+            break
+    return tree
+
+
+@dataclass
+class DilatedTree:
+    """Nodes by path (R.channel.channel...), with the energies of their channels and those that are leaves."""
+
+    dilations: tuple[int, ...]
+    nodes: dict[str, Saab] = field(default_factory=dict)
+    energy: dict[str, np.ndarray] = field(default_factory=dict)
+    leaves: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def windows(self, name: str, x: np.ndarray, seen: dict[str, np.ndarray]) -> np.ndarray:
+        """A node's 3x3 dilated windows of an image; seen keeps the responses of the nodes above it."""
+        parent, _, channel = name.rpartition(".")
+        if parent:
+            if parent not in seen:
+                seen[parent] = self.nodes[parent].apply(self.windows(parent, x, seen))
+            x = seen[parent][:, :, int(channel) : int(channel) + 1]
+        return grid.neighbours(x, 1, self.dilations[name.count(".")])
+
+    def transform(self, images: DataFrame) -> DataFrame:
+        """Images of the leaf channels of all nodes, side by side, in one pass."""
+        def run(x: np.ndarray) -> np.ndarray:
+            seen: dict[str, np.ndarray] = {}
+            parts = [self.nodes[n].apply(self.windows(n, x, seen))[:, :, self.leaves[n]] for n in self.nodes]
+            return np.concatenate(parts, axis=2) if parts else np.zeros((*x.shape[:2], 0))
+
+        return per_image(images.where("px is not null"), run)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(node, channel, energy, leaf)."""
+        rows = [(n, c, float(e), c in set(self.leaves[n].tolist())) for n in self.nodes for c, e in enumerate(self.energy[n])]
+        return spark.createDataFrame(rows, "node string, channel long, energy double, leaf boolean")
 
 
 def whiten(rows: DataFrame, count: int = -1, f: str = "f") -> tuple[DataFrame, PCA]:

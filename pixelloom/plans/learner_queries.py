@@ -73,7 +73,7 @@ def pca_inverse(spark, sf_dir):
 def saab_fit_transform(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     out = K.Saab.fit(rows).transform(rows)
-    return out.select("id", *[r6(F.get("f", F.lit(k))).alias(f"c{k}") for k in range(4)])
+    return out.select("id", F.transform("f", r6).alias("f"))
 
 
 @query(f"""WITH {VX}, b AS (SELECT unnest([false, true]) AS bias) SELECT id, bias, list_transform(f, lambda x: round(x, 5) + 0) AS f FROM vx, b""")
@@ -110,7 +110,7 @@ def saab_variants(spark, sf_dir):
 def residual_pca(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     out = K.ResidualPCA.fit(rows, 0.3).transform(rows)
-    return out.select("id", F.size("f").alias("n"), r6(F.get("f", F.lit(0))).alias("dc"))
+    return out.select("id", F.transform("f", r6).alias("f"))
 
 
 @query()
@@ -152,16 +152,14 @@ def cwsaab_split_modes(spark, sf_dir):
 def pixelhop(spark, sf_dir):
     """Features of both hops, weak channels pruned."""
     hops = K.PixelHop.fit(images(spark, sf_dir), HOPS, 0.02, 0.001).transform(images(spark, sf_dir))
-    rows = features_of(hops[-1])
-    return rows.select("image_id", "i", "j", F.size("f").alias("channels"), r6(F.get("f", F.lit(0))).alias("first"))
+    return features_of(hops[-1]).select("image_id", "i", "j", F.transform("f", r6).alias("f"))
 
 
 @query()
 def pixelhop_context(spark, sf_dir):
     """Hops scaled up to the image and put side by side per pixel."""
     rows = images(spark, sf_dir)
-    hops = K.PixelHop.fit(rows, HOPS, 0.02, 0.001).transform(rows)
-    return features_of(K.context(hops, 8, 8)).select("image_id", "i", "j", F.size("f").alias("channels"), r6(F.get("f", F.lit(0))).alias("first"))
+    return features_of(K.PixelHop.fit(rows, HOPS, 0.02, 0.001).context(rows, 8, 8)).select("image_id", "i", "j", F.transform("f", r6).alias("f"))
 
 
 @query()
@@ -179,8 +177,21 @@ def point_label_fit(spark, sf_dir):
 
 @query()
 def dilated_tree(spark, sf_dir):
-    made = K.dilated_tree(images(spark, sf_dir), 0.3, (1, 2))
-    return spark.createDataFrame([(n, len(s.kernels), len(leaf)) for n, s, leaf in made], "node string, kernels long, leaves long")
+    return K.dilated_tree(images(spark, sf_dir), 0.02, (1, 2, 4)).table(spark).withColumn("energy", r6("energy"))
+
+
+@query()
+def dilated_features(spark, sf_dir):
+    """Leaf channels of a dilated tree, per pixel."""
+    rows = images(spark, sf_dir)
+    return features_of(K.dilated_tree(rows, 0.05, (1, 2)).transform(rows)).select("image_id", "i", "j", F.transform("f", r6).alias("f"))
+
+
+@query()
+def joint_tree(spark, sf_dir):
+    """A tree whose second layer takes all channels together; energies of both layers."""
+    hops = (HOPS[0], HopSpec(window=2, stride=2, border=None, channelwise=False))
+    return K.fit_tree(images(spark, sf_dir), hops).energies(spark).withColumn("energy", r6("energy"))
 
 
 @query()
@@ -211,11 +222,11 @@ def multi_saab(spark, sf_dir):
 
 @query()
 def residual_learning(spark, sf_dir):
-    """Whitened components ranked by their entropy, the best kept."""
+    """Whitened components ranked by the held-out loss of a forest on each, the best 27 kept."""
     from pixelloom.operators.topk import best_features
 
-    white, _ = K.whiten(vectors(spark, sf_dir), 16)
-    return best_features(N.bin_entropy(white, 10), 5, "ce").withColumn("ce", r6("ce"))
+    white, _ = K.whiten(vectors(spark, sf_dir))
+    return best_features(N.forest_entropy(white, 64, 10), 27, "ce").withColumn("ce", r6("ce"))
 
 
 @query(f"""WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), s AS (SELECT id, pos, (x - avg(x) OVER (PARTITION BY pos)) / stddev_pop(x) OVER (PARTITION BY pos) AS z FROM l)
@@ -411,7 +422,7 @@ def hop_lag(spark, sf_dir):
     hops = K.PixelHop.fit(rows, HOPS[:1], 0.02, 0.01).transform(rows)
     pooled = [K.per_image(h, lambda x: x.mean(axis=(0, 1), keepdims=True)) for h in hops]
     made = M.hop_lag_features(pooled, 10, 1, rows.select("image_id", "label"))
-    return made.select("image_id", F.size("f").alias("n"), "label")
+    return made.select("image_id", "label", F.transform("f", r6).alias("f"))
 
 
 # ---- selection ----------------------------------------------------------------------------------

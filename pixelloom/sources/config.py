@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class HopSpec:
@@ -17,6 +20,9 @@ class HopSpec:
     use_dc: bool = True
     need_bias: bool = True
     channelwise: bool = True
+    #: Instead of the windows above: (h x w x channels, hop) -> rows x columns x features, and its inverse.
+    gather: Callable[[np.ndarray, HopSpec], np.ndarray] | None = None
+    ungather: Callable[[np.ndarray, HopSpec], np.ndarray] | None = None
 
 
 @dataclass(frozen=True)
