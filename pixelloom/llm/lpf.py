@@ -34,6 +34,8 @@ NARROW = 4
 PLACE_BITS = 22
 #: Rows that are put in suffix order together, unless one anchor has more.
 ROWS = 4096
+#: Most surroundings of one key that are compared in a task; beyond it, windows are told apart one by one.
+HELD = 50_000
 SEGMENT = 1 << 22
 REGIONS = "h long, doc_id long, key long, start long, low int, count int, region binary, end long"
 
@@ -297,10 +299,20 @@ def copies(rows: DataFrame, length: int) -> DataFrame:
         if size:
             yield from done(pa.concat_tables(held))
 
-    near = rows.where("h is not null").select(*REGION_NAMES[:7]).repartition("h").sortWithinPartitions("h")
+    near = rows.select(*REGION_NAMES[:7]).repartition("h").sortWithinPartitions("h")
     return near.mapInArrow(tidy(run), "doc_id long, key long, start long, end long")
 
 
+def window_copies(rows: DataFrame, length: int) -> DataFrame:
+    """The same from rows of keys that too many surroundings share: each window stands alone under its own digest, its least position is
+    found by partial sums, and no key's rows meet in a task."""
+    windows = rows.select("doc_id", "key", "start", "region", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("j"))
+    windows = windows.select(F.struct("doc_id", "key", (F.col("start") + F.col("j")).alias("start")).alias("at"), F.unhex(F.sha2(F.expr(f"substring(region, j + 1, {length})"), 256)).alias("w"))
+    first = windows.groupBy("w").agg(F.min("at").alias("first"))
+    late = windows.join(first, "w").where(F.col("at") > F.col("first"))
+    return late.select("at.doc_id", "at.key", "at.start", (F.col("at.start") + length).alias("end"))
+
+
 def removed(docs: DataFrame, length: int = LENGTH, max_broadcast: int | None = None) -> DataFrame:
     """Rows (key, doc_id, spans): per document the intervals of bytes that go, maybe overlapping. A null id is the largest long."""
     counts = anchor_counts(docs, length)
@@ -313,9 +325,13 @@ def removed(docs: DataFrame, length: int = LENGTH, max_broadcast: int | None = N
     if wanted is None:
         docs = _with_anchors(docs, counts, length)
     near = regions(docs, length, wanted, often)
-    spans = near.where("h is null").select("doc_id", "key", "start", "end").unionByName(copies(near, length))
-    spans = materialize(spans, "lpf-spans")
-    drop_scratch(near, counts)
+    spans, met = near.where("h is null").select("doc_id", "key", "start", "end"), near.where("h is not null")
+    crowded = materialize(met.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("h"), "lpf-crowded")
+    if crowded.limit(1).count():
+        spans = spans.unionByName(window_copies(met.join(crowded, "h", "left_semi"), length))
+        met = met.join(crowded, "h", "left_anti")
+    spans = materialize(spans.unionByName(copies(met, length)), "lpf-spans")
+    drop_scratch(near, counts, crowded)
     return spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

@@ -122,3 +122,25 @@ def test_text_of_several_segments(spark):
     docs = spark.createDataFrame([(1, text), (2, piece)], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in lpf.deduplicate(docs).collect()}
     assert got == {1: (300, 1), 2: (300, 1)}
+
+
+@pytest.mark.parametrize("held", [0, 3])
+def test_crowded_keys_by_windows(spark, monkeypatch, held):
+    """All keys, or those of more than three surroundings, by the digests of their windows."""
+    monkeypatch.setattr(lpf, "HELD", held)
+    rows, docs = made(spark)
+    assert result(docs) == brute(rows)
+
+
+def test_no_key_gathers_a_row_from_every_batch(spark, monkeypatch):
+    """A common line with differing surroundings: whatever the number of batches, what meets under a key stays within the bound."""
+    monkeypatch.setattr(lpf, "HELD", 20)
+    most, real = [], lpf.copies
+    monkeypatch.setattr(lpf, "copies", lambda rows, length: most.append(max([r[1] for r in rows.groupBy("h").count().collect()], default=0)) or real(rows, length))
+    rng = random.Random(1)
+    line = " ".join(f"{rng.getrandbits(30):x}" for _ in range(15))[:120]
+    rows = [(i, f"{rng.getrandbits(64):x} {line} {rng.getrandbits(64):x}") for i in range(600)]
+    for parts in (2, 40):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert result(docs) == brute(rows)
+        assert most[-1] <= 20
