@@ -59,7 +59,8 @@ def fit_classifier(rows: DataFrame, classes: int, f: str = "f", label: str = "la
 
 @dataclass
 class LabelAssisted:
-    """Soft targets from class-wise k-means, a linear map onto them, and their sums per class."""
+    """Soft targets from class-wise k-means, a linear map onto them, and their sums per class. Targets by encode: shares by distance, the
+    nearest cluster (onehot), or its number (raw: transform gives one output, and there are no sums per class)."""
 
     centres: list[list[float]]
     owner: list[int]  # class of each centre
@@ -85,6 +86,10 @@ class LabelAssisted:
         shares = soft_target(distances, alpha)
         if encode == "onehot":
             shares = F.transform(distances, lambda d: (d == F.array_min(distances)).cast("double"))
+        if encode == "raw":  # one output, the number of the row's own cluster
+            number = F.get("_own", (F.array_position(distances, F.array_min(distances)) - 1).cast("int")).cast("double")
+            coded = rows.withColumn("_own", mine).withColumn("_y", F.array(number))
+            return LabelAssisted(centres, owner, LeastSquares.fit(coded, f, "_y"), classes)
         coded = rows.withColumn("_own", mine).withColumn("_share", shares)
         coded = coded.withColumn("_y", F.expr(f"transform(sequence(0, {len(centres) - 1}), i -> coalesce(get(_share, cast(array_position(_own, i) - 1 as int)), 0D))"))
         return LabelAssisted(centres, owner, LeastSquares.fit(coded, f, "_y"), classes)

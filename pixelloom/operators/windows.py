@@ -120,6 +120,13 @@ def zigzag_groups(pixels: DataFrame, n: int) -> DataFrame:
     return pixels.withColumns({"_i": F.col("i") % n, "_j": F.col("j") % n}).join(F.broadcast(table), ["_i", "_j"]).drop("_i", "_j")
 
 
+def lattice(pixels: DataFrame, height: int, width: int, depth: int = 0, n: int = 4, value: str = "v") -> DataFrame:
+    """n x n cells of an image's upper left part, 4^depth times smaller than the image: (image_id, bi, bj, f). Cells that the part cuts off are
+    left out."""
+    h, w = height // 4**depth // n * n, width // 4**depth // n * n
+    return blocks(pixels.where((F.col("i") < h) & (F.col("j") < w)), n, value)
+
+
 def subsample(pixels: DataFrame) -> DataFrame:
     """Every other row and column, the upper left of each 2 x 2 block."""
     return pixels.where("i % 2 = 0 AND j % 2 = 0").withColumns({"i": F.expr("i div 2"), "j": F.expr("j div 2")})

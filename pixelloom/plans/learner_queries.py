@@ -194,6 +194,15 @@ def joint_tree(spark, sf_dir):
     return K.fit_tree(images(spark, sf_dir), hops).energies(spark).withColumn("energy", r6("energy"))
 
 
+@query()
+def hop_units(spark, sf_dir):
+    """Two hops of units: energies of their channels, and the channels that they come from."""
+    from pixelloom.operators.hop_unit import below, fit_chain
+
+    chain = fit_chain(images(spark, sf_dir), [{"reach": 1, "channelwise": False}, {"reach": 1, "dilate": 2}], 0.95, below(0.3))
+    return chain.table(spark).withColumn("energy", r6("energy"))
+
+
 @query()
 def frequency_saab(spark, sf_dir):
     """Kernels of 5x5 windows, chosen by their share of high frequencies."""
@@ -313,6 +322,13 @@ def lag(spark, sf_dir):
     return M.LabelAssisted.fit(rows, 10, 2).predict(rows).select("id", "label", "prediction")
 
 
+@query()
+def lag_raw(spark, sf_dir):
+    """A single output: the number of the cluster within its class, as a number."""
+    rows = vectors(spark, sf_dir)
+    return M.LabelAssisted.fit(rows, 10, 2, encode="raw").transform(rows).select("id", "label", F.round(F.get("lag", F.lit(0)), 4).alias("number"))
+
+
 @query()
 def lag_unit(spark, sf_dir):
     """Outputs of the last round of a label-assisted unit that splits its worst output."""

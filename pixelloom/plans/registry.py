@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from pixelloom.plans import grid_queries, learner_queries, relational_queries, tree_queries, vector_queries  # noqa: F401
+    from pixelloom.plans import grid_queries, learner_queries, relational_queries, source_queries, tree_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

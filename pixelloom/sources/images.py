@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -94,21 +95,26 @@ def png_bytes(x: np.ndarray) -> bytes:
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
-    """Write one PNG per image on the executors; rows (image_id, path) of what was written."""
+    """Write one PNG per image on the executors, now; written rows (image_id, path). A file is written under a name of its own and renamed when it
+    is whole, so a repeated task replaces it and readers never see a part. Images without pixels have no file."""
     from pyarrow import fs as pafs
 
+    from pixelloom.sources.scratch import written
+
     def write(batches):
         for b in batches:
             store, root = pafs.FileSystem.from_uri(folder)
             store.create_dir(root, recursive=True)
             paths = []
             for i, h, w, c, px in zip(b["image_id"], b["h"], b["w"], b["c"], b["px"]):
-                with store.open_output_stream(f"{root}/{i}.png", compression=None) as out:
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as out:
                     out.write(png_bytes(np.asarray(px).reshape(h, w, c)))
+                store.move(part, f"{root}/{i}.png")
                 paths.append(f"{folder}/{i}.png")
             yield pd.DataFrame({"image_id": b["image_id"], "path": paths})
 
-    return images.mapInPandas(write, "image_id long, path string")
+    return written(images.where("px is not null").select("image_id", "h", "w", "c", "px").mapInPandas(write, "image_id long, path string"), "images-written")
 
 
 def read_cost_maps(spark: SparkSession, path: str) -> DataFrame:

@@ -164,3 +164,49 @@ def test_dilated_tree_by_levels(spark):
         assert np.isclose(tree.nodes[f"R.{c}"].bias, np.linalg.norm(below, axis=1).max() / 3)
         assert np.isclose(tree.energy[f"R.{c}"].sum(), tree.energy["R"][c]) and len(tree.leaves[f"R.{c}"]) == 9
     assert tree.transform(rows).first().c == sum(len(v) for v in tree.leaves.values())
+
+
+def test_hop_units_by_plain_numpy(spark, tmp_path):
+    """Two hops: moments, energies, biases, the channels passed on, and the responses; also after the model store."""
+    from pixelloom.functions import grid
+    from pixelloom.operators.hop_unit import above, below, fit_chain
+    from pixelloom.sources import models
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9, 7, 7, 2)).cumsum(axis=1)
+    rows = spark.createDataFrame([(i, 7, 7, 2, v.ravel().tolist()) for i, v in enumerate(x)] + [(99, 7, 7, 2, None)], "image_id long, h int, w int, c int, px array<double>").repartition(2)
+    chain = fit_chain(rows, [{"reach": 1}, {"reach": 1, "dilate": 2}], 0.9, below(0.3))
+    assert [u.passed for u in chain.units][0] == [0, 1]
+    now, before = [v for v in x], np.ones(2)
+    for k, (unit, dilate) in enumerate(zip(chain.units, (1, 2))):
+        passed = [0, 1] if k == 0 else np.flatnonzero(before < 0.3).tolist()
+        assert unit.passed == passed and passed
+        out, energy = [[] for _ in now], []
+        for s, c in zip(unit.saabs, passed):
+            w = [grid.neighbours(v[:, :, c : c + 1], 1, dilate) for v in now]
+            p = np.concatenate([v.reshape(-1, 9) for v in w])
+            z = p - p.mean(axis=0)
+            z = z - z.mean(axis=1, keepdims=True)
+            values = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
+            assert np.allclose(s.mean, p.mean(axis=0)) and np.isclose(s.bias, np.linalg.norm((p - p.mean(axis=0)) @ s.kernels.T, axis=1).max())
+            assert len(s.kernels) <= max(1, (np.cumsum(np.maximum(values, 0)) / values.sum() <= 0.9).sum()) + 1 and np.isclose(s.energy.sum(), 1)
+            energy.append(s.energy * before[c])
+            for i, v in enumerate(w):
+                y = (v + s.bias * (k > 0)) @ s.kernels.T
+                y[:, :, 0] -= s.bias * (k > 0)
+                out[i].append(y)
+        before = np.concatenate(energy)
+        assert np.allclose(unit.energy, before)
+        now = [np.concatenate(o, axis=2) for o in out]
+    models.save(spark, chain, f"file://{tmp_path}/m")
+    for c in (chain, models.load(spark, f"file://{tmp_path}/m")):
+        got = {r.image_id: np.reshape(r.px, (r.h, r.w, r.c)) for r in c.transform(rows).collect()}
+        assert len(got) == 9 and all(np.allclose(got[i], v) for i, v in enumerate(now))
+    assert fit_chain(rows.where("false"), [{}]).units == []
+    assert len(fit_chain(rows, [{"reach": 1, "channelwise": False}, {"reach": 1}], passes=above(2.0)).units) == 1
+
+
+def test_raw_targets(spark, tables):
+    model = learn.LabelAssisted.fit(tables["clean"], 2, 2, encode="raw")
+    out = model.transform(tables["nulls"]).collect()
+    assert {len(r.lag) for r in out if r.lag is not None} == {1} and len(model.centres) == 4
