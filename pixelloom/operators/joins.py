@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,22 +41,31 @@ def reflected(i, n: int):
     return F.when(i < 0, -i).when(i > n - 1, 2 * (n - 1) - i).otherwise(i)
 
 
-def around_pixels(px: str, height: int, width: int):
-    """Per pixel of an image in one array (row by row) its nine values in the fixed order, borders reflected: an array of arrays.
-    A null image gives null, a missing pixel null."""
-    at = F.sequence(F.lit(0), F.lit(height * width - 1))
-
-    def nine(p):
-        i, j = F.floor(p / width), p % width
-        return F.array(*[F.get(px, (reflected(i + a, height) * width + reflected(j + b, width)).cast("int")) for a, b in AROUND])
-
-    return F.when(F.col(px).isNotNull(), F.transform(at, nine))
+def around_places(height: int, width: int) -> np.ndarray:
+    """Per pixel, row by row, the places of its nine values in the fixed order, borders reflected."""
+    i, j = np.divmod(np.arange(height * width), width)
+    mirror = lambda k, n: np.where(k < 0, -k, np.where(k > n - 1, 2 * (n - 1) - k, k))
+    return np.stack([mirror(i + a, height) * width + mirror(j + b, width) for a, b in AROUND], axis=1)
 
 
 def surround_in_images(images: DataFrame, height: int, width: int, px: str = "px") -> DataFrame:
-    """Rows (image_id, i, j, around) from whole images: no shuffle."""
-    rows = images.select("image_id", F.posexplode(around_pixels(px, height, width)).alias("pos", "around"))
-    return rows.select("image_id", F.floor(F.col("pos") / width).cast("int").alias("i"), (F.col("pos") % width).cast("int").alias("j"), "around")
+    """Rows (image_id, i, j, around) from whole images: one gather per batch, no shuffle. Null images, and those of another size, have none."""
+    places = around_places(height, width)
+
+    def run(batches):
+        i, j = np.divmod(np.arange(height * width, dtype=np.int32), np.int32(width))
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, height * width)
+            for at in range(0, len(x), 256):  # images at a time
+                part = x[at : at + 256]
+                n = len(part)
+                ids = b.column(0).slice(at, n).take(pa.array(np.repeat(np.arange(n), height * width)))
+                around = pa.ListArray.from_arrays(np.arange(0, n * places.size + 1, 9, dtype=np.int32), pa.array(part[:, places].ravel()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(i, n)), pa.array(np.tile(j, n)), around], names=["image_id", "i", "j", "around"])
+
+    kind = dict(images.dtypes)["image_id"]
+    whole = images.where(F.size(px) == height * width).select("image_id", F.col(px).cast("array<double>").alias("px"))
+    return whole.mapInArrow(run, f"image_id {kind}, i int, j int, around array<double>")
 
 
 def surround(pixels: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:

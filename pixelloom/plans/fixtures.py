@@ -5,10 +5,12 @@ pixel is the population variance of its reflected 3x3 surroundings."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators.joins import around_pixels
+from pixelloom.operators.joins import around_places
 from pixelloom.operators.projection import explode_pixels
 from pixelloom.sources.images import vectors_as_images
 
@@ -54,11 +56,17 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, costs): per image its pixels as an array of (rho, i, j, d)."""
-    near = images(spark, sf_dir).withColumn("around", around_pixels("px", SIDE, SIDE))
-    mean = "aggregate(a, 0D, (s, x) -> s + x) / 9"
-    rho = f"round(aggregate(transform(array({mean}), m -> aggregate(a, 0D, (s, x) -> s + (x - m) * (x - m))), 0D, (s, x) -> s + x) / 9, 9)"
+    places = around_places(SIDE, SIDE)
+
+    @F.pandas_udf("array<double>")
+    def rho(px: pd.Series) -> pd.Series:
+        if not len(px):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.round(np.stack(px.to_list())[:, places].var(axis=2), 9)))
+
     d = "CASE WHEN (image_id * 7 + pos * 13) % 5 = 0 THEN 1 ELSE 0 END"
-    return near.select("image_id", F.expr(f"transform(around, (a, pos) -> struct({rho} AS rho, cast(pos div {SIDE} AS int) AS i, cast(pos % {SIDE} AS int) AS j, {d} AS d))").alias("costs"))
+    near = images(spark, sf_dir).where("px is not null").withColumn("rho", rho("px"))
+    return near.select("image_id", F.expr(f"transform(rho, (r, pos) -> struct(r AS rho, cast(pos div {SIDE} AS int) AS i, cast(pos % {SIDE} AS int) AS j, {d} AS d))").alias("costs"))
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
