@@ -538,7 +538,17 @@ def orientation_descriptors(spark, sf_dir):
     return rows.select("image_id", "bi", "bj", F.size("f").alias("n"), r6(V.norm(F.col("f"))).alias("norm"))
 
 
-@query()
+@query(f"""WITH {PX}, sk AS (SELECT a, exp(-a * a / 2 / 2.31) AS w FROM (SELECT unnest(range(-6, 7)) AS a)), sg AS (SELECT a, w / (SELECT sum(w) FROM sk) AS w FROM sk),
+s1 AS MATERIALIZED (SELECT t.image_id, t.i, t.j, sum(p.v * k.w) AS v FROM px t, sg k JOIN px p ON p.image_id = t.image_id AND p.j = t.j AND p.i = CASE WHEN t.i + k.a < 0 THEN -1 - t.i - k.a WHEN t.i + k.a > 7 THEN 15 - t.i - k.a ELSE t.i + k.a END GROUP BY ALL),
+s2 AS MATERIALIZED (SELECT t.image_id, t.i, t.j, sum(p.v * k.w) AS v FROM s1 t, sg k JOIN s1 p ON p.image_id = t.image_id AND p.i = t.i AND p.j = CASE WHEN t.j + k.a < 0 THEN -1 - t.j - k.a WHEN t.j + k.a > 7 THEN 15 - t.j - k.a ELSE t.j + k.a END GROUP BY ALL),
+gr AS (SELECT c.image_id, c.i, c.j, r.v - l.v AS gx, t.v - b.v AS gy FROM s2 c JOIN s2 l ON l.image_id = c.image_id AND l.i = c.i AND l.j = c.j - 1 JOIN s2 r ON r.image_id = c.image_id AND r.i = c.i AND r.j = c.j + 1
+  JOIN s2 t ON t.image_id = c.image_id AND t.i = c.i - 1 AND t.j = c.j JOIN s2 b ON b.image_id = c.image_id AND b.i = c.i + 1 AND b.j = c.j),
+po AS (SELECT image_id, i, j, sqrt(gx * gx + gy * gy) AS g, atan2(gy, gx) / (2 * pi()) * 8 AS o FROM gr), pt AS (SELECT image_id, i, j, g, o - 8 * floor(o / 8) AS o FROM po),
+kp AS (SELECT x.k AS bi, y.k AS bj FROM (SELECT unnest(range(2)) AS k) x, (SELECT unnest(range(2)) AS k) y),
+sh AS (SELECT image_id, bi, bj, g * exp(-(r * r + c * c) / 8) AS g, r + 1.5 AS r, c + 1.5 AS c, o FROM (SELECT *, (i - bi * 4 - 2) / 6.0::DOUBLE AS r, (j - bj * 4 - 2) / 6.0::DOUBLE AS c FROM pt, kp)),
+ce AS (SELECT unnest(range(128)) AS n), hs AS (SELECT image_id, bi, bj, n, sum(g * greatest(0, 1 - abs(r - n // 32)) * greatest(0, 1 - abs(c - n // 8 % 4)) * greatest(0, 1 - least(abs(o - n % 8), 8 - abs(o - n % 8)))) AS h FROM sh, ce GROUP BY ALL),
+cl AS (SELECT *, least(h, 0.2 * sqrt(sum(h * h) OVER (PARTITION BY image_id, bi, bj))) AS k FROM hs), nd AS (SELECT *, sqrt(sum(k * k) OVER (PARTITION BY image_id, bi, bj)) AS norm FROM cl)
+SELECT image_id, bi, bj, list(round(CASE WHEN norm > 0 THEN k / norm ELSE 0 END, 6) ORDER BY n) AS f FROM nd GROUP BY image_id, bi, bj""")
 def dense_sift(spark, sf_dir):
     """The whole descriptor of every 4x4 block."""
     return I.dense_sift(images(spark, sf_dir), 4).select("image_id", "bi", "bj", F.transform("f", r6).alias("f"))

@@ -29,6 +29,39 @@ HOPS = (HopSpec(window=2, stride=2, border=None), HopSpec(window=2, stride=2, bo
 BINARY = "CASE WHEN label >= 5 THEN 1 ELSE 0 END"
 
 
+def _mirrored(k: str, border: str) -> str:
+    """An index of 0 to 7 beyond the border."""
+    low, high = ("-1 - " + k, "15 - " + k) if border == "symmetric" else ("-" + k, "14 - " + k)
+    return f"CASE WHEN {k} < 0 THEN {low} WHEN {k} > 7 THEN {high} ELSE {k} END"
+
+
+def _around(border: str, dilate: int = 1) -> str:
+    """CTEs up to w(image_id, i, j, n, v, d): the 3x3 surroundings of every pixel."""
+    places = _mirrored(f"(c.i + x.a * {dilate})", border), _mirrored(f"(c.j + y.a * {dilate})", border)
+    return f"{PX}, o AS (SELECT unnest(range(-1, 2)) AS a), w AS MATERIALIZED (SELECT c.image_id, c.i, c.j, c.d, x.a * 3 + y.a AS n, p.v FROM px c, o x, o y JOIN px p ON p.image_id = c.image_id AND p.i = {places[0]} AND p.j = {places[1]})"
+
+
+_BLOCKS = f"{PX}, w AS MATERIALIZED (SELECT image_id, i // 2 AS i, j // 2 AS j, (i % 2) * 2 + j % 2 AS n, v FROM px)"
+
+
+def _dc_share(where: str = "true") -> str:
+    """From w: the DC's share of all energy."""
+    return f"""r AS (SELECT image_id, i, j, n, v - avg(v) OVER (PARTITION BY image_id, i, j) AS r, sum(v) OVER (PARTITION BY image_id, i, j) / sqrt(count(*) OVER (PARTITION BY image_id, i, j)) AS dc FROM w WHERE {where})
+SELECT round(dc / (dc + ac), 6) AS dc_share FROM (SELECT sum(v) AS ac FROM (SELECT var_samp(r) AS v FROM r GROUP BY n)), (SELECT var_pop(dc) AS dc FROM (SELECT DISTINCT image_id, i, j, dc FROM r))"""
+
+
+def _parts(variant: str) -> str:
+    """From l(id, pos, x), vectors of 64: the DC coefficient and the energy of all others."""
+    bias = {"v2": "max(sqrt(z2)) / 8", "v1": "max(sqrt(c2))"}[variant]
+    return f"""c AS (SELECT id, x - avg(x) OVER (PARTITION BY pos) AS x FROM l), z AS (SELECT id, x, x - avg(x) OVER (PARTITION BY id) AS z FROM c),
+e AS (SELECT id, sum(x) AS total, sum(x * x) AS c2, sum(z * z) AS z2 FROM z GROUP BY id), b AS (SELECT {bias} AS bias FROM e)
+SELECT id, round((total + 64 * bias) / 8 - bias, 4) AS dc, round(z2, 5) AS ac FROM e, b"""
+
+
+def _first_share(spark, energy):
+    return spark.createDataFrame([(float(np.round(energy[0], 6)),)], "dc_share double")
+
+
 def binary(spark, sf_dir):
     return vectors(spark, sf_dir).select("id", "f", (F.col("label") >= 5).cast("long").alias("label"))
 
@@ -99,6 +132,24 @@ def saab_parts(spark, sf_dir):
     return out.select("id", F.round(F.get("f", F.lit(0)), 5).alias("dc"), F.round(F.expr("aggregate(slice(f, 2, 63), 0D, (s, x) -> s + x * x)"), 5).alias("ac"))
 
 
+def _two_parts(out):
+    return out.select("id", F.round(F.get("f", F.lit(0)), 4).alias("dc"), F.round(F.expr("aggregate(slice(f, 2, 63), 0D, (s, x) -> s + x * x)"), 5).alias("ac"))
+
+
+@query(f"WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), {_parts('v2')}")
+def saab_v2_parts(spark, sf_dir):
+    """The second variant: means of columns, then of rows; the bias is the largest norm of what they leave."""
+    rows = vectors(spark, sf_dir)
+    return _two_parts(K.Saab.fit(rows, variant="v2").transform(rows))
+
+
+@query(f"WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), {_parts('v1')}")
+def saab_v1_parts(spark, sf_dir):
+    """The first variant with all kernels: the bias is the largest norm of a response, which is that of the vector without the columns' means."""
+    rows = vectors(spark, sf_dir)
+    return _two_parts(K.Saab.fit(rows, variant="v1", energy_percent=1.1).transform(rows))
+
+
 @query()
 def saab_variants(spark, sf_dir):
     rows = vectors(spark, sf_dir)
@@ -148,6 +199,28 @@ def cwsaab_split_modes(spark, sf_dir):
     return spark.createDataFrame(out, "mode string, split long, layers long")
 
 
+_HOP1 = _BLOCKS + """, m AS (SELECT n, avg(v) AS m FROM w GROUP BY n), q AS (SELECT n, m - (SELECT avg(m) FROM m) AS m FROM m),
+t AS (SELECT image_id, i, j, sum(v) AS total, sqrt(sum(v * v)) AS norm FROM w GROUP BY ALL), k AS (SELECT max(norm) / 2 AS bias, var_pop(total) / 4 AS dc FROM t),
+z AS (SELECT image_id, i, j, v - m - avg(v - m) OVER (PARTITION BY image_id, i, j) AS z FROM w JOIN q USING (n)), e AS (SELECT image_id, i, j, sum(z * z) AS ac FROM z GROUP BY ALL),
+hop AS (SELECT image_id, i, j, (total + 4 * bias) / 2 / sqrt(dc) - bias AS dc, ac FROM t JOIN e USING (image_id, i, j), k)"""
+
+
+@query(f"WITH {_HOP1} SELECT image_id, i, j, round(dc, 5) AS dc, round(ac, 6) AS ac FROM hop")
+def pixelhop_first(spark, sf_dir):
+    """The first hop without pruning: the DC of every 2x2 window, and the energy of all other channels."""
+    rows = images(spark, sf_dir)
+    out = features_of(K.PixelHop.fit(rows, HOPS[:1], 0.02, -1.0).transform(rows)[0])
+    return out.select("image_id", "i", "j", F.round(F.get("f", F.lit(0)), 5).alias("dc"), F.round(F.expr("aggregate(slice(f, 2, size(f)), 0D, (s, x) -> s + x * x)"), 6).alias("ac"))
+
+
+@query(f"WITH {_HOP1}, two AS (SELECT unnest(range(2)) AS a) SELECT image_id, i * 2 + x.a AS i, j * 2 + y.a AS j, round(dc, 5) AS dc, round(ac, 6) AS ac FROM hop, two x, two y")
+def context_first(spark, sf_dir):
+    """The first hop's channels in every pixel's context."""
+    rows = images(spark, sf_dir)
+    out = features_of(K.PixelHop.fit(rows, HOPS[:1], 0.02, -1.0).context(rows, 8, 8))
+    return out.select("image_id", "i", "j", F.round(F.get("f", F.lit(0)), 5).alias("dc"), F.round(F.expr("aggregate(slice(f, 2, size(f)), 0D, (s, x) -> s + x * x)"), 6).alias("ac"))
+
+
 @query()
 def pixelhop(spark, sf_dir):
     """Features of both hops, weak channels pruned."""
@@ -167,6 +240,27 @@ def pixelhop_offsets(spark, sf_dir):
     return K.PixelHop.fit(images(spark, sf_dir), HOPS, 0.02, 0.001).offsets(spark, 4)
 
 
+@query(f"WITH {_around('symmetric')}, {_dc_share('d = 1')}")
+def point_label_root(spark, sf_dir):
+    """The DC's share where kernels are fitted on windows whose centre changed."""
+    rows = images(spark, sf_dir).withColumn("diff", F.expr("transform(px, (x, p) -> if((image_id * 7 + p * 13) % 5 = 0, 1D, 0D))"))
+    return _first_share(spark, K.fit_tree(rows, (HopSpec(window=3),), changed_only="diff").energy[0])
+
+
+@query(f"WITH {_around('reflect')}, {_dc_share()}")
+def dilated_root(spark, sf_dir):
+    """The DC's share in the root of a dilated tree."""
+    return _first_share(spark, K.dilated_tree(images(spark, sf_dir), 0.02, (1,)).energy["R"])
+
+
+@query(f"WITH {_around('reflect', 2)}, {_dc_share()}")
+def hop_unit_root(spark, sf_dir):
+    """The DC's share in a unit of 3x3 neighbourhoods, dilated by 2, that keeps all kernels."""
+    from pixelloom.operators.hop_unit import fit_chain
+
+    return _first_share(spark, fit_chain(images(spark, sf_dir), [{"reach": 1, "dilate": 2}], 1.1).units[0].energy)
+
+
 @query()
 def point_label_fit(spark, sf_dir):
     """Kernels fitted on windows whose centre changed, applied to all."""
