@@ -58,11 +58,11 @@ def histogram_entropy(rows: DataFrame, value: str, bins: int, *by: str) -> DataF
     return counts.withColumn("h", -p * F.log(p)).groupBy(*by).agg((F.sum("h") / math.log(bins)).alias("entropy"))
 
 
-def cluster_entropy(rows: DataFrame, k: int, classes: int, f: str = "f", label: str = "label") -> DataFrame:
-    """Entropy of the label within k-means clusters, weighted by their sizes and over log(classes)."""
+def cluster_entropy(rows: DataFrame, k: int, classes: int, f: str = "f", label: str = "label", placed: DataFrame | None = None) -> DataFrame:
+    """Entropy of the label within k-means clusters, weighted by their sizes and over log(classes). placed: rows that have a cluster already."""
     from pixelloom.operators.cluster import kmeans
 
-    placed, _, _ = kmeans(rows, k, f)
+    placed = kmeans(rows, k, f)[0] if placed is None else placed
     counts = placed.groupBy("cluster", F.col(label).alias("y")).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))
     return counts.withColumn("h", -F.log(p) * F.col("n")).agg((F.sum("h") / F.sum("n") / math.log(classes)).alias("ce"))

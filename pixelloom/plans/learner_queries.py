@@ -376,7 +376,7 @@ def per_cluster_linear(spark, sf_dir):
 # ---- learners -----------------------------------------------------------------------------------
 
 
-def _solved(n: int) -> str:
+def solved(n: int) -> str:
     """CTE s(w): the solutions of the normal equations in e(m), a matrix with the right-hand sides as further columns, by elimination."""
     return f"""s0(k, m) AS (SELECT 1, m FROM e UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k])
   ELSE list_transform(list_zip(r, m[k]), lambda z: z[1] - r[k] * z[2] / m[k][k]) END) FROM s0 WHERE k <= {n}), s AS MATERIALIZED (SELECT m AS w FROM s0 WHERE k = {n} + 1)"""
@@ -391,7 +391,7 @@ def least_squares(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {VX}, x AS MATERIALIZED (SELECT id, label, list_append(f, 1.0) || list_transform(range(10), lambda c: (c = label)::INT::DOUBLE) AS z, (id * 2654435761 + 42 * 40503) % 1000003 < 0.2 * 1000003 AS test FROM vx),
 l AS MATERIALIZED (SELECT id, unnest(range(75)) AS p, unnest(z) AS v FROM x WHERE NOT test), g AS (SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS v FROM l a JOIN l b USING (id) WHERE a.p < 65 GROUP BY a.p, b.p),
-e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {_solved(65)},
+e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {solved(65)},
 o AS (SELECT id, label, list_transform(range(10), lambda c: list_sum(list_transform(range(1, 66), lambda i: z[i] * w[i][66 + c]))) AS o FROM x, s WHERE test)
 SELECT id, label, (list_position(o, list_max(o)) - 1)::INT AS prediction FROM o""")
 def llsr(spark, sf_dir):
@@ -402,7 +402,7 @@ def llsr(spark, sf_dir):
 @query(f"""WITH RECURSIVE {VX}, n AS (SELECT min(f[1]) AS lo, max(f[1]) AS hi, count(*) AS n FROM vx), b AS (SELECT id, f, least(19, floor((f[1] - lo) / (hi - lo) * 20)) AS bin, n FROM vx, n),
 x AS MATERIALIZED (SELECT id, list_append(f[2:64], 1.0) || [f[1]] AS z, 1 / greatest(count(*) OVER (PARTITION BY bin) / n, 0.001) AS w FROM b),
 l AS MATERIALIZED (SELECT id, unnest(range(65)) AS p, unnest(z) * w AS v FROM x), g AS (SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS v FROM l a JOIN l b USING (id) WHERE a.p < 64 GROUP BY a.p, b.p),
-e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {_solved(64)}
+e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM g GROUP BY i)), {solved(64)}
 SELECT k, round(w[k + 1][65], 5) AS w FROM s, (SELECT unnest(range(64)) AS k)""")
 def weighted_llsr(spark, sf_dir):
     rows = M.inverse_frequency_weights(vectors(spark, sf_dir).withColumn("t", F.get("f", F.lit(0))), "t").withColumn("y", F.array("t"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pixelloom.functions.forest import Constant, Forest
 from pixelloom.operators import cluster as L
 from pixelloom.operators import trees as T
+from pixelloom.operators.lag_unit import LagUnit
 from pixelloom.operators.learn import inverse_frequency_weights
 from pixelloom.operators.windows import zigzag
 from pixelloom.plans import tree_sql as S
 from pixelloom.plans.fixtures import images, vectors
-from pixelloom.plans.learner_queries import binary
+from pixelloom.plans.learner_queries import binary, solved
 from pixelloom.plans.registry import query
 from pixelloom.plans.vector_queries import r6
 
@@ -73,6 +75,60 @@ def composite_loss(spark, sf_dir):
     return spark.createDataFrame([(round(float(loss), 6),)], "loss double")
 
 
+_TEN = ",\n".join([S.ROWS, "r AS MATERIALIZED (SELECT id, 'R' AS node FROM x)", "b AS MATERIALIZED (SELECT 'R' AS node, row_number() OVER (ORDER BY sha256(id::VARCHAR)) - 1 AS child, f AS c FROM x QUALIFY child < 10)"])
+
+
+def _settled(spark, sf_dir, steps: int = 10):
+    """Rows with the nearest of ten centres that settled from the vectors of lowest SHA-256 of their ids."""
+    rows = binary(spark, sf_dir).withColumn("node", F.lit("R"))
+    starts = T.lowest(rows, ["R"], 10, order=F.sha2(F.col("id").cast("string"), 256))
+    return L.assign(rows.drop("node"), T.settle(rows, starts, 64, steps)["R"].tolist())
+
+
+@query(",\n".join([_TEN, *S.settled("k", "r", "b", 10)[0], S.assigned("z", "r", "k_c9")]) + " SELECT child AS cluster, count(*) AS n, round(sum(far), 4) AS cost FROM z GROUP BY child")
+def settled_kmeans(spark, sf_dir):
+    """k-means from stated starts: sizes and costs of the clusters."""
+    return _settled(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum(F.col("distance") ** 2), 4).alias("cost"))
+
+
+@query(",\n".join([_TEN, *S.settled("k", "r", "b", 10)[0], S.assigned("z", "r", "k_c9")]) + """, n AS (SELECT child, y, count(*) AS n FROM z JOIN x USING (id) GROUP BY child, y), p AS (SELECT n, n / sum(n) OVER (PARTITION BY child) AS p FROM n)
+SELECT round(sum(-ln(p) * n) / sum(n) / ln(2), 6) AS ce FROM p""")
+def settled_entropy(spark, sf_dir):
+    """Entropy of the class within those clusters."""
+    from pixelloom.operators.select import cluster_entropy
+
+    return cluster_entropy(None, 10, 2, placed=_settled(spark, sf_dir)).withColumn("ce", r6("ce"))
+
+
+def _lag_sql() -> str:
+    """Clusters inside classes, shares of a row among those of its class, the linear map onto them, and the entropies of its outputs."""
+    rows = [S.ROWS.replace("WITH ", "WITH RECURSIVE ", 1), "r AS MATERIALIZED (SELECT id, label::VARCHAR AS node FROM x)"]
+    rows.append("b AS MATERIALIZED (SELECT label::VARCHAR AS node, row_number() OVER (PARTITION BY label ORDER BY sha256(id::VARCHAR)) - 1 AS child, f AS c FROM x QUALIFY child < 2)")
+    rows += [*S.settled("k", "r", "b", 10)[0], S.assigned("z", "r", "k_c9")]
+    far = S.distance("x.f", "c.c")
+    rows.append(f"""d AS (SELECT id, label * 2 + child AS j, sqrt({far}) AS d FROM x JOIN k_c9 c ON c.node = x.label::VARCHAR), g AS (SELECT id, j, exp(-10 * d / (min(d) OVER (PARTITION BY id) + 1e-5)) AS g FROM d),
+t AS MATERIALIZED (SELECT id, 65 + j AS p, g / sum(g) OVER (PARTITION BY id) AS v FROM g),
+q AS MATERIALIZED (SELECT id, pos AS p, (v - avg(v) OVER (PARTITION BY pos)) / stddev_pop(v) OVER (PARTITION BY pos) AS v FROM l UNION ALL SELECT id, 64, 1.0 FROM x),
+a AS MATERIALIZED (SELECT * FROM q UNION ALL SELECT * FROM t UNION ALL SELECT id, 65 + j, 0.0 FROM x, (SELECT unnest(range(20)) AS j) WHERE j // 2 <> label),
+n AS (SELECT u.p AS i, v.p AS j, sum(u.v * v.v) AS v FROM a u JOIN a v USING (id) WHERE u.p < 65 GROUP BY u.p, v.p), e AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM n GROUP BY i))""")
+    rows.append(solved(65))
+    rows.append("""u AS MATERIALIZED (SELECT id, list(v ORDER BY p) AS z FROM q GROUP BY id), o AS MATERIALIZED (SELECT id, j, list_sum(list_transform(range(1, 66), lambda i: z[i] * w[i][66 + j])) AS o FROM u, s, (SELECT unnest(range(20)) AS j)),
+h AS (SELECT o.id, j, greatest(0, ceil((o - min(o) OVER (PARTITION BY j)) / (max(o) OVER (PARTITION BY j) - min(o) OVER (PARTITION BY j)) * 10) - 1) AS bin, label FROM o JOIN x USING (id)),
+size AS (SELECT label, count(*) AS size FROM x GROUP BY label), f2 AS (SELECT j, bin, label, count(*) / any_value(size) AS f FROM h JOIN size USING (label) GROUP BY j, bin, label),
+lead AS (SELECT j, bin, min_by(label, {'f': -f, 'c': label}) AS label FROM f2 GROUP BY j, bin), led AS (SELECT j, label, count(*) AS led FROM lead GROUP BY j, label), used AS (SELECT j, count(*) AS used FROM lead GROUP BY j),
+p AS (SELECT used.j, size.label, size, (coalesce(led, 0) + CASE WHEN size.label = 0 THEN 10 - used ELSE 0 END) / 10.0::DOUBLE AS p FROM used CROSS JOIN size LEFT JOIN led ON led.j = used.j AND led.label = size.label)""")
+    return ",\n".join(rows) + """ SELECT p.j AS output, p.j // 2 AS class, any_value(c.n) AS n, round(sum(size * -ln(p + 1e-9)), 3) AS entropy FROM p
+JOIN (SELECT node::BIGINT * 2 + child AS j, count(*) AS n FROM z GROUP BY 1) c ON c.j = p.j GROUP BY p.j"""
+
+
+@query(_lag_sql())
+def lag_first_round(spark, sf_dir):
+    """The first round of the splitting unit: clusters, and the entropy of every output."""
+    unit = LagUnit.fit(vectors(spark, sf_dir), 64, 10, 2, rounds=0, order=F.sha2(F.col("id").cast("string"), 256))
+    r = unit.rounds[0]
+    return spark.createDataFrame([(j, int(c), int(r.sizes[j]), float(np.round(r.entropy[j], 3))) for j, c in enumerate(r.owner)], "output long, class long, n long, entropy double")
+
+
 # ---- trees --------------------------------------------------------------------------------------
 
 
