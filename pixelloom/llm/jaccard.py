@@ -22,12 +22,15 @@ its smallest non-null id; empty tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, free_shuffles, materialize, member, mix, row_key, shingle_sets, small_counts, small_keys, text_bytes, tidy
+from pixelloom.llm.common import MULTIPLIER, chunks, drop_scratch, few_rows, free_shuffles, materialize, member, mix, row_key, scratch_path, shingle_sets, small_counts, small_keys, text_bytes, tidy
 from pixelloom.llm.graph import components
 
 #: Tokens that more texts than this have in their prefixes are frequent.
@@ -198,13 +201,27 @@ def _texts(docs: DataFrame, rows: DataFrame, keys: DataFrame, name: str | None)
     return found
 
 
-def _complete(docs: DataFrame, rows: DataFrame, sets: DataFrame, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[DataFrame, np.ndarray, DataFrame | None, int]:
+def _dealt_once(sets: DataFrame) -> DataFrame:
+    """Sets as a table in the shared folder that is bucketed by their keys: dealt out here, and never again, for a join on the key then moves
+    its other side alone."""
+    spark = sets.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"pixelloom_sets_{uuid.uuid4().hex}"
+    sets.repartition(n, "key").write.bucketBy(n, "key").sortBy("key").option("path", scratch_path(spark, "jaccard-sets")).saveAsTable(name)
+    return spark.table(name)
+
+
+def _all(sets: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, sets)
+
+
+def _complete(docs: DataFrame, rows: DataFrame, sets: list[DataFrame], dealt: bool, frequent: np.ndarray, size: int, num: int, den: int) -> tuple[list[DataFrame], np.ndarray, DataFrame | None, int]:
     """(sets, frequent tokens, tokens that were added, sum of the bounds used): until every set has enough rare tokens or is known in full. Tokens that
-    many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike."""
+    many of the sets read again have in common are frequent as well; that changes the order of tokens, but for all sets alike. dealt: the
+    sets are bucketed, and stay apart from those read again, so that they keep their buckets."""
     added, bound = None, 0
     while True:
-        sent = sets.sparkSession.sparkContext.broadcast(frequent)
-        short = materialize(_short(sets, sent, num, den), "jaccard-short")
+        sent = docs.sparkSession.sparkContext.broadcast(frequent)
+        short = materialize(_short(_all(sets), sent, num, den), "jaccard-short")
         sent.destroy()
         n = short.count()
         if not n:
@@ -213,13 +230,15 @@ def _complete(docs: DataFrame, rows: DataFrame, sets: DataFrame, frequent: np.nd
         ids = F.broadcast(short) if n <= MAX_FREQUENT else short
         full = token_sets(_texts(docs, rows, short, None), size, num, den, whole=True)
         full = materialize(full.select(F.col("rid").alias("key"), "n", "toks").dropDuplicates(["key"]), "jaccard-full")
-        now = sets.join(ids, "key", "left_anti").unionByName(full)
+        now = [*(x.join(ids, "key", "left_anti") for x in sets), full]
         if n > MAX_FREQUENT:  # else the few that changed are left out at each reading
-            now = materialize(now, "jaccard-sets")
+            now = [_dealt_once(_all(now))]
+        elif not dealt:
+            now = [_all(now)]
         own = full.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c"))
         own = materialize(own, "jaccard-added")
         if n > MAX_FREQUENT:
-            drop_scratch(sets, full, short)
+            drop_scratch(*sets, full, short)
         sets, added = now, own if added is None else added.unionByName(own)
         rare = RARE
         while (more := small_keys(own.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
@@ -228,14 +247,15 @@ def _complete(docs: DataFrame, rows: DataFrame, sets: DataFrame, frequent: np.nd
         frequent = np.union1d(frequent, more)
 
 
-def _at_hubs(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFrame:
-    """Rows (hub, mem, nh, nm) of pairs that judge() accepts. payload: (key, n, <column>), maybe with repeats. judge(hub's n, payload,
+def _at_hubs(pairs: DataFrame, payload: list[DataFrame], column: str, judge) -> DataFrame:
+    """Rows (hub, mem, nh, nm) of pairs that judge() accepts. payload: tables (key, <column>), maybe with repeats. judge(hub's n, payload,
     memory of the hub) gives a function of a partner's n and payload."""
-    kind = payload.schema[column].dataType.simpleString()
+    kind = payload[0].schema[column].dataType.simpleString()
     deg = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB).alias("salts"))
     dealt = materialize(pairs.join(deg, "hub").withColumn("salt", F.pmod(F.xxhash64("mem"), F.col("salts"))).select("hub", "mem", "salt", "nh", "nm"), "jaccard-dealt")
-    mem = dealt.join(payload.withColumnRenamed("key", "mem"), "mem").select("hub", "salt", "mem", "nh", "nm", column)
-    hub = dealt.select("hub", "salt", "nh").distinct().join(payload.withColumnRenamed("key", "hub"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("mem"), "nh", F.lit(None).cast("long").alias("nm"), column)
+    own = lambda rows, name: _all([rows.join(p.withColumnRenamed("key", name), name) for p in payload])
+    mem = own(dealt, "mem").select("hub", "salt", "mem", "nh", "nm", column)
+    hub = own(dealt.select("hub", "salt", "nh").distinct(), "hub").select("hub", "salt", F.lit(None).cast("long").alias("mem"), "nh", F.lit(None).cast("long").alias("nm"), column)
     rows = hub.unionByName(mem).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("mem").asc_nulls_first())
 
     def run(batches):
@@ -303,22 +323,23 @@ def _text_judge(size: int, num: int, den: int):
     return judge
 
 
-def _only(sets: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets without those that a join with these keys would shuffle for nothing, the materialized keys). Beyond MAX_FREQUENT keys all sets stay."""
+def _only(sets: list[DataFrame], keys: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(sets without those that a join with these keys would read for nothing, the materialized keys). Beyond MAX_FREQUENT keys all sets stay:
+    then there are so many of them that they lie in buckets, and the join moves the keys."""
     keys = materialize(keys.distinct(), "jaccard-met")
-    return (sets.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= MAX_FREQUENT else sets), keys
+    return ([x.join(F.broadcast(keys), "key", "left_semi") for x in sets] if keys.count() <= MAX_FREQUENT else sets), keys
 
 
-def _verified(docs: DataFrame, rows: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, rows: DataFrame, sets: list[DataFrame], pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among pairs (hub, mem, nh, nm)."""
     met, keys = _only(sets, pairs.select(F.explode(F.array("hub", "mem")).alias("key")))
-    likely = _at_hubs(pairs, met.select("key", "toks"), "toks", _sketch_judge(num, den))
+    likely = _at_hubs(pairs, [x.select("key", "toks") for x in met], "toks", _sketch_judge(num, den))
     drop_scratch(keys)
     if not likely.limit(1).count():
         return likely.select(F.col("hub").alias("a"), F.col("mem").alias("b"))
     ids = materialize(likely.select(F.explode(F.array("hub", "mem")).alias("key")).distinct(), "jaccard-ids")
     texts = _texts(docs, rows, ids, "jaccard-texts").select(F.col("__rid").alias("key"), "text")
-    links = _at_hubs(likely, texts, "text", _text_judge(size, num, den))
+    links = _at_hubs(likely, [texts], "text", _text_judge(size, num, den))
     drop_scratch(texts, ids, likely)
     return links.select(F.col("hub").alias("a"), F.col("mem").alias("b"))
 
@@ -339,7 +360,9 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
     rows = materialize(rows, "jaccard-rows")
     again = rows.where("rid <> node or node is null").select(F.col("rid").alias("key"))
     again = F.broadcast(again) if again.count() <= MAX_FREQUENT else again  # sets stay where they are unless very many repeat
-    sets = materialize(every.select(F.col("rid").alias("key"), "n", "toks").join(again, "key", "left_anti"), "jaccard-sets")
+    dealt = node.count() > MAX_FREQUENT
+    own = every.select(F.col("rid").alias("key"), "n", "toks").join(again, "key", "left_anti")
+    sets = _dealt_once(own) if dealt else materialize(own, "jaccard-sets")
     drop_scratch(every, node)
     free_shuffles(docs.sparkSession)
     counts = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
@@ -348,13 +371,13 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
     rare = RARE
     while (often := small_keys(counts.where(F.col("c") > rare).select("tok"), MAX_FREQUENT)) is None:
         rare *= 2
-    sets, often, added, bound = _complete(docs, rows, sets, often, size, num, den)
+    sets, often, added, bound = _complete(docs, rows, [sets], dealt, often, size, num, den)
     again = materialize(counts if added is None else counts.unionByName(added).groupBy("tok").agg(F.max("c").alias("c")), "jaccard-wanted")
     wanted = small_counts(again, **({} if max_broadcast is None else {"bound": max_broadcast}))
     if wanted is not None:
         wanted = wanted[0], np.log2(wanted[1]).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((often, wanted))
-    index = _signature_rows(sets, sent, num, den)
+    index = _signature_rows(_all(sets), sent, num, den)
     if wanted is None:  # too many to send out: the entries go to the tokens
         index = index.join(again.select(F.col("tok").alias("sig"), "c").where("c > 1"), "sig", "left").where("not single or c is not null").drop("c")
     index = materialize(index.drop("single"), "jaccard-index")
@@ -409,7 +432,7 @@ def _link(docs: DataFrame, size: int, num: int, den: int, max_broadcast: int | N
         free_shuffles(docs.sparkSession)
         if most <= SLOT:  # that was every pair
             break
-    drop_scratch(apart, sets, *tested)
+    drop_scratch(apart, *sets, *tested)
     return rows.select("doc_id", "key", "n", "node"), comps
 
 
@@ -423,7 +446,7 @@ def _apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _block_links(rows: DataFrame, sets: list[DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(links (a, b), pairs to verify (hub, mem, nh, nm)) of large entries: the texts outside an entry's main component, in blocks, against
     all its texts, in blocks. rows: those of _apart()."""
     sums = rows.groupBy("sig").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("few"), F.avg("n").alias("mean"))
@@ -434,7 +457,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[
     left = cut.where("component <> main").select(*base, F.pmod("h", "kx").alias("x"), F.explode(F.expr("sequence(cast(0 as bigint), ky - 1)")).alias("y"), F.lit(True).alias("left"))
     right = cut.select(*base, F.explode(F.expr("sequence(cast(0 as bigint), kx - 1)")).alias("x"), F.pmod("h", "ky").alias("y"), F.lit(False).alias("left"))
     met, keys = _only(sets, rows.select("key"))
-    full = left.unionByName(right).join(met.select("key", "n", "toks"), "key").select("sig", "x", "y", "key", "component", "left", "reach", "n", "toks")
+    sides = left.unionByName(right)
+    full = _all([sides.join(x.select("key", "n", "toks"), "key") for x in met]).select("sig", "x", "y", "key", "component", "left", "reach", "n", "toks")
     full = full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
     def compare(t: pa.Table) -> tuple[np.ndarray, ...]:

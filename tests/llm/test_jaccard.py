@@ -139,3 +139,23 @@ def test_hubs_and_blocks(spark, monkeypatch):
     for name, value in (("RARE", 4), ("HUB", 3), ("HOT", 4), ("BLOCK", 16), ("MAX_FREQUENT", 40)):
         monkeypatch.setattr(jaccard, name, value)
     assert result(docs, 3, 90) == brute(rows, 3, 90)
+
+
+def test_large_collections_of_sets_are_dealt_out_once(spark):
+    """A join with bucketed sets moves its other side alone, also where sets read again are kept apart."""
+    from pyspark.sql import functions as F
+
+    sets = jaccard._dealt_once(spark.range(1000).select(F.col("id").alias("key"), F.lit(3).cast("long").alias("n"), F.array(F.col("id")).alias("toks")))
+    again = spark.range(5).select(F.col("id").alias("key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = jaccard.materialize(spark.range(400).select((F.col("id") * 2).alias("key"), F.col("id").alias("hub")), "pairs")
+        met = pairs.join(sets.join(F.broadcast(again), "key", "left_anti"), "key")
+        assert met.count() == 397
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning(key") == 1, final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
