@@ -35,7 +35,7 @@ CACHE_BYTES = 48 << 20
 #: Places that note which parts were met before: only a part that is met again is kept.
 MET = 1 << 21
 #: Parts that the library gets at once, and of those as one text, with a sign of its own between them.
-SLICE, JOINED = 4096, 128
+SLICE, JOINED = 4096, 64
 #: Signs, each a single id between spaces; one that no part holds parts them.
 SIGNS = "~^|`\\{}[]<>=+*_"
 #: Bytes of text that are tokenized together.
@@ -48,6 +48,10 @@ _ODD[[9, 10, 13]] = False
 _ODD[0x20:0x7F] = False
 _ODD[0x80:0xC0] = False  # judged by what stands before them
 _ODD[[0xC2, 0xC3, 0xC4, 0xC5, 0xE2]] = False
+_LEAD = np.zeros(256, bool)
+_LEAD[[0xC2, 0xC4, 0xE2, 0x3C]] = True
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, 9, 10, 11, 12, 13]] = False
 
 
 _ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
@@ -58,12 +62,14 @@ _LOWER[65:91] += 32
 def odd_bytes(buf: np.ndarray) -> np.ndarray:
     """Positions at which a text isn't plain in the above sense."""
     odd = _ODD[buf]
-    next_ = np.append(buf[1:], 0)
-    third = np.append(next_[1:], 0)
-    odd |= (buf == 0xC2) & (next_ < 0xA1)
-    odd |= (buf == 0xC4) & (next_ == 0xB0)
-    odd |= (buf == 0xE2) & ((next_ != 0x80) | (third < 0x90) | ((third > 0xA7) & (third < 0xB0)))
-    odd |= (buf == 0x3C) & (next_ == 0x7C)  # might start the name of a special token
+    at = np.flatnonzero(_LEAD[buf])  # judged with the bytes after them
+    if len(at):
+        padded = np.append(buf, np.zeros(2, np.uint8))
+        first, next_, third = buf[at], padded[at + 1], padded[at + 2]
+        bad = (first == 0xC2) & (next_ < 0xA1) | (first == 0xC4) & (next_ == 0xB0)
+        bad |= (first == 0xE2) & ((next_ != 0x80) | (third < 0x90) | ((third > 0xA7) & (third < 0xB0)))
+        bad |= (first == 0x3C) & (next_ == 0x7C)  # might start the name of a special token
+        odd[at[bad]] = True
     return np.flatnonzero(odd)
 
 
@@ -82,7 +88,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
         sums = made[a][0] + made[b][0][::-1]
-        order = np.argsort(-sums, kind="stable")
+        order = np.argsort(-sums)
         sums = sums[order]
         sums -= sums[-1]
         made.append((sums, a, b, order))
@@ -115,7 +121,7 @@ def part_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Starts and ends of what white space parts, and of a single full stop or comma that ends such a part after an ASCII letter
     or digit: the vocabulary's pattern always splits there as well."""
     n = len(buf)
-    inside = ~np.isin(buf, (0x20, 9, 10, 11, 12, 13))
+    inside = _INSIDE[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     start = inside.copy()
