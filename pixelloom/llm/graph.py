@@ -12,7 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node that has an edge; component is the smallest node reachable.
 
     Each step aggregates with partial minima and joins the minimum back, so a node with very many edges is
-    never gathered in one task (adaptive execution splits the join). Node ids are longs. No edges give no rows.
+    never gathered in one task (adaptive execution splits the join). Node ids are longs. No edges give no rows; an edge with a null end
+    joins nothing and is left out, and so is an edge from a node to itself.
     """
     now = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"

@@ -188,7 +188,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def reject(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs without the rows whose last category is found; the text is scored where it lies, nothing is shuffled."""
+    """docs without the rows whose last category is found; the text is scored where it lies, nothing is shuffled. All columns stay, whatever
+    their names; null texts are scored as empty ones and stay null; repeated rows are judged alike; an empty table stays empty."""
     sent, schema = docs.sparkSession.sparkContext.broadcast(chain), docs.schema
     at = docs.columns.index("text")
 

@@ -233,7 +233,8 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def lookup(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records of a table of ids (column id), each read through its frame alone."""
+    """The records of a table of ids (column id), each read through its frame alone. Ids that aren't there and null ids give nothing; repeated
+    ids of the table count once, and all records of an id are given."""
 
     def read(batches):
         for batch in batches:
