@@ -15,6 +15,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def signed6(c):
+    """As r6, but small negative values become -0.0 as in SQL. For values as they stand in a table: the sign of a sum's zero is chance."""
+    return F.when(r6(c) == 0, c * 0.0).otherwise(r6(c))
+
+
 @query(f"""WITH {VX}, l AS (SELECT id, unnest(range(64)) AS pos, unnest(f) AS x FROM vx), m AS (SELECT pos, avg(x) AS y FROM l GROUP BY pos)
 SELECT id, round(sqrt(sum((x - y) * (x - y))), 6) AS euclidean, round(sum(abs(x - y)), 6) AS manhattan, round(max(abs(x - y)), 6) AS chebyshev,
   round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine FROM l JOIN m USING (pos) GROUP BY id""")

@@ -36,3 +36,20 @@ def test_features_and_costs(spark, tmp_path):
     S.write_features(rows, str(tmp_path / "f"))
     assert S.read_cost_maps(spark, str(tmp_path / "f")).columns == ["image_id", "i", "j", "rho"]
     assert S.read_features(spark, str(tmp_path / "f"), "rho").count() == 4
+
+
+def test_lattice_keeps_the_sign_of_small_values(spark, tmp_path):
+    """SQL rounds -3e-7 to -0.0, which is another value inside an array."""
+    import duckdb
+
+    from pixelloom.plans import registry
+
+    rng = np.random.default_rng(3)
+    rows = [(k, np.where(rng.random(64) < 0.3, rng.choice([-3e-7, 3e-7, 0.0, -0.0], 64), rng.normal(0, 0.1, 64)).tolist(), 1) for k in range(5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute("SELECT image_id, bi, bj, f FROM (" + registry.oracle_sql()["lattice"] + ")").fetchall()
+    got = registry.queries()["lattice"](spark, str(tmp_path)).select("image_id", "bi", "bj", "f").collect()
+    assert sorted(repr((r.image_id, r.bi, r.bj, list(r.f))) for r in got) == sorted(repr((*r[:3], list(r[3]))) for r in want)
+    assert any("-0.0," in repr(r[3]) for r in want)
