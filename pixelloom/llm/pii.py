@@ -42,6 +42,8 @@ UNSEEN = {
     "card": r"(?<![^\s:=\"'(])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{3,4}(?:[\x20-]?[0-9]{1,4})?",
     "phone": r"(?<![^\s:=\"'(])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}",
 }
+#: What a text must hold for a shape to be looked for: an [at] needs no sign of its own, and groups of hex digits no decimal one.
+UNSEEN_NEEDS = {"email": "contains(text, '@') OR contains(text, '[at]') OR contains(text, '(at)')", "ip": "contains(text, ':')", "card": "digits", "phone": "digits"}
 #: A context word: letters, digits and low lines, and the punctuation after them that no span begins with; all such words of a
 #: text, and the last one of what stands left of a span.
 _WORD = r"[\p{L}\p{N}_]++[^\s\p{L}\p{N}_+(]*+"
@@ -97,7 +99,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key("doc_id", "text").alias("key")
     ).withColumn("digits", F.expr("text rlike '[0-9]'"))
     base = ", ".join(_found(EXPRESSIONS[k], k, _holds(k, "s.value"), NEEDS[k]) for k in KINDS)
-    unseen = ", ".join(_found(UNSEEN[k], k, None, {"email": "digits OR contains(text, '@')"}.get(k, "digits")) for k in KINDS)
+    unseen = ", ".join(_found(UNSEEN[k], k, None, UNSEEN_NEEDS[k]) for k in KINDS)
     rows = rows.withColumn("base", F.expr(f"sort_array(concat({base}))"))
     rows = rows.withColumn("unseen", F.expr(f"concat({unseen})"))
     return rows.withColumn(

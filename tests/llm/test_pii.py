@@ -56,6 +56,16 @@ def test_context_glued_to_the_identifier(spark):
     assert [rows[16 + i].all_text for i in range(4)] == ["", "phone:10:22", "", ""]
 
 
+def test_shapes_without_decimal_digits(spark):
+    """Texts without a decimal digit or an at sign are searched as well: [at], (at) and hex groups need neither."""
+    seeds = [f"write mailto: jo{c}@x.org now" for c in "abcdefgh"] + [f"from host: 10.0.0.{i} now" for i in range(8)]
+    unseen = ["write mailto: jo[at]x.org now", "write mailto: jo(at)x.org now", "from host: fe:ab:cd:ef now", "from other: fe:ab:cd:ef now"]
+    docs = spark.createDataFrame(list(enumerate(seeds + unseen)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.extract(docs).collect()}
+    assert [rows[16 + i].all_text for i in range(4)] == ["email:14:25", "email:14:25", "ip:11:22", ""]
+    assert all(rows[i].all_text == rows[i].base_text != "" for i in range(16))
+
+
 def test_copies_of_a_seed_document_keep_its_pattern(spark):
     seeds = [f"call me at tel: +1 (415) 555-{1000 + i} now" for i in range(8)]
     rows = [*enumerate(seeds + ["my tel: 415-555-1234 is new", "tel: none"]), *((100 + i, seeds[0]) for i in range(100))]
