@@ -11,7 +11,7 @@ are transformed to null; a fit on an empty table has no kernels and transforms e
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +25,8 @@ from pixelloom.operators.windows import per_image
 from pixelloom.sources.config import HopSpec
 from pixelloom.sources.scratch import shared_folder
 
+#: Numbers of a batch that windows are cut from at once.
+PART = 1 << 16
 MOMENTS = "unit long, part long, n long, total array<double>, cross array<double>, norm2 double"
 
 
@@ -52,14 +54,25 @@ def _summed(parts: DataFrame) -> dict[int, Moments]:
     return out
 
 
+def _parts(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in runs of rows that hold about PART numbers: cut makes windows of every unit of a layer from each number."""
+    at, held = 0, 0
+    sizes = sum(b[c].map(np.size) for c in b.columns)
+    for k, n in enumerate(sizes, 1):
+        held += n
+        if held >= PART or k == len(b):
+            yield b.iloc[at:k].reset_index(drop=True)
+            at, held = k, 0
+
+
 def moments(rows: DataFrame, cut: Callable[[pd.DataFrame], dict[int, np.ndarray]], columns: list[str]) -> dict[int, Moments]:
-    """Moments per unit; cut turns a batch into matrices by unit."""
+    """Moments per unit; cut turns a batch, or a part of it, into matrices by unit."""
     def run(batches):
         from pyspark import TaskContext
 
         sums: dict[int, list] = {}
-        for b in batches:
-            for unit, x in cut(b).items():
+        for few in (p for b in batches for p in _parts(b)):
+            for unit, x in cut(few).items():
                 if not len(x):
                     continue
                 s = sums.setdefault(unit, [0, 0.0, 0.0, 0.0])

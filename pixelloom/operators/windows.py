@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 from pixelloom.functions import grid
 
 FEATURES = "image_id long, i long, j long, f array<double>"
+PLANES = ["image_id", "h", "w", "c", "px"]
+#: Numbers that a task makes before it hands them on (8 MB), so that its memory doesn't grow with the batch times the channels.
+HELD = 1 << 20
 
 
 def per_image(images: DataFrame, fn: Callable[[np.ndarray], np.ndarray], array: str = "px") -> DataFrame:
-    """Apply fn (h x w x c -> h' x w' x k) to every image: rows (image_id, h, w, c, px)."""
+    """Apply fn (h x w x c -> h' x w' x k) to every image: rows (image_id, h, w, c, px), handed on in parts of bounded size."""
 
     def run(batches):
         for b in batches:
-            made = [fn(grid.as_image(px, h, w, c)) for px, h, w, c in zip(b[array], b["h"], b["w"], b["c"])]
-            made = [m if m.ndim == 3 else m[:, :, None] for m in made]
-            yield pd.DataFrame({"image_id": b["image_id"], "h": [m.shape[0] for m in made], "w": [m.shape[1] for m in made], "c": [m.shape[2] for m in made], "px": [np.asarray(m, float).ravel() for m in made]})
+            rows, held = [], 0
+            for k, px, h, w, c in zip(b["image_id"], b[array], b["h"], b["w"], b["c"]):
+                m = np.asarray(fn(grid.as_image(px, h, w, c)), float)
+                m = m if m.ndim == 3 else m[:, :, None]
+                rows.append((k, *m.shape, m.ravel()))
+                held += m.size
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=PLANES)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=PLANES)
 
     return images.select("image_id", "h", "w", "c", array).mapInPandas(run, "image_id long, h int, w int, c int, px array<double>")
 

@@ -185,3 +185,27 @@ def test_sweep_against_plain_lloyd(spark):
                 c = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
             assert [got[k, t, j].n for j in range(k) if (k, t, j) in got] == [n for n in np.bincount(near, minlength=k).tolist() if n]
     assert L.sweep(rows.where("false"), range(2, 4), 2, 3).count() == 0
+
+
+def test_batches_are_cut_and_handed_on_in_bounded_parts():
+    """A full Arrow batch of images isn't blown up to all its windows and channels at once."""
+    import pandas as pd
+
+    from pixelloom.operators import subspace, windows
+
+    class Images:  # hands out the function that runs in tasks
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    x = np.arange(5_000 * 64, dtype=float).reshape(5_000, 64)
+    batch = pd.DataFrame({"image_id": range(5_000), "h": 8, "w": 8, "c": 1, "px": list(x)})
+    made = list(windows.per_image(Images(), lambda v: np.repeat(v, 80, axis=2))(iter([batch, batch[:0]])))
+    assert len(made) > 20 and max(sum(map(len, m["px"])) for m in made) < windows.HELD + 64 * 80
+    made = pd.concat(made)
+    assert made["image_id"].tolist() == list(range(5_000)) and set(made["c"]) == {80} and np.array_equal(np.stack(made["px"])[:, ::80], x)
+    parts = list(subspace._parts(batch[["h", "w", "c", "px"]]))
+    assert len(parts) > 4 and max(sum(map(len, p["px"])) for p in parts) <= subspace.PART
+    assert np.array_equal(np.concatenate([np.stack(p["px"]) for p in parts]), x) and not list(subspace._parts(batch[:0]))
