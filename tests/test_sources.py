@@ -31,6 +31,18 @@ def test_colour_and_splices(spark, tmp_path):
     assert out.count() == 15 and out.where("turn = 1").first().h == 5
 
 
+def test_many_images_are_dealt_to_folders_and_scanned_in_turn(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("image_id"), F.lit(2).alias("h"), F.lit(2).alias("w"), F.lit(1).alias("c"), F.array(*[(F.col("id") + k).cast("double") for k in range(4)]).alias("px"))
+    folder = f"file://{tmp_path}/many"
+    paths = [r.path for r in S.write_images(rows, folder, files=10).collect()]
+    held = [len(list(p.iterdir())) for p in (tmp_path / "many").iterdir()]
+    assert len(paths) == sum(held) == 100 and len(held) > 5 and max(held) < 30
+    want = sorted((r.image_id, r.px) for r in rows.collect())
+    for name in (folder, str(tmp_path / "many")):
+        assert sorted((r.image_id, r.px) for r in S.read_images(spark, name).collect()) == want
+    assert sorted(r.image_id for r in S.read_images(spark, folder, limit=12).collect()) == list(range(12))
+
+
 def test_features_and_costs(spark, tmp_path):
     rows = spark.range(4).select(F.col("id").alias("image_id"), F.lit(0).alias("i"), F.lit(1).alias("j"), (F.col("id") * 0.5).alias("rho"), F.lit("x").alias("extra"))
     S.write_features(rows, str(tmp_path / "f"))
