@@ -79,6 +79,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """An executor's heap stays as large as the work so far has made it, beside the memory that the Python workers of the next stage need: let every
+    executor collect its garbage in full, after which the JVM gives back what it doesn't use. One task a core, so that each has one."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def small_keys(keys: DataFrame, bound: int = MAX_BROADCAST_KEYS) -> np.ndarray | None:
     """The one long column of a materialized table as a sorted array if it has at most `bound` rows, else None."""
     if keys.count() > bound:

@@ -86,3 +86,16 @@ def test_run_by_brute_force(spark, sf_dir):
         masked.append((id_, out + text[at:]))
     assert masked != apart
     check(P.run(spark, sf_dir).collect(), masked, Tokenizer.from_file(WORD_BPE))
+
+
+def test_stages_begin_with_small_heaps(spark, sf_dir):
+    """Heap that earlier work has made the JVM take is given back before a stage begins: in a local run the executor's JVM is this one."""
+    import corpus_pipeline as P
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    for _, stage in P.STAGES:
+        before = full()
+        stage(spark, docs, sf_dir)
+        assert full() > before
