@@ -468,7 +468,7 @@ def test_store_versions(spark, tmp_path):
         models._Reader(spark, f"{path}/v3").decode({"$class": "os:system", "fields": {}})
 
 
-@pytest.mark.parametrize("name", ["saab_inverse_error"])
+@pytest.mark.parametrize("name", ["saab_inverse_error", "model_scan"])
 def test_ties_that_come_back_are_rounded_as_in_sql(spark, tmp_path, name):
     """Odd multiples of 1/64 are ties of the fifth decimal; products of doubles give a little less or more."""
     import duckdb
