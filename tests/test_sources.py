@@ -1,4 +1,9 @@
+import gc
+import subprocess
+from pathlib import Path
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.sources import images as S
@@ -43,6 +48,26 @@ def test_many_images_are_dealt_to_folders_and_scanned_in_turn(spark, tmp_path):
     assert sorted(r.image_id for r in S.read_images(spark, folder, limit=12).collect()) == list(range(12))
 
 
+@pytest.mark.parametrize("limit", [None, 40])
+def test_the_driver_keeps_no_listings_of_scanned_folders(spark, tmp_path, limit):
+    java = spark._jvm.System.getProperty("java.home")
+    if not Path(f"{java}/bin/jcmd").exists():
+        pytest.skip("no jcmd")
+
+    def listed():
+        seen = subprocess.run([f"{java}/bin/jcmd", str(spark._jvm.ProcessHandle.current().pid()), "GC.class_histogram"], capture_output=True, text=True, check=True).stdout
+        return sum(int(x.split()[1]) for x in seen.splitlines() if "org.apache.hadoop.fs.LocatedFileStatus " in x + " ")
+
+    rows = spark.range(400).select(F.col("id").alias("image_id"), F.lit(2).alias("h"), F.lit(2).alias("w"), F.lit(1).alias("c"), F.array(*[F.lit(1.0)] * 4).alias("px"))
+    folder, keeps = f"file://{tmp_path}/many", spark.conf.get(S.LISTINGS)
+    S.write_images(rows, folder, files=80)
+    gc.collect()
+    before = listed()
+    read = S.read_images(spark, folder, limit=limit)
+    assert listed() - before < 200  # of 400 files; those of tables that are open count too
+    assert read.count() == (limit or 400) and spark.conf.get(S.LISTINGS) == keeps
+
+
 def test_features_and_costs(spark, tmp_path):
     rows = spark.range(4).select(F.col("id").alias("image_id"), F.lit(0).alias("i"), F.lit(1).alias("j"), (F.col("id") * 0.5).alias("rho"), F.lit("x").alias("extra"))
     S.write_features(rows, str(tmp_path / "f"))
